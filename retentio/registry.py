@@ -11,6 +11,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from retentio import constants as K
+from retentio.operators import attribution as A
+from retentio.operators import encode as E
+from retentio.operators import metrics as M
 from retentio.operators import prepare as P
 from retentio.operators import quality as Q
 from retentio.operators import reports as R
@@ -198,3 +202,82 @@ def q_priority_summary(spark, sf):
 @query("high_quartile_savings")
 def q_savings(spark, sf):
     return R.high_quartile_savings(_ws(spark, sf).report_rows())
+
+
+# --- encoding -----------------------------------------------------------------
+
+@query("label_codes")
+def q_label_codes(spark, sf):
+    return E.codes_table(spark, _ws(spark, sf).codes)
+
+
+@query("encoded_features")
+def q_encoded(spark, sf):
+    return _ws(spark, sf).encoded.select("customer_id", "split", "Churn", *K.FEATURE_COLUMNS)
+
+
+# --- metrics over closed-form scores of the test rows -------------------------
+
+def _proxy_scored(spark, sf):
+    return M.proxy_scores(_ws(spark, sf).split("test"))
+
+
+@query("confusion_matrix")
+def q_confusion(spark, sf):
+    return M.confusion_matrix(_proxy_scored(spark, sf))
+
+
+@query("classification_metrics")
+def q_metrics(spark, sf):
+    return M.classification_metrics(_proxy_scored(spark, sf))
+
+
+@query("roc_curve")
+def q_roc(spark, sf):
+    return M.roc_curve(_proxy_scored(spark, sf))
+
+
+@query("model_comparison")
+def q_comparison(spark, sf):
+    return M.model_comparison(M.classification_metrics(_proxy_scored(spark, sf)), M.PROXY_BASELINE)
+
+
+@query("risk_levels")
+def q_risk_levels(spark, sf):
+    ws = _ws(spark, sf)
+    scored = M.proxy_scores(ws.split("test")).where(F.col("model") == M.PROXY_BASELINE)
+    return M.risk_levels(scored).select("customer_id", "score", "risk_level")
+
+
+# --- linear attributions (correlation coefficients on scaled features) --------
+
+def _train_stats(spark, sf):
+    return A.wide_stats(_ws(spark, sf).encoded.where(F.col("split") == "train"))
+
+
+@query("scaler_stats")
+def q_scaler_stats(spark, sf):
+    return A.feature_stats(_ws(spark, sf).encoded.where(F.col("split") == "train"))
+
+
+@query("linear_importance")
+def q_linear_importance(spark, sf):
+    return A.linear_importance(A.feature_stats(_ws(spark, sf).encoded.where(F.col("split") == "train")))
+
+
+@query("linear_contributions")
+def q_linear_contributions(spark, sf):
+    ws = _ws(spark, sf)
+    return A.linear_contributions(ws.encoded.where(F.col("split") == "test"), _train_stats(spark, sf))
+
+
+@query("top_factors")
+def q_top_factors(spark, sf):
+    ws = _ws(spark, sf)
+    return A.top_factors(ws.encoded.where(F.col("split") == "test"), _train_stats(spark, sf))
+
+
+@query("global_contributions")
+def q_global_contributions(spark, sf):
+    ws = _ws(spark, sf)
+    return A.global_contributions(ws.encoded.where(F.col("split") == "test"), _train_stats(spark, sf))

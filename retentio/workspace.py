@@ -57,6 +57,20 @@ class Workspace:
             self._prepared = write_stage(rows, "prepared", partition_by=["split"])
         return self._prepared
 
+    @property
+    def codes(self):
+        """Alphabetical codes of the string features, fitted on all prepared rows."""
+        if getattr(self, "_codes", None) is None:
+            from retentio.operators.encode import fit_codes
+            self._codes = fit_codes(self.prepared)
+        return self._codes
+
+    @property
+    def encoded(self) -> DataFrame:
+        """Prepared rows with every string feature replaced by its code."""
+        from retentio.operators.encode import encode
+        return encode(self.prepared, self.codes)
+
     def split(self, *names: str) -> DataFrame:
         return self.prepared.where(F.col("split").isin(list(names)))
 

@@ -250,5 +250,153 @@ SELECT high_churned_clv, high_churned_clv * 0.1e0 AS savings FROM a
 """
 
 
+
+# --- encoding, metrics and linear attributions ----------------------------------
+
+FEATURES = ["gender", "SeniorCitizen", "Partner", "Dependents", "tenure", "PhoneService", "MultipleLines",
+            "InternetService", "OnlineSecurity", "OnlineBackup", "DeviceProtection", "TechSupport",
+            "StreamingTV", "StreamingMovies", "Contract", "PaperlessBilling", "PaymentMethod",
+            "MonthlyCharges", "TotalCharges", "tenure_bucket", "services_count", "monthly_to_total_ratio",
+            "flag_internet_no_tech_support", "flag_fiber_high_charges", "flag_short_tenure_monthly",
+            "expected_tenure", "CLV"]
+STRINGS = ["gender", "Partner", "Dependents", "PhoneService", "MultipleLines", "InternetService",
+           "OnlineSecurity", "OnlineBackup", "DeviceProtection", "TechSupport", "StreamingTV",
+           "StreamingMovies", "Contract", "PaperlessBilling", "PaymentMethod", "tenure_bucket"]
+
+_ENC_COLS = ", ".join(
+    f"CAST(dense_rank() OVER (ORDER BY {f}) - 1 AS INTEGER) AS {f}" if f in STRINGS else f for f in FEATURES
+)
+ENC = f"enc AS (SELECT customer_id, split, Churn, {_ENC_COLS} FROM prep_split)"
+
+SQL["label_codes"] = "\nUNION ALL\n".join(
+    f"SELECT DISTINCT '{f}' AS column_name, {f} AS value, "
+    f"CAST(dense_rank() OVER (ORDER BY {f}) - 1 AS INTEGER) AS code FROM prep"
+    for f in STRINGS
+)
+SQL["encoded_features"] = f"WITH {ENC} SELECT * FROM enc"
+
+SCORED = """sc AS (
+  SELECT customer_id, Churn AS label, m.model,
+    CASE m.model WHEN 'proxy_tenure_cycle' THEN CAST(tenure % 20 AS DOUBLE) / 20e0
+                 WHEN 'proxy_services' THEN CAST(services_count AS DOUBLE) / 9e0
+                 ELSE 1e0 - CAST(LEAST(tenure, 72) AS DOUBLE) / 72e0 END AS score
+  FROM prep_split CROSS JOIN (VALUES ('proxy_tenure_cycle'), ('proxy_services'), ('proxy_tenure')) m(model)
+  WHERE split = 'test')"""
+CONF = """cm AS (
+  SELECT model,
+    COUNT(*) FILTER (WHERE label = 0 AND NOT score > 0.5e0) AS tn,
+    COUNT(*) FILTER (WHERE label = 0 AND score > 0.5e0) AS fp,
+    COUNT(*) FILTER (WHERE label = 1 AND NOT score > 0.5e0) AS fn,
+    COUNT(*) FILTER (WHERE label = 1 AND score > 0.5e0) AS tp
+  FROM sc GROUP BY model)"""
+BELOW = """cnt AS (
+  SELECT model, score, CAST(SUM(CASE WHEN label = 1 THEN 1 ELSE 0 END) AS BIGINT) AS pos,
+         CAST(SUM(CASE WHEN label = 1 THEN 0 ELSE 1 END) AS BIGINT) AS neg
+  FROM sc GROUP BY model, score),
+blw AS (
+  SELECT model, score, pos, neg,
+    COALESCE(SUM(neg) OVER (PARTITION BY model ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS neg_below,
+    COALESCE(SUM(pos) OVER (PARTITION BY model ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos_below
+  FROM cnt)"""
+METRICS = f"""{CONF},
+{BELOW},
+auc AS (
+  SELECT model, CAST(SUM(pos * (2 * neg_below + neg)) AS DOUBLE)
+         / (2e0 * CAST(SUM(pos) AS DOUBLE) * CAST(SUM(neg) AS DOUBLE)) AS auc_roc
+  FROM blw GROUP BY model),
+mt AS (
+  SELECT cm.model,
+    CASE WHEN tp + fp > 0 THEN CAST(tp AS DOUBLE) / (CAST(tp AS DOUBLE) + CAST(fp AS DOUBLE)) ELSE 0e0 END AS precision,
+    CASE WHEN tp + fn > 0 THEN CAST(tp AS DOUBLE) / (CAST(tp AS DOUBLE) + CAST(fn AS DOUBLE)) ELSE 0e0 END AS recall,
+    CASE WHEN 2 * tp + fp + fn > 0
+         THEN 2 * CAST(tp AS DOUBLE) / (2 * CAST(tp AS DOUBLE) + CAST(fp AS DOUBLE) + CAST(fn AS DOUBLE))
+         ELSE 0e0 END AS f1,
+    auc.auc_roc
+  FROM cm JOIN auc USING (model))"""
+
+SQL["confusion_matrix"] = f"WITH {SCORED},\n{CONF}\nSELECT * FROM cm"
+SQL["classification_metrics"] = f"WITH {SCORED},\n{METRICS}\nSELECT *, recall >= 0.6e0 AS recall_ok FROM mt"
+SQL["roc_curve"] = f"""WITH {SCORED},
+{BELOW},
+tot AS (SELECT model, SUM(pos) AS P, SUM(neg) AS N FROM cnt GROUP BY model)
+SELECT blw.model, score AS threshold,
+  CAST(N - neg_below AS DOUBLE) / CAST(N AS DOUBLE) AS fpr,
+  CAST(P - pos_below AS DOUBLE) / CAST(P AS DOUBLE) AS tpr
+FROM blw JOIN tot USING (model)"""
+SQL["model_comparison"] = f"""WITH {SCORED},
+{METRICS}
+SELECT model, precision, recall, f1, auc_roc,
+  model = (SELECT model FROM mt ORDER BY auc_roc DESC, model LIMIT 1) AS is_best,
+  CASE WHEN model = 'proxy_tenure_cycle' THEN NULL
+       ELSE auc_roc > (SELECT auc_roc FROM mt WHERE model = 'proxy_tenure_cycle') END AS beats_baseline
+FROM mt"""
+SQL["risk_levels"] = f"""WITH {SCORED}
+SELECT customer_id, score,
+  CASE WHEN score < 0.3e0 THEN 'Low' WHEN score < 0.6e0 THEN 'Medium' ELSE 'High' END AS risk_level
+FROM sc WHERE model = 'proxy_tenure_cycle'"""
+
+
+def _sums(i: int, f: str) -> str:
+    d = f"CAST({f} AS DOUBLE)"
+    return (f"CAST(SUM(CAST({d} AS DECIMAL(20,6))) AS DOUBLE) AS sx{i}, "
+            f"CAST(SUM(CAST({d} * {d} AS DECIMAL(26,6))) AS DOUBLE) AS sxx{i}, "
+            f"CAST(SUM(CAST({d} * CAST(Churn AS DOUBLE) AS DECIMAL(26,6))) AS DOUBLE) AS sxy{i}")
+
+
+def _stat_cols(i: int) -> str:
+    vs = f"((sxx{i} - sx{i} * sx{i} / n) / (n - 1))"
+    vp = f"((sxx{i} - sx{i} * sx{i} / n) / n)"
+    vx = f"(n * sxx{i} - sx{i} * sx{i})"
+    vy = "(n * syy - sy * sy)"
+    cov = f"(n * sxy{i} - sx{i} * sy)"
+    return (f"sx{i} / n AS m{i}, sqrt(CASE WHEN {vs} < 0 THEN 0e0 ELSE {vs} END) AS s{i}, "
+            f"sqrt(CASE WHEN {vp} < 0 THEN 0e0 ELSE {vp} END) AS sp{i}, "
+            f"CASE WHEN {vx} * {vy} > 0 THEN {cov} / sqrt({vx} * {vy}) ELSE 0e0 END AS c{i}")
+
+
+STATS = (
+    f"{ENC},\nmom AS (SELECT CAST(COUNT(*) AS DOUBLE) AS n, "
+    f"CAST(SUM(CAST(CAST(Churn AS DOUBLE) AS DECIMAL(20,6))) AS DOUBLE) AS sy, "
+    f"CAST(SUM(CAST(CAST(Churn AS DOUBLE) * CAST(Churn AS DOUBLE) AS DECIMAL(26,6))) AS DOUBLE) AS syy, "
+    + ", ".join(_sums(i, f) for i, f in enumerate(FEATURES))
+    + " FROM enc WHERE split = 'train'),\nst AS (SELECT "
+    + ", ".join(_stat_cols(i) for i in range(len(FEATURES)))
+    + " FROM mom)"
+)
+STATS_LONG = "fs AS (" + "\nUNION ALL\n".join(
+    f"SELECT {i} AS position, '{f}' AS feature, m{i} AS mean, s{i} AS std_samp, sp{i} AS std_pop, "
+    f"c{i} AS correlation FROM st"
+    for i, f in enumerate(FEATURES)
+) + ")"
+CONTRIB = "lc AS (" + "\nUNION ALL\n".join(
+    f"SELECT customer_id, {i} AS position, '{f}' AS feature, "
+    f"CASE WHEN s{i} > 0 THEN (CAST({f} AS DOUBLE) - m{i}) / s{i} ELSE 0e0 END AS value, c{i} AS coefficient, "
+    f"c{i} * (CASE WHEN s{i} > 0 THEN (CAST({f} AS DOUBLE) - m{i}) / s{i} ELSE 0e0 END) AS contribution "
+    f"FROM enc CROSS JOIN st WHERE split = 'test'"
+    for i, f in enumerate(FEATURES)
+) + ")"
+
+SQL["scaler_stats"] = f"WITH {STATS},\n{STATS_LONG}\nSELECT * FROM fs"
+SQL["linear_importance"] = f"""WITH {STATS},
+{STATS_LONG}
+SELECT feature, correlation AS coefficient, std_pop AS std_dev, abs(correlation * std_pop) AS importance,
+  row_number() OVER (ORDER BY abs(correlation * std_pop) DESC, position) AS importance_rank
+FROM fs"""
+SQL["linear_contributions"] = f"""WITH {STATS},
+{CONTRIB}
+SELECT customer_id, feature, value, coefficient, contribution, abs(contribution) AS abs_contribution FROM lc"""
+SQL["top_factors"] = f"""WITH {STATS},
+{CONTRIB},
+rk AS (SELECT customer_id, feature, contribution,
+         row_number() OVER (PARTITION BY customer_id ORDER BY abs(contribution) DESC, position) AS factor_rank
+       FROM lc)
+SELECT customer_id, factor_rank, feature, abs(contribution) AS weight,
+  CASE WHEN contribution > 0 THEN 'increases' ELSE 'decreases' END AS direction
+FROM rk WHERE factor_rank <= 5"""
+SQL["global_contributions"] = f"""WITH {STATS},
+{CONTRIB}
+SELECT feature, {eavg('abs(contribution)')} AS mean_abs_contribution FROM lc GROUP BY feature"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {name: with_base(sql) for name, sql in SQL.items()}
