@@ -281,3 +281,114 @@ def q_top_factors(spark, sf):
 def q_global_contributions(spark, sf):
     ws = _ws(spark, sf)
     return A.global_contributions(ws.encoded.where(F.col("split") == "test"), _train_stats(spark, sf))
+
+
+# --- trained models (no SQL oracle: iterative fits; rows checked) -------------
+
+MODEL_SCORES = ("logistic", "random_forest", "boosted")
+
+
+def _scored_test(spark, sf):
+    from retentio.ml.scoring import score
+    ws = _ws(spark, sf)
+    return score(ws.split("test"), ws.model(), keep=("customer_id", "Churn"))
+
+
+def _long_scores(scored):
+    items = [F.struct(F.lit(m).alias("model"), F.col(f"p_{m}").alias("score")) for m in MODEL_SCORES]
+    items.append(F.struct(F.lit("ensemble").alias("model"), F.col("churn_probability").alias("score")))
+    return scored.select("customer_id", F.col("Churn").alias("label"), F.explode(F.array(*items)).alias("s")).select(
+        "customer_id", "s.model", "label", "s.score")
+
+
+@query("scored_customers")
+def q_scored(spark, sf):
+    return _scored_test(spark, sf)
+
+
+@query("model_metrics")
+def q_model_metrics(spark, sf):
+    long = _long_scores(_scored_test(spark, sf))
+    return M.classification_metrics(long).join(M.confusion_matrix(long), "model")
+
+
+@query("model_comparison_trained")
+def q_model_comparison_trained(spark, sf):
+    long = _long_scores(_scored_test(spark, sf)).where(F.col("model") != "ensemble")
+    return M.model_comparison(M.classification_metrics(long), "logistic")
+
+
+@query("model_roc_curve")
+def q_model_roc(spark, sf):
+    return M.roc_curve(_long_scores(_scored_test(spark, sf)))
+
+
+@query("high_risk_check")
+def q_high_risk(spark, sf):
+    from retentio.ml.scoring import high_risk_check
+    return high_risk_check(spark, _ws(spark, sf).model())
+
+
+@query("tree_importance")
+def q_tree_importance(spark, sf):
+    from retentio.ml.explain import tree_importance_frame
+    return tree_importance_frame(spark, _ws(spark, sf).trained())
+
+
+@query("logistic_importance")
+def q_logistic_importance(spark, sf):
+    from retentio.ml.explain import logistic_importance
+    return logistic_importance(spark, _ws(spark, sf).trained())
+
+
+@query("logistic_top_factors")
+def q_logistic_top_factors(spark, sf):
+    from retentio.ml.explain import logistic_stats_row
+    ws = _ws(spark, sf)
+    stats = logistic_stats_row(spark, ws.trained())
+    return A.top_factors(ws.encoded.where(F.col("split") == "test"), stats)
+
+
+def _test_features(spark, sf):
+    ws = _ws(spark, sf)
+    return ws.trained().features.transform(ws.split("test")).select("customer_id", "features")
+
+
+@query("boosted_explanations")
+def q_boosted_explanations(spark, sf):
+    from retentio.ml.explain import explanation, tree_explanations
+    factors = tree_explanations(_test_features(spark, sf), _ws(spark, sf).trained(), "boosted")
+    return explanation(_scored_test(spark, sf), factors)
+
+
+@query("forest_global_attribution")
+def q_forest_global(spark, sf):
+    from retentio.ml.explain import global_tree_attribution
+    ws = _ws(spark, sf)
+    sample = sample_rows(ws.split("train"), 100)
+    feats = ws.trained().features.transform(sample).select("customer_id", "features")
+    return global_tree_attribution(feats, ws.trained(), "random_forest")
+
+
+@query("importance_fallback")
+def q_importance_fallback(spark, sf):
+    from retentio.ml.explain import importance_factors
+    return importance_factors(spark, _ws(spark, sf).trained(), "random_forest")
+
+
+@query("stream_scores")
+def q_stream_scores(spark, sf):
+    from retentio.functions.columns import to_number
+    from retentio.plans.lineage import write_stage
+    from retentio.schema import SCORING_REQUEST
+    from retentio.streaming.scoring import score_files_once
+    ws = _ws(spark, sf)
+    raw = ws.raw.join(ws.split("test").select(F.col("customer_id").alias("customerID")), "customerID", "left_semi")
+    requests = raw.select(
+        F.col("customerID").alias("customer_id"),
+        *[F.col(f.name) for f in SCORING_REQUEST.fields[1:] if f.name != "TotalCharges"],
+        to_number("TotalCharges").alias("TotalCharges"),
+    ).select(*[f.name for f in SCORING_REQUEST.fields])
+    staged = write_stage(requests, "stream-requests")
+    source = staged.inputFiles()[0].rsplit("/", 1)[0]
+    return score_files_once(spark, source, ws.model())

@@ -21,6 +21,10 @@ from retentio.operators.split import assign_split
 from retentio.plans.lineage import write_stage
 from retentio.sources.subscribers import load_subscribers
 
+# Registered model queries fit one grid point per model (the reference
+# grids are ``grid="reference"`` in ``ml.models.train_models``).
+REGISTRY_GRID = "quick"
+
 _LOCK = threading.Lock()
 _CACHE: dict[tuple[str, str, bool], "Workspace"] = {}
 
@@ -71,6 +75,27 @@ class Workspace:
         from retentio.operators.encode import encode
         return encode(self.prepared, self.codes)
 
+    def trained(self, grid: str = REGISTRY_GRID):
+        """Models fitted on the train split, once per session (cached)."""
+        cache = self.__dict__.setdefault("_trained", {})
+        if grid not in cache:
+            from retentio.ml.models import train_models
+            cache[grid] = train_models(self.prepared, grid=grid)
+        return cache[grid]
+
+    def model(self, grid: str = REGISTRY_GRID):
+        """The combined scoring pipeline, saved to and loaded from shared storage (IO6)."""
+        cache = self.__dict__.setdefault("_models", {})
+        if grid not in cache:
+            import os
+            import uuid
+            from retentio.ml.models import load, save
+            from retentio.session import ensure_checkpoint_dir
+            path = os.path.join(ensure_checkpoint_dir(self.spark), "models", f"combined-{uuid.uuid4().hex[:12]}")
+            save(self.trained(grid), path)
+            cache[grid] = load(path)
+        return cache[grid]
+
     def split(self, *names: str) -> DataFrame:
         return self.prepared.where(F.col("split").isin(list(names)))
 
