@@ -41,7 +41,8 @@ def _tables(spark: SparkSession, model, kind: str) -> dict:
     nodes = spark.read.parquet(os.path.join(path, "data")).select(
         "treeID", "nodeData.id", "nodeData.prediction", "nodeData.impurityStats",
         "nodeData.leftChild", "nodeData.rightChild", "nodeData.split.featureIndex",
-        F.get(F.col("nodeData.split.leftCategoriesOrThreshold"), 0).alias("threshold"),
+        F.col("nodeData.split.leftCategoriesOrThreshold").alias("split_values"),
+        F.col("nodeData.split.numCategories").alias("num_categories"),
     ).toPandas()  # node table: bounded by the model size, not by the data
     weights = list(model.treeWeights)
     trees = []
@@ -52,13 +53,18 @@ def _tables(spark: SparkSession, model, kind: str) -> dict:
         right = np.full(n, -1, dtype=np.int64)
         feat = np.full(n, -1, dtype=np.int64)
         thr = np.zeros(n)
+        cats: list = [None] * n  # left categories of a categorical split
         value = np.zeros(n)
         cover = np.zeros(n)
         for r in g.itertuples(index=False):
             i = int(r.id)
             left[i], right[i] = int(r.leftChild), int(r.rightChild)
             feat[i] = int(r.featureIndex)
-            thr[i] = float(r.threshold) if r.threshold is not None and not pd.isna(r.threshold) else 0.0
+            vals = list(r.split_values) if r.split_values is not None else []
+            if r.num_categories is not None and int(r.num_categories) > 0:
+                cats[i] = frozenset(float(v) for v in vals)
+            elif vals:
+                thr[i] = float(vals[0])
             stats = np.asarray(r.impurityStats, dtype=float)
             if kind == "forest":
                 tot = stats.sum()
@@ -71,7 +77,7 @@ def _tables(spark: SparkSession, model, kind: str) -> dict:
             scale = 1.0 / len(weights)
         else:
             scale = 2.0 * weights[int(tid)]
-        trees.append((left, right, feat, thr, value, cover, scale))
+        trees.append((left, right, feat, thr, cats, value, cover, scale))
     return {"trees": trees}
 
 
@@ -119,9 +125,17 @@ def _unwound_sum(path: list, idx: int) -> float:
     return total * (depth + 1)
 
 
+def _goes_left(x: np.ndarray, tree: tuple, node: int) -> bool:
+    """MLlib's rule: continuous x <= threshold; categorical x in left set."""
+    left, right, feat, thr, cats, value, cover, scale = tree
+    c = cats[node]
+    v = x[feat[node]]
+    return (float(v) in c) if c is not None else v <= thr[node]
+
+
 def tree_shap(x: np.ndarray, tree: tuple, phi: np.ndarray) -> None:
     """Add one tree's attributions for row ``x`` into ``phi`` (scaled)."""
-    left, right, feat, thr, value, cover, scale = tree
+    left, right, feat, thr, cats, value, cover, scale = tree
 
     def recurse(node: int, path: list, z: float, o: float, d: int) -> None:
         path = _extend(path, z, o, d)
@@ -131,7 +145,7 @@ def tree_shap(x: np.ndarray, tree: tuple, phi: np.ndarray) -> None:
                 phi[path[i][0]] += w * (path[i][2] - path[i][1]) * value[node] * scale
             return
         f = feat[node]
-        hot, cold = (left[node], right[node]) if x[f] <= thr[node] else (right[node], left[node])
+        hot, cold = (left[node], right[node]) if _goes_left(x, tree, node) else (right[node], left[node])
         iz, io = 1.0, 1.0
         for k in range(1, len(path)):
             if path[k][0] == f:
@@ -145,16 +159,16 @@ def tree_shap(x: np.ndarray, tree: tuple, phi: np.ndarray) -> None:
 
 
 def _expected(tree: tuple) -> float:
-    left, right, feat, thr, value, cover, scale = tree
+    left, right, feat, thr, cats, value, cover, scale = tree
     leaves = left < 0
     return float((cover[leaves] * value[leaves]).sum() / cover[0] * scale)
 
 
 def _predict(x: np.ndarray, tree: tuple) -> float:
-    left, right, feat, thr, value, cover, scale = tree
+    left, right, feat, thr, cats, value, cover, scale = tree
     node = 0
     while left[node] >= 0:
-        node = left[node] if x[feat[node]] <= thr[node] else right[node]
+        node = left[node] if _goes_left(x, tree, node) else right[node]
     return float(value[node] * scale)
 
 
