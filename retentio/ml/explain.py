@@ -22,14 +22,10 @@ from retentio.operators.attribution import top_factors_array
 
 
 def logistic_stats_row(spark: SparkSession, models: TrainedModels) -> DataFrame:
-    """One row m_i, s_i, sp_i, c_i from the fitted scaler and coefficients."""
-    params = linear_parameters(models)
-    values: list[float] = []
-    names: list[str] = []
-    for i, (_, mean, std, coef) in enumerate(params):
-        values += [mean, std, std, coef]
-        names += [f"m{i}", f"s{i}", f"sp{i}", f"c{i}"]
-    return spark.createDataFrame([tuple(values)], names)
+    """The statistics row of ``operators.attribution`` from the fitted scaler
+    and coefficients (27 entries, from the model, not from the data)."""
+    items = [(i, mean, std, coef) for i, (_, mean, std, coef) in enumerate(linear_parameters(models))]
+    return spark.createDataFrame([(items,)], "stats array<struct<position:int, m:double, s:double, c:double>>")
 
 
 def logistic_importance(spark: SparkSession, models: TrainedModels, mode: str = "reference") -> DataFrame:
@@ -71,12 +67,11 @@ def global_tree_attribution(sample_features: DataFrame, models: TrainedModels, n
     """Mean |TreeSHAP| per feature over the given rows (L16, A26 for trees)."""
     kind = "forest" if name == "random_forest" else "boosted"
     att = attributions(sample_features, models.models[name], kind)
-    wide = att.agg(*[G.exact_avg(F.abs(F.col("contributions")[i])).alias(f"a{i}") for i in range(len(K.FEATURE_COLUMNS))])
-    rows = F.explode(F.array(*[
-        F.struct(F.lit(f).alias("feature"), F.col(f"a{i}").alias("mean_abs_attribution"))
-        for i, f in enumerate(K.FEATURE_COLUMNS)
-    ]))
-    return wide.select(rows.alias("r")).select("r.*")
+    names = F.array(*[F.lit(f) for f in K.FEATURE_COLUMNS])
+    long = att.select(F.posexplode("contributions").alias("position", "v"))
+    return long.groupBy("position").agg(G.exact_avg(F.abs("v")).alias("mean_abs_attribution")).select(
+        names[F.col("position")].alias("feature"), "mean_abs_attribution"
+    )
 
 
 def explanation(scored: DataFrame, factors: DataFrame) -> DataFrame:

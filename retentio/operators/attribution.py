@@ -25,70 +25,84 @@ from retentio.functions import aggregates as G
 from retentio.functions import columns as C
 
 
-def _moment_sums(x: Column, y: Column | None = None) -> list[Column]:
-    d = x.cast("double")
-    out = [F.sum(d.cast(G.MONEY)).cast("double"), F.sum((d * d).cast(G.SQUARES)).cast("double")]
-    if y is not None:
-        out.append(F.sum((d * y.cast("double")).cast(G.SQUARES)).cast("double"))
-    return out
+def feature_stats(train: DataFrame, features: Sequence[str] = K.FEATURE_COLUMNS, label: str = "Churn") -> DataFrame:
+    """Per feature: position, feature, mean, std_samp, std_pop, correlation.
+
+    The feature columns are turned into (position, value) rows with
+    ``posexplode`` and aggregated by position: map-side partial sums leave
+    one row per feature and task for the shuffle, and the generated code
+    stays small however many features there are.
+    """
+    d = F.col("_x")
+    y = F.col("_y")
+    long = train.select(
+        F.col(label).cast("double").alias("_y"),
+        F.posexplode(F.array(*[F.col(f).cast("double") for f in features])).alias("position", "_x"),
+    )
+    sums = long.groupBy("position").agg(
+        F.count(F.lit(1)).cast("double").alias("n"),
+        F.sum(d.cast(G.MONEY)).cast("double").alias("sx"),
+        F.sum((d * d).cast(G.SQUARES)).cast("double").alias("sxx"),
+        F.sum((d * y).cast(G.SQUARES)).cast("double").alias("sxy"),
+        F.sum(y.cast(G.MONEY)).cast("double").alias("sy"),
+        F.sum((y * y).cast(G.SQUARES)).cast("double").alias("syy"),
+    )
+    n, sx, sxx, sxy, sy, syy = (F.col(c) for c in ("n", "sx", "sxx", "sxy", "sy", "syy"))
+    var_s = (sxx - sx * sx / n) / (n - 1)
+    var_p = (sxx - sx * sx / n) / n
+    vx = n * sxx - sx * sx
+    vy = n * syy - sy * sy
+    cov = n * sxy - sx * sy
+    names = F.array(*[F.lit(f) for f in features])
+    return sums.select(
+        "position", names[F.col("position")].alias("feature"), (sx / n).alias("mean"),
+        F.sqrt(F.when(var_s < 0, F.lit(0.0)).otherwise(var_s)).alias("std_samp"),
+        F.sqrt(F.when(var_p < 0, F.lit(0.0)).otherwise(var_p)).alias("std_pop"),
+        F.when(vx * vy > 0, cov / F.sqrt(vx * vy)).otherwise(F.lit(0.0)).alias("correlation"),
+    )
 
 
-def wide_stats(train: DataFrame, features: Sequence[str] = K.FEATURE_COLUMNS, label: str = "Churn") -> DataFrame:
-    """One row: m_i, s_i (sample std), sp_i (population std), c_i (correlation)."""
-    aggs = [F.count(F.lit(1)).cast("double").alias("_n")]
-    y = F.col(label)
-    aggs += [a.alias(n) for a, n in zip(_moment_sums(y), ["_sy", "_syy"])]
-    for i, f in enumerate(features):
-        aggs += [a.alias(n) for a, n in zip(_moment_sums(F.col(f), y), [f"_sx{i}", f"_sxx{i}", f"_sxy{i}"])]
-    raw = train.agg(*aggs)
-    n = F.col("_n")
-    cols = []
-    vy = n * F.col("_syy") - F.col("_sy") * F.col("_sy")
-    for i in range(len(features)):
-        sx, sxx, sxy = F.col(f"_sx{i}"), F.col(f"_sxx{i}"), F.col(f"_sxy{i}")
-        var_s = (sxx - sx * sx / n) / (n - 1)
-        var_p = (sxx - sx * sx / n) / n
-        vx = n * sxx - sx * sx
-        cov = n * sxy - sx * F.col("_sy")
-        cols += [
-            (sx / n).alias(f"m{i}"),
-            F.sqrt(F.when(var_s < 0, F.lit(0.0)).otherwise(var_s)).alias(f"s{i}"),
-            F.sqrt(F.when(var_p < 0, F.lit(0.0)).otherwise(var_p)).alias(f"sp{i}"),
-            F.when(vx * vy > 0, cov / F.sqrt(vx * vy)).otherwise(F.lit(0.0)).alias(f"c{i}"),
-        ]
-    return raw.select(*cols)
+def stats_row(stats: DataFrame, coefficient: str = "correlation", std: str = "std_samp") -> DataFrame:
+    """One row, ``stats``: array of (position, m, s, c) ordered by position.
 
+    ``stats`` has one row per model feature, so the collected array is as
+    long as the feature list.
+    """
+    item = F.struct(F.col("position"), F.col("mean").alias("m"), F.col(std).alias("s"), F.col(coefficient).alias("c"))
+    return stats.agg(F.array_sort(F.collect_list(item)).alias("stats"))
 
-def feature_stats(train: DataFrame, features: Sequence[str] = K.FEATURE_COLUMNS, label: str = "Churn") -> DataFrame:
-    """Per feature: position, mean, std_samp, std_pop, correlation."""
-    w = wide_stats(train, features, label)
-    rows = F.explode(F.array(*[
-        F.struct(F.lit(i).alias("position"), F.lit(f).alias("feature"), F.col(f"m{i}").alias("mean"),
-                 F.col(f"s{i}").alias("std_samp"), F.col(f"sp{i}").alias("std_pop"),
-                 F.col(f"c{i}").alias("correlation"))
-        for i, f in enumerate(features)
-    ]))
-    return w.select(rows.alias("r")).select("r.*")
+
+def wide_stats(train: DataFrame, features: Sequence[str] = K.FEATURE_COLUMNS, label: str = "Churn") -> DataFrame:
+    """The statistics row of a correlation scorer fitted on ``train``."""
+    return stats_row(feature_stats(train, features, label))
 
 
 def _contribution_array(features: Sequence[str]) -> Column:
-    items = []
-    for i, f in enumerate(features):
-        s = F.col(f"s{i}")
-        z = F.when(s > 0, (F.col(f).cast("double") - F.col(f"m{i}")) / s).otherwise(F.lit(0.0))
-        contrib = F.col(f"c{i}") * z
-        items.append(F.struct(
-            F.lit(i).alias("position"), F.lit(f).alias("feature"), z.alias("value"),
-            F.col(f"c{i}").alias("coefficient"), contrib.alias("contribution"),
-        ))
-    return F.array(*items)
-
-
-def with_contributions(rows: DataFrame, stats_row: DataFrame, features: Sequence[str] = K.FEATURE_COLUMNS,
+    """Per row: array of (position, feature, value, coefficient, contribution).
+
+    One lambda over the zipped arrays (row values and the statistics row),
+    so the expression does not grow with the feature count.
+    """
+    xs = F.array(*[F.col(f).cast("double") for f in features])
+    names = F.array(*[F.lit(f) for f in features])
+    zipped = F.arrays_zip(names.alias("feature"), xs.alias("x"), F.col("stats").alias("st"))
+
+    def one(e: Column) -> Column:
+        st = e["st"]
+        z = F.when(st["s"] > 0, (e["x"] - st["m"]) / st["s"]).otherwise(F.lit(0.0))
+        return F.struct(
+            st["position"].alias("position"), e["feature"].alias("feature"), z.alias("value"),
+            st["c"].alias("coefficient"), (st["c"] * z).alias("contribution"),
+        )
+
+    return F.transform(zipped, one)
+
+
+def with_contributions(rows: DataFrame, stats: DataFrame, features: Sequence[str] = K.FEATURE_COLUMNS,
                        key: str = "customer_id") -> DataFrame:
     """``key`` and an array of (position, feature, value, coefficient, contribution)."""
     # the statistics are one row: broadcast by construction
-    return rows.crossJoin(F.broadcast(stats_row)).select(key, _contribution_array(features).alias("contributions"))
+    return rows.crossJoin(F.broadcast(stats)).select(key, _contribution_array(features).alias("contributions"))
 
 
 def linear_contributions(rows: DataFrame, stats_row: DataFrame, features: Sequence[str] = K.FEATURE_COLUMNS) -> DataFrame:
@@ -129,16 +143,13 @@ def top_factors(rows: DataFrame, stats_row: DataFrame, features: Sequence[str] =
     )
 
 
-def global_contributions(rows: DataFrame, stats_row: DataFrame, features: Sequence[str] = K.FEATURE_COLUMNS) -> DataFrame:
-    """Mean |contribution| per feature (A26): one wide aggregate, then rows."""
-    arr = with_contributions(rows, stats_row, features)
-    wide = arr.agg(*[
-        G.exact_avg(F.abs(F.col("contributions")[i]["contribution"])).alias(f"a{i}") for i in range(len(features))
-    ])
-    rows_ = F.explode(F.array(*[
-        F.struct(F.lit(f).alias("feature"), F.col(f"a{i}").alias("mean_abs_contribution")) for i, f in enumerate(features)
-    ]))
-    return wide.select(rows_.alias("r")).select("r.*")
+def global_contributions(rows: DataFrame, stats: DataFrame, features: Sequence[str] = K.FEATURE_COLUMNS) -> DataFrame:
+    """Mean |contribution| per feature (A26): exploded, then partial sums by feature."""
+    arr = with_contributions(rows, stats, features)
+    long = arr.select(F.explode("contributions").alias("c"))
+    return long.groupBy(F.col("c.feature").alias("feature")).agg(
+        G.exact_avg(F.abs(F.col("c.contribution"))).alias("mean_abs_contribution")
+    )
 
 
 def linear_importance(stats: DataFrame, coefficient: str = "correlation", mode: str = "reference") -> DataFrame:

@@ -138,7 +138,11 @@ def prepare(raw: DataFrame, exact: bool = True, cuts: DataFrame | None = None) -
     ``cuts`` (from ``fit_cuts``) can be passed to apply constants fitted
     elsewhere (e.g. on the training split only).
     """
-    cleaned = clean(raw)
+    return prepare_cleaned(clean(raw), exact=exact, cuts=cuts)
+
+
+def prepare_cleaned(cleaned: DataFrame, exact: bool = True, cuts: DataFrame | None = None) -> DataFrame:
+    """Cleaned rows -> engineered, CLV and quartile."""
     cuts = cuts if cuts is not None else fit_cuts(cleaned, exact=exact)
     # one-row table of constants: broadcast by construction
     cuts = F.broadcast(cuts)

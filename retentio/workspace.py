@@ -43,7 +43,11 @@ class Workspace:
 
     @property
     def cleaned(self) -> DataFrame:
-        return P.clean(self.raw)
+        """Typed subscriber rows, written once: ``orders`` is aggregated a single
+        time however many plans (cuts, features, split ranks) read them."""
+        if getattr(self, "_cleaned", None) is None:
+            self._cleaned = write_stage(P.clean(self.raw), "cleaned")
+        return self._cleaned
 
     @property
     def cuts(self) -> DataFrame:
@@ -56,7 +60,7 @@ class Workspace:
     def prepared(self) -> DataFrame:
         """Cleaned, engineered, CLV quartile, split and fold; read from files."""
         if self._prepared is None:
-            rows = P.prepare(self.raw, cuts=self.cuts)
+            rows = P.prepare_cleaned(self.cleaned, cuts=self.cuts)
             rows = assign_split(rows)
             self._prepared = write_stage(rows, "prepared", partition_by=["split"])
         return self._prepared
