@@ -65,6 +65,24 @@ def q_serving(spark, sf):
     return P.serving_features(requests)
 
 
+@query("subscribers_csv")
+def q_csv(spark, sf):
+    """IO1: the raw table written as CSV and read back under the fixed schema."""
+    import os
+    import uuid
+    from retentio.session import ensure_checkpoint_dir
+    from retentio.sources.files import read_raw_csv, write_raw_csv
+    path = os.path.join(ensure_checkpoint_dir(spark), "stages", f"raw-csv-{uuid.uuid4().hex[:12]}")
+    write_raw_csv(_ws(spark, sf).raw, path)
+    return P.clean(read_raw_csv(spark, path))
+
+
+@query("train_rows")
+def q_train_rows(spark, sf):
+    """IO2: one split read from the partitioned prepared table (folder pruning)."""
+    return _ws(spark, sf).split("train")
+
+
 @query("stratified_split")
 def q_split(spark, sf):
     return _ws(spark, sf).prepared.select("customer_id", "Churn", "split", "fold")

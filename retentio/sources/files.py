@@ -29,7 +29,10 @@ def read_raw_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_raw_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("header", True).option("emptyValue", "").csv(path)
+    """Write raw rows as CSV keeping blank-but-present text (e.g. ' ')."""
+    (df.write.mode("overwrite").option("header", True)
+     .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
+     .csv(path))
 
 
 def write_splits(df: DataFrame, path: str, fmt: str = "parquet") -> None:

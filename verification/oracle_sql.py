@@ -78,6 +78,8 @@ FROM (
              tenure * MonthlyCharges) AS TotalCharges
   FROM raw) q
 """
+SQL["subscribers_csv"] = "SELECT * FROM clean"
+SQL["train_rows"] = "SELECT * FROM prep_split WHERE split = 'train'"
 SQL["stratified_split"] = "SELECT customer_id, Churn, split, fold FROM split"
 SQL["sample_rows"] = """
 SELECT customer_id, Churn, CLV FROM prep ORDER BY md5('42:' || customer_id), customer_id LIMIT 200
