@@ -120,6 +120,28 @@ class TrainedModels:
     cv_auc: dict[str, float] = field(default_factory=dict)
     params: dict[str, dict] = field(default_factory=dict)
 
+    @classmethod
+    def from_combined(cls, model: PipelineModel) -> "TrainedModels":
+        """Split a saved combined pipeline back into feature stages and models."""
+        from pyspark.ml.classification import (
+            GBTClassificationModel, LogisticRegressionModel, RandomForestClassificationModel,
+        )
+        from pyspark.ml.feature import StandardScalerModel, StringIndexerModel
+
+        feats, linear, models = [], [], {}
+        for st in model.stages:
+            if isinstance(st, (StringIndexerModel, VectorAssembler)):
+                feats.append(st)
+            elif isinstance(st, (StandardScalerModel, LogisticRegressionModel)):
+                linear.append(st)
+            elif isinstance(st, RandomForestClassificationModel):
+                models["random_forest"] = st
+            elif isinstance(st, GBTClassificationModel):
+                models["boosted"] = st
+        if linear:
+            models["logistic"] = PipelineModel(stages=linear)
+        return cls(features=PipelineModel(stages=feats), models=models)
+
     def combined(self) -> PipelineModel:
         """Feature stages followed by every model: scores all models in one pass."""
         stages = list(self.features.stages)
@@ -158,23 +180,31 @@ def train_models(
 
     builders = {"logistic": logistic_estimator, "random_forest": forest_estimator, "boosted": boosted_estimator}
     out = TrainedModels(features=features, models={})
+
+    def fit_one(name: str):
+        est = builders[name]()
+        evaluator = BinaryClassificationEvaluator(
+            rawPredictionCol=cols(name)["raw"], labelCol=LABEL, metricName="areaUnderROC"
+        )
+        grid_maps = _grid(name, est, n_train, grid)
+        cv = CrossValidator(
+            estimator=est, estimatorParamMaps=grid_maps, evaluator=evaluator,
+            numFolds=K.N_FOLDS, foldCol="fold", parallelism=parallelism, seed=K.SEED,
+        )
+        fitted = cv.fit(train)
+        best = max(range(len(grid_maps)), key=lambda i: fitted.avgMetrics[i])
+        return name, fitted.bestModel, float(fitted.avgMetrics[best]), {p.name: v for p, v in grid_maps[best].items()}
+
     try:
-        for name in models:
-            est = builders[name]()
-            evaluator = BinaryClassificationEvaluator(
-                rawPredictionCol=cols(name)["raw"], labelCol=LABEL, metricName="areaUnderROC"
-            )
-            grid_maps = _grid(name, est, n_train, grid)
-            cv = CrossValidator(
-                estimator=est, estimatorParamMaps=grid_maps, evaluator=evaluator,
-                numFolds=K.N_FOLDS, foldCol="fold", parallelism=parallelism, seed=K.SEED,
-            )
-            fitted = cv.fit(train)
-            best = max(range(len(grid_maps)), key=lambda i: fitted.avgMetrics[i])
-            out.models[name] = fitted.bestModel
-            out.cv_auc[name] = float(fitted.avgMetrics[best])
-            out.params[name] = {p.name: v for p, v in grid_maps[best].items()}
-            log.info("%s: best %s, cv auc %.4f", name, out.params[name], out.cv_auc[name])
+        # The three searches are independent Spark jobs: submitted from
+        # concurrent threads they share the cluster instead of queueing.
+        from concurrent.futures import ThreadPoolExecutor
+        with ThreadPoolExecutor(max_workers=max(1, len(models))) as pool:
+            for name, best_model, auc, params in pool.map(fit_one, models):
+                out.models[name] = best_model
+                out.cv_auc[name] = auc
+                out.params[name] = params
+                log.info("%s: best %s, cv auc %.4f", name, params, auc)
     finally:
         train.unpersist()
     return out

@@ -1,32 +1,55 @@
-"""The prepared subscriber table, built once per session and input folder.
+"""The prepared subscriber table and fitted models, built once per input.
 
 Preparation has two data-dependent constants (fiber cut, CLV quartile
 edges) and a stratified split; every report, metric and model reads its
-output. ``Workspace`` builds it once and writes it as parquet, partitioned
-by ``split``, under the session's shared checkpoint folder
-(``spark.checkpoint.dir``). Later plans start at those files: lineage is
-cut (a lost executor re-reads files instead of re-aggregating ``orders``)
-and ``where split = ...`` prunes folders.
+output. ``Workspace`` builds each stage once and writes it as parquet
+(the prepared table partitioned by ``split``) under the session's shared
+checkpoint folder (``spark.checkpoint.dir``). Later plans start at those
+files: lineage is cut (a lost executor re-reads files instead of
+re-aggregating ``orders``) and ``where split = ...`` prunes folders.
+
+Artifacts are remembered by input folder and a signature of its files
+(name, size, modification time), as paths: a later session in the same
+process reads them back instead of recomputing, and changed inputs give a
+new signature.
 """
 
 from __future__ import annotations
 
+import os
 import threading
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from retentio.operators import prepare as P
 from retentio.operators.split import assign_split
-from retentio.plans.lineage import write_stage
+from retentio.session import ensure_checkpoint_dir
 from retentio.sources.subscribers import load_subscribers
 
 # Registered model queries fit one grid point per model (the reference
 # grids are ``grid="reference"`` in ``ml.models.train_models``).
 REGISTRY_GRID = "quick"
 
-_LOCK = threading.Lock()
-_CACHE: dict[tuple[str, str, bool], "Workspace"] = {}
+_LOCK = threading.RLock()
+_ARTIFACTS: dict[tuple, dict[str, str]] = {}
+
+
+def _signature(sf_dir: str) -> tuple:
+    out = []
+    for name in ("customer", "orders"):
+        p = os.path.join(sf_dir, f"{name}.parquet")
+        try:
+            st = os.stat(p)
+            out.append((name, st.st_size, int(st.st_mtime)))
+        except OSError:
+            out.append((name, None, None))
+    return tuple(out)
+
+
+def _artifact_key(sf_dir: str, exact: bool) -> tuple:
+    return (os.path.abspath(sf_dir), _signature(sf_dir), exact)
 
 
 class Workspace:
@@ -34,8 +57,25 @@ class Workspace:
         self.spark = spark
         self.sf_dir = sf_dir
         self.exact = exact
-        self._prepared: DataFrame | None = None
-        self._cuts: DataFrame | None = None
+        self._paths = _ARTIFACTS.setdefault(_artifact_key(sf_dir, exact), {})
+        self._frames: dict[str, DataFrame] = {}
+        self._objects: dict[str, object] = {}
+
+    def _stage(self, name: str, build, partition_by: list[str] | None = None) -> DataFrame:
+        with _LOCK:
+            if name in self._frames:
+                return self._frames[name]
+            path = self._paths.get(name)
+            if path is None or not os.path.exists(os.path.join(path, "_SUCCESS")):
+                path = os.path.join(ensure_checkpoint_dir(self.spark), "stages", f"{name}-{uuid.uuid4().hex[:12]}")
+                writer = build().write.mode("overwrite")
+                if partition_by:
+                    writer = writer.partitionBy(*partition_by)
+                writer.parquet(path)
+                self._paths[name] = path
+            df = self.spark.read.parquet(path)
+            self._frames[name] = df
+            return df
 
     @property
     def raw(self) -> DataFrame:
@@ -45,33 +85,28 @@ class Workspace:
     def cleaned(self) -> DataFrame:
         """Typed subscriber rows, written once: ``orders`` is aggregated a single
         time however many plans (cuts, features, split ranks) read them."""
-        if getattr(self, "_cleaned", None) is None:
-            self._cleaned = write_stage(P.clean(self.raw), "cleaned")
-        return self._cleaned
+        return self._stage("cleaned", lambda: P.clean(self.raw))
 
     @property
     def cuts(self) -> DataFrame:
-        """One row: fiber_cut, clv_min, q1, q2, q3, clv_max (materialized)."""
-        if self._cuts is None:
-            self._cuts = write_stage(P.fit_cuts(self.cleaned, exact=self.exact), "cuts")
-        return self._cuts
+        """One row: fiber_cut, clv_min, q1, q2, q3, clv_max."""
+        return self._stage("cuts", lambda: P.fit_cuts(self.cleaned, exact=self.exact))
 
     @property
     def prepared(self) -> DataFrame:
         """Cleaned, engineered, CLV quartile, split and fold; read from files."""
-        if self._prepared is None:
-            rows = P.prepare_cleaned(self.cleaned, cuts=self.cuts)
-            rows = assign_split(rows)
-            self._prepared = write_stage(rows, "prepared", partition_by=["split"])
-        return self._prepared
+        return self._stage(
+            "prepared", lambda: assign_split(P.prepare_cleaned(self.cleaned, cuts=self.cuts)), partition_by=["split"]
+        )
 
     @property
     def codes(self):
         """Alphabetical codes of the string features, fitted on all prepared rows."""
-        if getattr(self, "_codes", None) is None:
-            from retentio.operators.encode import fit_codes
-            self._codes = fit_codes(self.prepared)
-        return self._codes
+        with _LOCK:
+            if "codes" not in self._objects:
+                from retentio.operators.encode import fit_codes
+                self._objects["codes"] = fit_codes(self.prepared)
+            return self._objects["codes"]
 
     @property
     def encoded(self) -> DataFrame:
@@ -79,26 +114,32 @@ class Workspace:
         from retentio.operators.encode import encode
         return encode(self.prepared, self.codes)
 
-    def trained(self, grid: str = REGISTRY_GRID):
-        """Models fitted on the train split, once per session (cached)."""
-        cache = self.__dict__.setdefault("_trained", {})
-        if grid not in cache:
-            from retentio.ml.models import train_models
-            cache[grid] = train_models(self.prepared, grid=grid)
-        return cache[grid]
-
     def model(self, grid: str = REGISTRY_GRID):
         """The combined scoring pipeline, saved to and loaded from shared storage (IO6)."""
-        cache = self.__dict__.setdefault("_models", {})
-        if grid not in cache:
-            import os
-            import uuid
-            from retentio.ml.models import load, save
-            from retentio.session import ensure_checkpoint_dir
-            path = os.path.join(ensure_checkpoint_dir(self.spark), "models", f"combined-{uuid.uuid4().hex[:12]}")
-            save(self.trained(grid), path)
-            cache[grid] = load(path)
-        return cache[grid]
+        from retentio.ml.models import load, save, train_models
+
+        key = f"model:{grid}"
+        with _LOCK:
+            if key in self._objects:
+                return self._objects[key]
+            path = self._paths.get(key)
+            if path is None or not os.path.exists(path):
+                trained = train_models(self.prepared, grid=grid)
+                path = os.path.join(ensure_checkpoint_dir(self.spark), "models", f"combined-{uuid.uuid4().hex[:12]}")
+                save(trained, path)
+                self._paths[key] = path
+            self._objects[key] = load(path)
+            return self._objects[key]
+
+    def trained(self, grid: str = REGISTRY_GRID):
+        """Fitted feature stages and models, taken from the saved pipeline."""
+        from retentio.ml.models import TrainedModels
+
+        key = f"trained:{grid}"
+        with _LOCK:
+            if key not in self._objects:
+                self._objects[key] = TrainedModels.from_combined(self.model(grid))
+            return self._objects[key]
 
     def split(self, *names: str) -> DataFrame:
         return self.prepared.where(F.col("split").isin(list(names)))
@@ -110,10 +151,14 @@ class Workspace:
         return self.split(*splits)
 
 
+_SESSIONS: dict[tuple, Workspace] = {}
+
+
 def workspace(spark: SparkSession, sf_dir: str, exact: bool = True) -> Workspace:
-    key = (spark.sparkContext.applicationId, sf_dir, exact)
+    """The workspace of ``sf_dir`` bound to ``spark`` (artifacts shared)."""
+    key = (spark.sparkContext.applicationId, id(spark), os.path.abspath(sf_dir), exact)
     with _LOCK:
-        ws = _CACHE.get(key)
-        if ws is None:
-            ws = _CACHE[key] = Workspace(spark, sf_dir, exact)
+        ws = _SESSIONS.get(key)
+        if ws is None or ws._paths is not _ARTIFACTS.get(_artifact_key(sf_dir, exact)):
+            ws = _SESSIONS[key] = Workspace(spark, sf_dir, exact)
         return ws
