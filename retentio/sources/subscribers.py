@@ -8,11 +8,12 @@ the order count, internet type from the market segment, the monthly charge
 from the account balance. Every 50th customer has tenure 0 and every 97th
 a blank total, so both imputation branches of cleaning are exercised.
 
-Plan shape: ``orders`` is read once (three columns, pruned at the scan) and
-partially aggregated per customer before the shuffle; the data's last order
-date is taken from that per-customer aggregate (one row, broadcast), not
-from a second scan. The customer side joins the aggregate on the key; at
-scale both sides are large and AQE picks sort-merge or shuffled hash.
+Plan shape: ``orders`` is read with two columns (pruned at the scan) and
+partially aggregated per customer before the shuffle, so a customer with a
+third of all orders is combined map-side. The data's last order date is a
+global ``max`` over one column (a partial max per task; one row, broadcast).
+The customer side joins the aggregate on the key; at scale both sides are
+large and AQE picks sort-merge or shuffled hash (skew join enabled).
 """
 
 from __future__ import annotations
@@ -48,8 +49,9 @@ def subscribers_from_orders(customer: DataFrame, orders: DataFrame) -> DataFrame
         F.min("o_orderdate").alias("first_dt"),
         F.max("o_orderdate").alias("last_dt"),
     )
-    # one row by construction (global aggregate)
-    last_day = per_customer.agg(F.max("last_dt").alias("ref_dt"))
+    # one row by construction (global aggregate over one pruned column:
+    # a partial max per task, then one row per task to a single reducer)
+    last_day = orders.agg(F.max("o_orderdate").alias("ref_dt"))
 
     c = customer.select("c_custkey", "c_nationkey", "c_acctbal", "c_mktsegment")
     base = (
