@@ -15,6 +15,14 @@ from pyspark.sql import DataFrame
 from retentio.session import ensure_checkpoint_dir
 
 
+def path_exists(spark, path: str) -> bool:
+    """Existence check through Hadoop's FileSystem (local, HDFS or object store)."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return bool(fs.exists(p))
+
+
 def checkpoint(df: DataFrame, eager: bool = True) -> DataFrame:
     """Reliable checkpoint into the session's shared checkpoint folder."""
     ensure_checkpoint_dir(df.sparkSession)

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from retentio.operators import prepare as P
 from retentio.operators.split import assign_split
+from retentio.plans.lineage import path_exists
 from retentio.session import ensure_checkpoint_dir
 from retentio.sources.subscribers import load_subscribers
 
@@ -36,20 +37,24 @@ _LOCK = threading.RLock()
 _ARTIFACTS: dict[tuple, dict[str, str]] = {}
 
 
-def _signature(sf_dir: str) -> tuple:
+def _signature(spark: SparkSession, sf_dir: str) -> tuple:
+    """(name, bytes, modification time) of the inputs, through Hadoop's FileSystem."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
     out = []
     for name in ("customer", "orders"):
-        p = os.path.join(sf_dir, f"{name}.parquet")
+        p = jvm.org.apache.hadoop.fs.Path(f"{sf_dir.rstrip('/')}/{name}.parquet")
         try:
-            st = os.stat(p)
-            out.append((name, st.st_size, int(st.st_mtime)))
-        except OSError:
+            fs = p.getFileSystem(conf)
+            st = fs.getFileStatus(p)
+            out.append((name, int(fs.getContentSummary(p).getLength()), int(st.getModificationTime())))
+        except Exception:  # noqa: BLE001 - missing input: key on the name only
             out.append((name, None, None))
     return tuple(out)
 
 
-def _artifact_key(sf_dir: str, exact: bool) -> tuple:
-    return (os.path.abspath(sf_dir), _signature(sf_dir), exact)
+def _artifact_key(spark: SparkSession, sf_dir: str, exact: bool) -> tuple:
+    return (sf_dir.rstrip("/"), _signature(spark, sf_dir), exact)
 
 
 class Workspace:
@@ -57,7 +62,7 @@ class Workspace:
         self.spark = spark
         self.sf_dir = sf_dir
         self.exact = exact
-        self._paths = _ARTIFACTS.setdefault(_artifact_key(sf_dir, exact), {})
+        self._paths = _ARTIFACTS.setdefault(_artifact_key(spark, sf_dir, exact), {})
         self._frames: dict[str, DataFrame] = {}
         self._objects: dict[str, object] = {}
 
@@ -66,7 +71,7 @@ class Workspace:
             if name in self._frames:
                 return self._frames[name]
             path = self._paths.get(name)
-            if path is None or not os.path.exists(os.path.join(path, "_SUCCESS")):
+            if path is None or not path_exists(self.spark, f"{path}/_SUCCESS"):
                 path = os.path.join(ensure_checkpoint_dir(self.spark), "stages", f"{name}-{uuid.uuid4().hex[:12]}")
                 writer = build().write.mode("overwrite")
                 if partition_by:
@@ -123,7 +128,7 @@ class Workspace:
             if key in self._objects:
                 return self._objects[key]
             path = self._paths.get(key)
-            if path is None or not os.path.exists(path):
+            if path is None or not path_exists(self.spark, f"{path}/metadata"):
                 trained = train_models(self.prepared, grid=grid)
                 path = os.path.join(ensure_checkpoint_dir(self.spark), "models", f"combined-{uuid.uuid4().hex[:12]}")
                 save(trained, path)
@@ -156,9 +161,9 @@ _SESSIONS: dict[tuple, Workspace] = {}
 
 def workspace(spark: SparkSession, sf_dir: str, exact: bool = True) -> Workspace:
     """The workspace of ``sf_dir`` bound to ``spark`` (artifacts shared)."""
-    key = (spark.sparkContext.applicationId, id(spark), os.path.abspath(sf_dir), exact)
+    key = (spark.sparkContext.applicationId, id(spark), sf_dir.rstrip("/"), exact)
     with _LOCK:
         ws = _SESSIONS.get(key)
-        if ws is None or ws._paths is not _ARTIFACTS.get(_artifact_key(sf_dir, exact)):
+        if ws is None or ws._paths is not _ARTIFACTS.get(_artifact_key(spark, sf_dir, exact)):
             ws = _SESSIONS[key] = Workspace(spark, sf_dir, exact)
         return ws
