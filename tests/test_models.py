@@ -87,3 +87,21 @@ def test_stream_equals_batch(spark, ws):
     m = streamed.merge(batch, on="customer_id", suffixes=("_s", "_b"))
     assert len(m) == len(batch) == len(streamed)
     assert np.allclose(m["churn_probability_s"], m["churn_probability_b"])
+
+
+def test_batch_kernel_equals_recursion(spark, ws, trained):
+    from pyspark.ml.functions import vector_to_array
+    from retentio.ml.treeshap import _leaf_paths, _tables, predict_batch, tree_shap, tree_shap_batch
+    x = np.array([r.x for r in trained.features.transform(ws.split("test"))
+                  .select(vector_to_array("features").alias("x")).limit(25).collect()])
+    for name, kind in (("boosted", "boosted"), ("random_forest", "forest")):
+        trees = _tables(spark, trained.models[name], kind)["trees"][:10]
+        ref = np.zeros_like(x)
+        for i in range(len(x)):
+            for t in trees:
+                tree_shap(x[i], t, ref[i])
+        got = np.zeros_like(x)
+        for t in trees:
+            tree_shap_batch(x, t, got, _leaf_paths(t), {})
+        assert np.allclose(ref, got, atol=1e-12)
+        assert np.isfinite(sum(predict_batch(x, t) for t in trees)).all()
