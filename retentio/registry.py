@@ -295,6 +295,15 @@ def q_top_factors(spark, sf):
     return A.top_factors(ws.encoded.where(F.col("split") == "test"), _train_stats(spark, sf))
 
 
+@query("first_customer_factors")
+def q_first_customer(spark, sf):
+    """The explanation demo on the first test customer (by key order)."""
+    ws = _ws(spark, sf)
+    first = ws.split("test").select("customer_id").orderBy("customer_id").limit(1)
+    rows = ws.encoded.where(F.col("split") == "test").join(first, "customer_id", "left_semi")
+    return A.top_factors(rows, _train_stats(spark, sf))
+
+
 @query("global_contributions")
 def q_global_contributions(spark, sf):
     ws = _ws(spark, sf)

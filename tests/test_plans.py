@@ -63,3 +63,26 @@ def test_exact_quantiles_by_stratum(spark):
 def test_quantiles_ignore_nulls(spark):
     df = spark.createDataFrame([(1.0,), (None,), (3.0,), (2.0,)], "v double")
     assert quantiles(df, "v", [0.5]).first().q0 == 2.0
+
+
+def test_approximate_quantiles_close(spark):
+    pdf, df = _frame(spark)
+    row = quantiles(df, "v", [0.25, 0.5, 0.75], exact=False).first()
+    exp = np.quantile(pdf["v"].to_numpy(), [0.25, 0.5, 0.75])
+    span = pdf["v"].max() - pdf["v"].min()
+    assert all(abs(row[f"q{i}"] - e) <= 0.02 * span for i, e in enumerate(exp))
+
+
+def test_binned_auc_close_to_exact(spark):
+    from retentio.operators.metrics import auc
+    rng = np.random.default_rng(3)
+    n = 4000
+    label = rng.integers(0, 2, n)
+    score = np.clip(0.35 * label + rng.normal(0.3, 0.2, n), 0, 1)
+    df = spark.createDataFrame(pd.DataFrame({"model": "m", "label": label.astype(int), "score": score}))
+    exact = auc(df).first().auc_roc
+    binned = auc(df, bins=1000).first().auc_roc
+    pos, neg = score[label == 1], score[label == 0]
+    ref = ((pos[:, None] > neg[None, :]).sum() + 0.5 * (pos[:, None] == neg[None, :]).sum()) / (len(pos) * len(neg))
+    assert exact == pytest.approx(ref, abs=1e-12)
+    assert abs(binned - exact) < 2e-3

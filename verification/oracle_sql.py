@@ -395,6 +395,15 @@ rk AS (SELECT customer_id, feature, contribution,
 SELECT customer_id, factor_rank, feature, abs(contribution) AS weight,
   CASE WHEN contribution > 0 THEN 'increases' ELSE 'decreases' END AS direction
 FROM rk WHERE factor_rank <= 5"""
+SQL["first_customer_factors"] = f"""WITH {STATS},
+{CONTRIB},
+rk AS (SELECT customer_id, feature, contribution,
+         row_number() OVER (PARTITION BY customer_id ORDER BY abs(contribution) DESC, position) AS factor_rank
+       FROM lc WHERE customer_id = (SELECT customer_id FROM prep_split WHERE split = 'test'
+                                    ORDER BY customer_id LIMIT 1))
+SELECT customer_id, factor_rank, feature, abs(contribution) AS weight,
+  CASE WHEN contribution > 0 THEN 'increases' ELSE 'decreases' END AS direction
+FROM rk WHERE factor_rank <= 5"""
 SQL["global_contributions"] = f"""WITH {STATS},
 {CONTRIB}
 SELECT feature, {eavg('abs(contribution)')} AS mean_abs_contribution FROM lc GROUP BY feature"""
