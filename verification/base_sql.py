@@ -116,7 +116,7 @@ FROM feat f CROSS JOIN cuts q
 SPLIT = """
 SELECT customer_id, Churn,
   CASE WHEN r < t THEN 'test' WHEN r < t + v THEN 'val' ELSE 'train' END AS split,
-  CASE WHEN r >= t + v THEN (r - t - v) % 5 END AS fold
+  CAST(CASE WHEN r >= t + v THEN (r - t - v) % 5 END AS INTEGER) AS fold
 FROM (
   SELECT customer_id, Churn, r, t, (n - t + 3) // 4 AS v
   FROM (

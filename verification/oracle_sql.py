@@ -382,7 +382,7 @@ SQL["scaler_stats"] = f"WITH {STATS},\n{STATS_LONG}\nSELECT * FROM fs"
 SQL["linear_importance"] = f"""WITH {STATS},
 {STATS_LONG}
 SELECT feature, correlation AS coefficient, std_pop AS std_dev, abs(correlation * std_pop) AS importance,
-  row_number() OVER (ORDER BY abs(correlation * std_pop) DESC, position) AS importance_rank
+  CAST(row_number() OVER (ORDER BY abs(correlation * std_pop) DESC, position) AS INTEGER) AS importance_rank
 FROM fs"""
 SQL["linear_contributions"] = f"""WITH {STATS},
 {CONTRIB}
@@ -390,7 +390,7 @@ SELECT customer_id, feature, value, coefficient, contribution, abs(contribution)
 SQL["top_factors"] = f"""WITH {STATS},
 {CONTRIB},
 rk AS (SELECT customer_id, feature, contribution,
-         row_number() OVER (PARTITION BY customer_id ORDER BY abs(contribution) DESC, position) AS factor_rank
+         CAST(row_number() OVER (PARTITION BY customer_id ORDER BY abs(contribution) DESC, position) AS INTEGER) AS factor_rank
        FROM lc)
 SELECT customer_id, factor_rank, feature, abs(contribution) AS weight,
   CASE WHEN contribution > 0 THEN 'increases' ELSE 'decreases' END AS direction
@@ -398,7 +398,7 @@ FROM rk WHERE factor_rank <= 5"""
 SQL["first_customer_factors"] = f"""WITH {STATS},
 {CONTRIB},
 rk AS (SELECT customer_id, feature, contribution,
-         row_number() OVER (PARTITION BY customer_id ORDER BY abs(contribution) DESC, position) AS factor_rank
+         CAST(row_number() OVER (PARTITION BY customer_id ORDER BY abs(contribution) DESC, position) AS INTEGER) AS factor_rank
        FROM lc WHERE customer_id = (SELECT customer_id FROM prep_split WHERE split = 'test'
                                     ORDER BY customer_id LIMIT 1))
 SELECT customer_id, factor_rank, feature, abs(contribution) AS weight,
