@@ -50,7 +50,7 @@ def assembled_inputs() -> list[str]:
     return [f"{c}{SUFFIX}" if c in K.STRING_FEATURES else c for c in K.FEATURE_COLUMNS]
 
 
-def feature_pipeline() -> Pipeline:
+def feature_stages() -> Pipeline:
     return Pipeline(stages=[
         label_indexer(K.STRING_FEATURES),
         VectorAssembler(inputCols=assembled_inputs(), outputCol=FEATURES, handleInvalid="error"),
@@ -167,7 +167,7 @@ def train_models(
     """
     from retentio.plans.lineage import write_stage
 
-    features = feature_pipeline().fit(prepared)
+    features = feature_stages().fit(prepared)
     train = with_weights(prepared.where(F.col("split") == "train"))
     train = features.transform(train).select(FEATURES, LABEL, "fold", W_BALANCED, W_BOOST)
     if materialize:
