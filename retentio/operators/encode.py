@@ -20,6 +20,15 @@ from retentio import constants as K
 SUFFIX = "__code"
 
 
+NON_FEATURE_STRINGS = ("customer_id", "customerID", "CLV_quartile", "split", "Churn")
+
+
+def string_columns(df: DataFrame, exclude: Sequence[str] = NON_FEATURE_STRINGS) -> list[str]:
+    """String-typed columns of ``df`` in schema order, keys and labels left out."""
+    from pyspark.sql.types import StringType
+    return [f.name for f in df.schema.fields if isinstance(f.dataType, StringType) and f.name not in exclude]
+
+
 def label_indexer(columns: Sequence[str] = K.STRING_FEATURES) -> StringIndexer:
     return StringIndexer(
         inputCols=list(columns),

@@ -51,3 +51,10 @@ def test_histogram_max_in_last_bin(spark):
     df = _clv(spark, [1.0, 2.0, 3.0, 4.0])
     rows = R.clv_histogram(df, bins=3).collect()
     assert [r.n for r in rows] == [1, 1, 2]
+
+
+def test_string_columns_from_schema_match_encoded_features(spark, sf_dir):
+    from retentio import constants as K
+    from retentio.operators.encode import string_columns
+    from retentio.workspace import workspace
+    assert sorted(string_columns(workspace(spark, sf_dir).prepared)) == sorted(K.STRING_FEATURES)
