@@ -46,9 +46,10 @@ def train_job(spark: SparkSession, sf_dir: str, out: str, grid: str = "reference
     items.append(F.struct(F.lit("ensemble").alias("model"), F.col("churn_probability").alias("score")))
     long = scored.select(F.col("Churn").alias("label"), F.explode(F.array(*items)).alias("s")).select(
         "s.model", "label", "s.score")
-    metrics = M.classification_metrics(long).join(M.confusion_matrix(long), "model")
+    counts = M.score_counts(long)  # one pass over the scored rows for every metric
+    metrics = M.classification_metrics(counts).join(M.confusion_matrix(counts), "model")
     write_table(metrics, os.path.join(out, "metrics"))
-    write_table(M.roc_curve(long), os.path.join(out, "roc"))
+    write_table(M.roc_curve(counts), os.path.join(out, "roc"))
 
 
 def report_job(spark: SparkSession, sf_dir: str, out: str) -> None:

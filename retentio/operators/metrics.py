@@ -16,8 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from retentio import constants as K
-from retentio.functions import aggregates as G
 from retentio.functions import columns as C
+from retentio.plans.lineage import checkpoint
 from retentio.plans.ordered import running_totals
 
 
@@ -26,30 +26,41 @@ def predictions(scored: DataFrame, threshold: float = 0.5) -> DataFrame:
     return scored.withColumn("prediction", F.when(F.col("score") > threshold, F.lit(1)).otherwise(F.lit(0)))
 
 
-def confusion_matrix(scored: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """tn, fp, fn, tp per model."""
-    p = predictions(scored, threshold)
-    y, yhat = F.col("label"), F.col("prediction")
-    return p.groupBy("model").agg(
-        G.count_if((y == 0) & (yhat == 0)).alias("tn"),
-        G.count_if((y == 0) & (yhat == 1)).alias("fp"),
-        G.count_if((y == 1) & (yhat == 0)).alias("fn"),
-        G.count_if((y == 1) & (yhat == 1)).alias("tp"),
-    )
-
+def score_counts(scored: DataFrame, bins: int | None = None, materialize: bool = True) -> DataFrame:
+    """(model, score, pos, neg): the one pass over scored rows every metric uses.
 
-def _score_counts(scored: DataFrame, bins: int | None) -> DataFrame:
+    Rows collapse to distinct scores per model with map-side partial sums.
+    The collapsed table is checkpointed (shared storage) because the
+    confusion counts, the bucket bounds and the running totals all read it.
+    """
     s = F.col("score").cast("double")
     if bins:
         s = F.floor(s * bins) / F.lit(float(bins))
-    return scored.select("model", s.alias("score"), F.col("label")).groupBy("model", "score").agg(
+    counts = scored.select("model", s.alias("score"), F.col("label")).groupBy("model", "score").agg(
         F.sum(F.when(F.col("label") == 1, 1).otherwise(0)).cast("long").alias("pos"),
         F.sum(F.when(F.col("label") == 1, 0).otherwise(1)).cast("long").alias("neg"),
     )
+    return checkpoint(counts) if materialize else counts
+
+
+def _counts(scored_or_counts: DataFrame, bins: int | None) -> DataFrame:
+    cols = set(scored_or_counts.columns)
+    return scored_or_counts if {"pos", "neg"} <= cols else score_counts(scored_or_counts, bins)
 
 
-def _below(scored: DataFrame, bins: int | None) -> DataFrame:
-    counts = _score_counts(scored, bins)
+def confusion_matrix(scored: DataFrame, threshold: float = 0.5, bins: int | None = None) -> DataFrame:
+    """tn, fp, fn, tp per model (A22), from the collapsed score counts."""
+    c = _counts(scored, bins)
+    above = F.col("score") > threshold
+    return c.groupBy("model").agg(
+        F.sum(F.when(~above, F.col("neg")).otherwise(0)).cast("long").alias("tn"),
+        F.sum(F.when(above, F.col("neg")).otherwise(0)).cast("long").alias("fp"),
+        F.sum(F.when(~above, F.col("pos")).otherwise(0)).cast("long").alias("fn"),
+        F.sum(F.when(above, F.col("pos")).otherwise(0)).cast("long").alias("tp"),
+    )
+
+
+def _below(counts: DataFrame) -> DataFrame:
     return running_totals(
         counts, ["score"], {"pos_below": "pos", "neg_below": "neg"}, strata=["model"], inclusive=False
     )
@@ -60,7 +71,7 @@ def auc(scored: DataFrame, bins: int | None = None) -> DataFrame:
 
     AUC = sum(pos * (2 * negatives_below + neg)) / (2 * P * N).
     """
-    b = _below(scored, bins)
+    b = _below(_counts(scored, bins))
     agg = b.groupBy("model").agg(
         F.sum(F.col("pos") * (F.lit(2) * F.col("neg_below") + F.col("neg"))).alias("_num"),
         F.sum("pos").alias("_p"), F.sum("neg").alias("_n"),
@@ -73,11 +84,9 @@ def auc(scored: DataFrame, bins: int | None = None) -> DataFrame:
 
 def roc_curve(scored: DataFrame, bins: int | None = None) -> DataFrame:
     """One ROC point per distinct score (A25): rows with score >= threshold are positive."""
-    b = _below(scored, bins)
-    totals = scored.groupBy("model").agg(
-        F.sum(F.when(F.col("label") == 1, 1).otherwise(0)).cast("long").alias("P"),
-        F.sum(F.when(F.col("label") == 1, 0).otherwise(1)).cast("long").alias("N"),
-    )
+    c = _counts(scored, bins)
+    b = _below(c)
+    totals = c.groupBy("model").agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
     # one row per model: broadcast (bounded by the number of models)
     return b.join(F.broadcast(totals), "model").select(
         "model", F.col("score").alias("threshold"),
@@ -89,32 +98,38 @@ def roc_curve(scored: DataFrame, bins: int | None = None) -> DataFrame:
 def classification_metrics(scored: DataFrame, threshold: float = 0.5, bins: int | None = None) -> DataFrame:
     """precision, recall, f1, auc_roc and the recall check per model.
 
-    A ratio with a zero denominator is 0.
+    A ratio with a zero denominator is 0. Everything comes from one
+    collapsed pass over the scored rows.
     """
-    cm = confusion_matrix(scored, threshold)
-    tp, fp, fn = (F.col(c).cast("double") for c in ("tp", "fp", "fn"))
+    c = _counts(scored, bins)
+    cm = confusion_matrix(c, threshold)
+    tp, fp, fn = (F.col(x).cast("double") for x in ("tp", "fp", "fn"))
     m = cm.select(
         "model",
         F.when(tp + fp > 0, tp / (tp + fp)).otherwise(F.lit(0.0)).alias("precision"),
         F.when(tp + fn > 0, tp / (tp + fn)).otherwise(F.lit(0.0)).alias("recall"),
         F.when(2 * tp + fp + fn > 0, 2 * tp / (2 * tp + fp + fn)).otherwise(F.lit(0.0)).alias("f1"),
     )
-    out = m.join(auc(scored, bins), "model")
+    out = m.join(auc(c), "model")
     return out.withColumn("recall_ok", F.col("recall") >= K.RECALL_FLOOR)
 
 
 def model_comparison(metrics: DataFrame, baseline: str) -> DataFrame:
     """Best model by AUC and each model against the baseline.
 
-    Ties for best go to the model name that sorts first.
+    Ties for best go to the model name that sorts first. ``metrics`` has one
+    row per model, so the comparison is a window over that small table and
+    the metrics plan runs once.
     """
-    best = metrics.agg(F.min_by("model", F.struct(-F.col("auc_roc"), F.col("model"))).alias("_best"))  # one row
-    base = metrics.where(F.col("model") == baseline).select(F.col("auc_roc").alias("_base_auc"))  # one row
-    return metrics.crossJoin(F.broadcast(best)).crossJoin(F.broadcast(base)).select(
+    from pyspark.sql import Window
+    every = Window.partitionBy()  # one row per model: bounded by the model count
+    best = F.min_by("model", F.struct(-F.col("auc_roc"), F.col("model"))).over(every)
+    base = F.max(F.when(F.col("model") == baseline, F.col("auc_roc"))).over(every)
+    return metrics.select(
         "model", "precision", "recall", "f1", "auc_roc",
-        (F.col("model") == F.col("_best")).alias("is_best"),
+        (F.col("model") == best).alias("is_best"),
         F.when(F.col("model") == baseline, F.lit(None).cast("boolean"))
-        .otherwise(F.col("auc_roc") > F.col("_base_auc")).alias("beats_baseline"),
+        .otherwise(F.col("auc_roc") > base).alias("beats_baseline"),
     )
 
 

@@ -335,8 +335,8 @@ def q_scored(spark, sf):
 
 @query("model_metrics")
 def q_model_metrics(spark, sf):
-    long = _long_scores(_scored_test(spark, sf))
-    return M.classification_metrics(long).join(M.confusion_matrix(long), "model")
+    counts = M.score_counts(_long_scores(_scored_test(spark, sf)))  # one pass over scored rows
+    return M.classification_metrics(counts).join(M.confusion_matrix(counts), "model")
 
 
 @query("model_comparison_trained")
