@@ -94,17 +94,18 @@ def quartile_churn(prepared: DataFrame) -> DataFrame:
 def split_balance(prepared: DataFrame) -> DataFrame:
     """Split sizes, churn rate per split, gap to the overall rate.
 
-    The overall rate is a one-row aggregate joined by broadcast.
+    One pass: the overall rate is summed from the per-split rows (three
+    rows, so the window over them is small).
     """
+    from pyspark.sql import Window
     per = prepared.groupBy("split").agg(
         F.count(F.lit(1)).alias("n"), F.sum("Churn").cast("long").alias("churned"), G.rate("Churn").alias("churn_rate")
     )
-    overall = prepared.agg(G.rate("Churn").alias("overall_rate"))  # one row
-    gaps = per.crossJoin(F.broadcast(overall)).withColumn(
+    every = Window.partitionBy()  # one row per split
+    gaps = per.withColumn("overall_rate", F.sum("churned").over(every) / F.sum("n").over(every)).withColumn(
         "gap_points", F.abs(F.col("churn_rate") - F.col("overall_rate")) * 100.0
     )
-    worst = gaps.agg(F.max("gap_points").alias("max_gap_points"))  # one row
-    return gaps.crossJoin(F.broadcast(worst)).withColumn(
+    return gaps.withColumn("max_gap_points", F.max("gap_points").over(every)).withColumn(
         "stratified_ok", F.col("max_gap_points") < K.SPLIT_DRIFT_POINTS
     )
 
@@ -113,30 +114,31 @@ def class_weights(train: DataFrame, label: str = "Churn") -> DataFrame:
     """Class counts and the two weightings.
 
     ``balanced_weight`` = n / (2 n_class); ``boost_weight`` = negatives /
-    positives for the positive class and 1 for the negative class.
+    positives for the positive class and 1 for the negative class. One pass;
+    totals come from the per-class rows (a binary label: two rows).
     """
+    from pyspark.sql import Window
     counts = train.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
-    tot = train.agg(
-        F.count(F.lit(1)).alias("_total"),
-        G.count_if(F.col(label) == 1).alias("_pos"),
-        G.count_if(F.col(label) == 0).alias("_neg"),
-    )  # one row
-    return counts.crossJoin(F.broadcast(tot)).select(
+    every = Window.partitionBy()  # one row per class
+    total = F.sum("n").over(every)
+    pos = F.max(F.when(F.col(label) == 1, F.col("n"))).over(every)
+    neg = F.max(F.when(F.col(label) == 0, F.col("n"))).over(every)
+    return counts.select(
         label, "n",
-        (F.col("_total").cast("double") / (F.lit(2.0) * F.col("n"))).alias("balanced_weight"),
-        F.when(F.col(label) == 1, F.col("_neg").cast("double") / F.col("_pos")).otherwise(F.lit(1.0)).alias("boost_weight"),
+        (total.cast("double") / (F.lit(2.0) * F.col("n"))).alias("balanced_weight"),
+        F.when(F.col(label) == 1, neg.cast("double") / pos).otherwise(F.lit(1.0)).alias("boost_weight"),
     )
 
 
 def balance_checks(prepared: DataFrame) -> DataFrame:
-    """Warnings as a table (C1): overall rate band, train rate for weighting."""
-    overall = prepared.agg(G.rate("Churn").alias("v"))
-    train = prepared.where(F.col("split") == "train").agg(G.rate("Churn").alias("v"))
-    rows = overall.select(
-        F.lit("churn_rate_in_band").alias("check_name"), F.col("v").alias("value"),
-        ((F.col("v") >= K.IMBALANCE_LOW) & (F.col("v") <= K.IMBALANCE_HIGH)).alias("passed"),
-    ).unionByName(train.select(
-        F.lit("train_rate_needs_no_weighting").alias("check_name"), F.col("v").alias("value"),
-        (F.col("v") >= K.TRAIN_WEIGHTING_BELOW).alias("passed"),
-    ))
-    return rows
+    """Warnings as a table (C1): overall rate band, train rate for weighting (one pass)."""
+    rates = prepared.agg(
+        G.rate("Churn").alias("overall"),
+        G.rate(F.when(F.col("split") == "train", F.col("Churn"))).alias("train"),
+    )
+    return rates.select(F.explode(F.array(
+        F.struct(F.lit("churn_rate_in_band").alias("check_name"), F.col("overall").alias("value"),
+                 ((F.col("overall") >= K.IMBALANCE_LOW) & (F.col("overall") <= K.IMBALANCE_HIGH)).alias("passed")),
+        F.struct(F.lit("train_rate_needs_no_weighting").alias("check_name"), F.col("train").alias("value"),
+                 (F.col("train") >= K.TRAIN_WEIGHTING_BELOW).alias("passed")),
+    )).alias("r")).select("r.*")
