@@ -58,11 +58,20 @@ def _artifact_key(spark: SparkSession, sf_dir: str, exact: bool) -> tuple:
 
 
 class Workspace:
-    def __init__(self, spark: SparkSession, sf_dir: str, exact: bool = True):
+    """``fit_on="all"`` fits the fiber cut and CLV quartile edges on every row,
+    as the reference does; ``fit_on="train"`` fits them on the training split
+    only (no test rows leak into the constants). The split depends only on the
+    key and the label, so it can be assigned before the constants are fitted.
+    """
+
+    def __init__(self, spark: SparkSession, sf_dir: str, exact: bool = True, fit_on: str = "all"):
+        if fit_on not in ("all", "train"):
+            raise ValueError("fit_on must be 'all' or 'train'")
         self.spark = spark
         self.sf_dir = sf_dir
         self.exact = exact
-        self._paths = _ARTIFACTS.setdefault(_artifact_key(spark, sf_dir, exact), {})
+        self.fit_on = fit_on
+        self._paths = _ARTIFACTS.setdefault(_artifact_key(spark, sf_dir, exact) + (fit_on,), {})
         self._frames: dict[str, DataFrame] = {}
         self._objects: dict[str, object] = {}
 
@@ -95,7 +104,12 @@ class Workspace:
     @property
     def cuts(self) -> DataFrame:
         """One row: fiber_cut, clv_min, q1, q2, q3, clv_max."""
-        return self._stage("cuts", lambda: P.fit_cuts(self.cleaned, exact=self.exact))
+        def build():
+            rows = self.cleaned
+            if self.fit_on == "train":
+                rows = assign_split(rows).where(F.col("split") == "train")
+            return P.fit_cuts(rows, exact=self.exact)
+        return self._stage("cuts", build)
 
     @property
     def prepared(self) -> DataFrame:
@@ -159,11 +173,11 @@ class Workspace:
 _SESSIONS: dict[tuple, Workspace] = {}
 
 
-def workspace(spark: SparkSession, sf_dir: str, exact: bool = True) -> Workspace:
+def workspace(spark: SparkSession, sf_dir: str, exact: bool = True, fit_on: str = "all") -> Workspace:
     """The workspace of ``sf_dir`` bound to ``spark`` (artifacts shared)."""
-    key = (spark.sparkContext.applicationId, id(spark), sf_dir.rstrip("/"), exact)
+    key = (spark.sparkContext.applicationId, id(spark), sf_dir.rstrip("/"), exact, fit_on)
     with _LOCK:
         ws = _SESSIONS.get(key)
-        if ws is None or ws._paths is not _ARTIFACTS.get(_artifact_key(spark, sf_dir, exact)):
-            ws = _SESSIONS[key] = Workspace(spark, sf_dir, exact)
+        if ws is None or ws._paths is not _ARTIFACTS.get(_artifact_key(spark, sf_dir, exact) + (fit_on,)):
+            ws = _SESSIONS[key] = Workspace(spark, sf_dir, exact, fit_on)
         return ws

@@ -42,3 +42,15 @@ def test_hash_method_is_close(spark):
 def test_sample_rows(spark):
     s = sample_rows(_rows(spark), 50)
     assert s.count() == 50 and s.select("customer_id").distinct().count() == 50
+
+
+def test_constants_fitted_on_train_only(spark, sf_dir):
+    import numpy as np
+    from retentio.workspace import workspace
+    ws = workspace(spark, sf_dir, fit_on="train")
+    cut = ws.cuts.first().fiber_cut
+    train = ws.prepared.where("split = 'train'").select("MonthlyCharges").toPandas()["MonthlyCharges"]
+    assert cut == np.quantile(train.to_numpy(), 0.75)
+    every = workspace(spark, sf_dir).cuts.first().fiber_cut
+    assert ws.prepared.count() == workspace(spark, sf_dir).prepared.count()
+    assert isinstance(every, float)
