@@ -29,6 +29,7 @@ probability of class 1 (the mean of the trees' leaf class shares). In both,
 from __future__ import annotations
 
 import os
+import sys
 import uuid
 from collections.abc import Iterator
 
@@ -41,6 +42,16 @@ from pyspark.sql import functions as F
 from retentio import constants as K
 from retentio.session import ensure_checkpoint_dir
 
+# The batch kernel runs inside Python workers. Pickling this module's
+# functions by value ships them with each task, so executors need no copy
+# of the package on their path.
+try:
+    from pyspark import cloudpickle as _cloudpickle
+
+    _cloudpickle.register_pickle_by_value(sys.modules[__name__])
+except (ImportError, AttributeError, ValueError):  # older cloudpickle: by reference
+    pass
+
 
 def _tables(spark: SparkSession, model, kind: str) -> dict:
     path = os.path.join(ensure_checkpoint_dir(spark), "models", f"{kind}-{uuid.uuid4().hex[:12]}")
