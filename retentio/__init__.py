@@ -2,7 +2,7 @@
 
 Typical flow (every step takes and returns DataFrames)::
 
-    ws = workspace(spark, data_dir)            # clean, features, CLV quartiles, split
+    ws = open_workspace(spark, data_dir)       # clean, features, CLV quartiles, split
     churn_by_quartile(ws.report_rows())        # reports on train + test rows
     trained = train_models(ws.prepared)        # logistic / forest / boosted, 5-fold CV
     scores = score(rows, trained.combined())   # batch, one row, or a stream
@@ -26,7 +26,8 @@ from retentio.operators.reports import (
     revenue_at_risk,
 )
 from retentio.operators.split import assign_split, sample_rows
-from retentio.workspace import Workspace, workspace
+from retentio.workspace import Workspace
+from retentio.workspace import workspace as open_workspace  # the submodule keeps the name
 
 __all__ = [
     "TrainedModels", "Workspace", "assign_split", "auc", "business_insights", "churn_by_quartile",
@@ -34,5 +35,5 @@ __all__ = [
     "confusion_matrix", "engineer", "feature_stats", "fit_cuts", "high_quartile_savings", "high_risk_check",
     "linear_contributions", "load", "model_comparison", "prepare", "quartile_stats", "retention_priority",
     "revenue_at_risk", "roc_curve", "sample_rows", "save", "score", "score_requests", "serving_features",
-    "top_factors", "train_models", "workspace",
+    "top_factors", "train_models", "open_workspace",
 ]

@@ -29,9 +29,9 @@ from retentio.plans.lineage import path_exists
 from retentio.session import ensure_checkpoint_dir
 from retentio.sources.subscribers import load_subscribers
 
-# Registered model queries fit one grid point per model (the reference
-# grids are ``grid="reference"`` in ``ml.models.train_models``).
-REGISTRY_GRID = "quick"
+# Registered model queries fit one grid point per model by default; set
+# RETENTIO_GRID=reference to run them on the published grids.
+REGISTRY_GRID = os.environ.get("RETENTIO_GRID", "quick")
 
 _LOCK = threading.RLock()
 _ARTIFACTS: dict[tuple, dict[str, str]] = {}
