@@ -30,13 +30,40 @@ def _in_label_order(spark: SparkSession, result: DataFrame) -> DataFrame:
     return quartile_order(spark).join(result, "CLV_quartile", "left").orderBy("q_rank").drop("q_rank")
 
 
-def clv_summary(rows: DataFrame) -> DataFrame:
-    """CLV min, max, mean, median and total."""
-    stats = rows.agg(
+def _collapsed_clv(rows: DataFrame, strata: list[str]) -> DataFrame:
+    """(strata, CLV, n): the one pass over rows; checkpointed, read by stats and median."""
+    from retentio.plans.lineage import checkpoint
+    return checkpoint(rows.where(F.col("CLV").isNotNull()).groupBy(*strata, "CLV").agg(F.count(F.lit(1)).alias("n")))
+
+
+def _weighted_stats(values: DataFrame, strata: list[str]) -> DataFrame:
+    """Exact count, sum, mean, sample std and min/max from (value, n) rows.
+
+    Fixed-point sums of value x n equal the row-wise fixed-point sums.
+    """
+    d = F.col("CLV").cast("double")
+    n = F.col("n")
+    s1 = F.sum(d.cast(G.MONEY) * n).cast("double")
+    s2 = F.sum((d * d).cast(G.SQUARES) * n).cast("double")
+    cnt = F.sum(n).cast("long")
+    out = values.groupBy(*strata).agg(
         F.min("CLV").alias("min_clv"), F.max("CLV").alias("max_clv"),
-        G.exact_avg("CLV").alias("mean_clv"), G.exact_sum("CLV").alias("total_clv"),
+        s1.alias("_s1"), s2.alias("_s2"), cnt.alias("n"),
     )
-    med = quantiles(rows, "CLV", [0.5], ["median_clv"])
+    c = F.col("n").cast("double")
+    var = F.when(c > 1, (F.col("_s2") - F.col("_s1") * F.col("_s1") / c) / (c - 1))
+    return out.select(
+        *strata, "min_clv", "max_clv", "n", F.col("_s1").alias("total_clv"),
+        (F.col("_s1") / F.col("n")).alias("mean_clv"),
+        F.sqrt(F.when(var < 0, F.lit(0.0)).otherwise(var)).alias("std_clv"),
+    )
+
+
+def clv_summary(rows: DataFrame) -> DataFrame:
+    """CLV min, max, mean, median and total (A7), from one pass over the rows."""
+    values = _collapsed_clv(rows, [])
+    stats = _weighted_stats(values, []).select("min_clv", "max_clv", "mean_clv", "total_clv")
+    med = quantiles(values, "CLV", [0.5], ["median_clv"], weight="n", materialize=False)
     return stats.crossJoin(F.broadcast(med))  # both one row
 
 
@@ -44,13 +71,13 @@ def clv_by_churn(rows: DataFrame) -> DataFrame:
     """Mean, median, sample std and count of CLV by churn status.
 
     Values rounded to 2 places. Both statuses always appear; an absent
-    class has nulls and a count of 0.
+    class has nulls and a count of 0. One pass over the rows.
     """
     spark = rows.sparkSession
-    stats = rows.groupBy("Churn").agg(
-        G.exact_avg("CLV").alias("mean_clv"), G.exact_std_samp("CLV").alias("std_clv"), F.count("CLV").alias("n")
-    )
-    med = quantiles(rows, "CLV", [0.5], ["median_clv"], strata=["Churn"], strata_bound=2)
+    values = _collapsed_clv(rows, ["Churn"])
+    stats = _weighted_stats(values, ["Churn"]).select("Churn", "mean_clv", "std_clv", "n")
+    med = quantiles(values, "CLV", [0.5], ["median_clv"], strata=["Churn"], strata_bound=2, weight="n",
+                    materialize=False)
     status = spark.createDataFrame([(0, "Not Churned"), (1, "Churned")], "Churn int, status string")
     out = status.join(stats, "Churn", "left").join(med, "Churn", "left")
     return out.orderBy("Churn").select(

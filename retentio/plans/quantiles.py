@@ -38,6 +38,7 @@ def quantiles(
     accuracy: int = 100_000,
     strata_bound: int | None = None,
     materialize: bool = True,
+    weight: str | None = None,
 ) -> DataFrame:
     """One row per stratum with a column per probability.
 
@@ -46,7 +47,8 @@ def quantiles(
     known bound on the number of strata (e.g. a fixed label domain); without
     it the rank table is counted before it is broadcast. ``materialize``
     checkpoints the collapsed (value, count) table, which the rank plan reads
-    several times, so the input plan runs once.
+    several times, so the input plan runs once. ``weight`` names a count
+    column when ``df`` is already collapsed to (value, count) rows.
     """
     names = list(names or [f"q{i}" for i in range(len(probs))])
     if len(names) != len(probs):
@@ -62,9 +64,9 @@ def quantiles(
     spark = df.sparkSession
     values = (
         df.where(F.col(column).isNotNull())
-        .select(*strata, F.col(column).cast("double").alias(_V))
+        .select(*strata, F.col(column).cast("double").alias(_V), *([weight] if weight else []))
         .groupBy(*strata, _V)
-        .agg(F.count(F.lit(1)).alias(_N))
+        .agg((F.sum(weight).cast("long") if weight else F.count(F.lit(1))).alias(_N))
     )
     if materialize:
         values = checkpoint(values)
