@@ -27,9 +27,24 @@ def test_source_prunes_orders_and_aggregates_once(spark, sf_dir):
 @pytest.mark.parametrize("name", ["churn_by_quartile", "clv_by_churn", "revenue_at_risk", "quartile_stats"])
 def test_reports_prune_split_folders_and_columns(spark, sf_dir, name):
     plan = _plan(E.queries()[name](spark, sf_dir))
-    assert "PartitionFilters: [split" in plan or "PartitionFilters: [isnotnull(split" in plan
+    # either a folder-pruned parquet scan, or (reports with a median) a scan of
+    # the checkpointed (value, count) table that the pruned scan produced
+    pruned = "PartitionFilters: [split" in plan or "PartitionFilters: [isnotnull(split" in plan
+    checkpointed = re.findall(r"Scan ExistingRDD\[([^\]]*)\]", plan)
+    assert pruned or checkpointed
     for schema in re.findall(r"ReadSchema: struct<([^>]*)>", plan):
         assert len(schema.split(",")) <= 4, schema
+    for cols in checkpointed:
+        assert len(cols.split(",")) <= 4, cols
+
+
+def test_collapse_before_median_prunes(spark, sf_dir):
+    from retentio.workspace import workspace
+    rows = workspace(spark, sf_dir).report_rows()
+    collapsed = rows.where("CLV IS NOT NULL").groupBy("Churn", "CLV").count()
+    plan = _plan(collapsed)
+    assert "PartitionFilters: [split" in plan or "PartitionFilters: [isnotnull(split" in plan
+    assert re.findall(r"ReadSchema: struct<([^>]*)>", plan) == ["Churn:int,CLV:double"]
 
 
 @pytest.mark.parametrize("name", sorted(E.oracle_sql()))
