@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from retentio.llm import mixing, quality, secret_scan, tokens, warc
+from retentio.llm import mixing, positions, quality, secret_scan, tokens, warc
 
-MODULES = (warc, quality, secret_scan, mixing, tokens)
+MODULES = (positions, warc, quality, secret_scan, mixing, tokens)
 QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 SQL = {name: sql for m in MODULES for name, sql in m.SQL.items()}
