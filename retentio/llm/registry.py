@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from retentio.llm import chosen_path, mixing, positions, quality, secret_scan, tokens, toxicity, warc
+from retentio.llm import chosen_path, mixing, positions, quality, secret_scan, suffix_dedup, tokens, toxicity, warc
 
-MODULES = (chosen_path, toxicity, positions, warc, quality, secret_scan, mixing, tokens)
+MODULES = (suffix_dedup, chosen_path, toxicity, positions, warc, quality, secret_scan, mixing, tokens)
 QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 SQL = {name: sql for m in MODULES for name, sql in m.SQL.items()}
