@@ -28,6 +28,7 @@ empty table gives no rows. Other columns are not read.
 
 from __future__ import annotations
 
+import hashlib
 import math
 
 import numpy as np
@@ -91,19 +92,20 @@ def sketch(tokens: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, set (a 64-bit digest of the shingles; equal sets only), sketch."""
+    """doc_id, set (a 64-bit digest of the shingles; equal sets only), sketch, text_md5."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
     def run(batches):
         for part in pieces(batches):
-            keys, made = [], []
+            keys, made, texts = [], [], []
             for text in part.column("text").to_pylist():
                 tokens = shingles(text)
+                texts.append(hashlib.md5((text or "").encode()).digest())
                 keys.append(xxhash.xxh3_64_intdigest(tokens.tobytes()))
                 made.append(sketch(tokens).tobytes())
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(made, pa.binary())], names=["doc_id", "set", "sketch"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(made, pa.binary()), pa.array(texts, pa.binary())], names=["doc_id", "set", "sketch", "text_md5"])
 
-    return rows.mapInArrow(run, "doc_id long, set long, sketch binary")
+    return rows.mapInArrow(run, "doc_id long, set long, sketch binary, text_md5 binary")
 
 
 def split(rows: DataFrame) -> DataFrame:
@@ -267,7 +269,8 @@ def verify(texts: DataFrame) -> DataFrame:
 
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: doc_id, class_id (smallest id of an equal set), n_links (documents of Jaccard >= 0.8, equal ones
-    included, itself not) and group_id (smallest id among all that are linked, over any number of links)."""
+    included, itself not) and group_id (smallest id among all that are linked, over any number of links); also set,
+    root (a set that names the group) and text_md5."""
     every = settle(sketches(docs, id_col, text_col), "sketches")
     classes = settle(every.groupBy("set").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("members"), F.min("sketch").alias("sketch")), "classes")
     near = components(candidates(classes.select("set", "sketch"), runs_needed()))
@@ -282,8 +285,19 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     found = classes.drop("sketch").join(partners, "set", "left").join(links.withColumnRenamed("node", "set"), "set", "left")
     found = settle(found.withColumn("root", F.coalesce("root", "set")), "found")
     groups = settle(found.groupBy("root").agg(F.min("class_id").alias("group_id")), "groups")
-    named = settle(found.join(groups, "root").select("set", "class_id", (F.coalesce("partners", F.lit(0)) + F.col("members") - 1).alias("n_links"), "group_id"), "named")
-    return every.select("doc_id", "set").join(named, "set").select("doc_id", "class_id", "n_links", "group_id", "set")
+    named = settle(found.join(groups, "root").select("set", "class_id", (F.coalesce("partners", F.lit(0)) + F.col("members") - 1).alias("n_links"), "group_id", "root"), "named")
+    return every.select("doc_id", "set", "text_md5").join(named, "set").select("doc_id", "class_id", "n_links", "group_id", "set", "root", "text_md5")
+
+
+def first_of_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of ``docs`` for each group of linked documents: that of the smallest id (ties: of the smallest set, then text)."""
+    joined = jaccard_join(docs, id_col, text_col)
+    first = joined.where(F.col("doc_id").eqNullSafe(F.col("group_id"))).groupBy("root").agg(F.min(F.struct("set", "text_md5", "doc_id")).alias("f"))
+    name = lambda doc_id, md5: F.concat_ws(":", F.lower(F.hex(md5)), doc_id.cast("string"))
+    first = settle(first.select(name(F.col("f.doc_id"), F.col("f.text_md5")).alias("_first")), "firsts")
+    own = docs.withColumn("_own", name(F.col(id_col).cast("long"), F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit(""))))))
+    # rows that repeat both id and text are one document
+    return own.join(first, F.col("_own") == F.col("_first")).dropDuplicates(["_own"]).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def _of_class(rows: DataFrame) -> DataFrame:
@@ -299,7 +313,7 @@ def _of_class(rows: DataFrame) -> DataFrame:
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join(table(spark, sf_dir, "documents")).drop("set")
+    return jaccard_join(table(spark, sf_dir, "documents")).drop("set", "root", "text_md5")
 
 
 QUERIES = {"op10_jaccard_join": op10_jaccard_join}
