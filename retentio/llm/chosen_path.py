@@ -127,16 +127,22 @@ def split(rows: DataFrame) -> DataFrame:
     return rows.select("path", "set", "sketch").mapInArrow(run, "path long, set long").distinct()
 
 
-def _alike(sketched: np.ndarray, share: float) -> list[tuple[int, int]]:
-    """Spanning links among rows that agree in at least ``share`` of their places."""
+def _stars(root: np.ndarray, sets: list[int]) -> list[tuple[int, int]]:
+    """(smallest set of a component, other set of it): contraction needs few rounds on stars from the smallest node."""
+    least: dict[int, int] = {}
+    for r, s in zip(root.tolist(), sets, strict=True):
+        least[r] = min(s, least.get(r, s))
+    return [(least[r], s) for r, s in zip(root.tolist(), sets, strict=True) if s != least[r]]
+
+
+def _alike(sketched: np.ndarray, share: float) -> np.ndarray:
+    """Component numbers of rows, where rows that agree in at least ``share`` of their places are linked."""
     root = np.arange(len(sketched))
-    links = []
     for i in range(1, len(sketched)):
         near = np.flatnonzero((sketched[:i] == sketched[i]).mean(axis=1) >= share)
         for r in np.unique(root[near]):
-            links.append((int(r), i))
             root[root == r] = i
-    return links
+    return root
 
 
 def _leaders(sketched: np.ndarray) -> list[int]:
@@ -182,8 +188,7 @@ def candidates(reps: DataFrame, runs: int) -> DataFrame:
 
     def compare(batches):
         for (path, _, n), sets, values in _groups(batches, ["path", "part", "n"]):
-            links = _alike(values, CANDIDATE)
-            out = [(path, sets[a], sets[b], None) for a, b in links]
+            out = [(path, a, b, None) for a, b in _stars(_alike(values, CANDIDATE), sets)]
             if n > SMALL:
                 out += [(path, sets[i], None, values[i].tobytes()) for i in _leaders(values)]
             if out:
@@ -193,9 +198,9 @@ def candidates(reps: DataFrame, runs: int) -> DataFrame:
 
     def connect(batches):
         for _, sets, values in _groups(batches, ["path"]):
-            links = _alike(values, LEADERS)
+            links = _stars(_alike(values, LEADERS), sets)
             if links:
-                yield pa.RecordBatch.from_arrays([pa.array([sets[a] for a, _ in links]), pa.array([sets[b] for _, b in links])], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links, strict=True)], names=["a", "b"])
 
     leaders = found.where("b is null").select("path", F.col("a").alias("set"), "sketch").repartition("path").sortWithinPartitions("path", "set")
     # a leader's members: links inside a part are at CANDIDATE, below LED, so they connect them
@@ -203,7 +208,7 @@ def candidates(reps: DataFrame, runs: int) -> DataFrame:
 
 
 def _exact(sets: list[np.ndarray], sizes: np.ndarray, first: int, weights: np.ndarray):
-    """Links of Jaccard >= SIMILARITY: weight of each row's partners, and spanning links.
+    """Links of Jaccard >= SIMILARITY: weight of each row's partners, and component numbers.
 
     With ``first`` > 0 only pairs across that border count.
     """
@@ -212,7 +217,7 @@ def _exact(sets: list[np.ndarray], sizes: np.ndarray, first: int, weights: np.nd
     order = np.argsort(place, kind="stable")
     owner_by_token, starts = owner[order], np.concatenate(([0], np.cumsum(np.bincount(place, minlength=len(tokens)))))
     ends = np.cumsum(sizes)
-    root, links = np.arange(len(sets)), []
+    root = np.arange(len(sets))
     partners = np.zeros(len(sets), np.int64)
     for i in range(first, len(sets)):
         own = place[ends[i] - sizes[i] : ends[i]]
@@ -226,10 +231,8 @@ def _exact(sets: list[np.ndarray], sizes: np.ndarray, first: int, weights: np.nd
             partners[i] += weights[near].sum()
             partners[near] += weights[i]
             for r in np.unique(root[near]):
-                if r != root[i]:
-                    links.append((int(r), i))
-                    root[root == r] = root[i]
-    return partners, links
+                root[root == r] = root[i]
+    return partners, root
 
 
 def verify(texts: DataFrame) -> DataFrame:
@@ -248,8 +251,8 @@ def verify(texts: DataFrame) -> DataFrame:
             first = sum(o == key[1] for _, _, _, o in rows) if key[1] != key[2] else 0
             if first == len(rows) or len(rows) < 2 or not sizes.all():
                 return
-            partners, links = _exact(sets, sizes, first, np.array([m for _, m, _, _ in rows], np.int64))
-            out = [(rows[i][0], int(n), None) for i, n in enumerate(partners) if n] + [(rows[a][0], 0, rows[b][0]) for a, b in links]
+            partners, root = _exact(sets, sizes, first, np.array([m for _, m, _, _ in rows], np.int64))
+            out = [(rows[i][0], int(n), None) for i, n in enumerate(partners) if n] + [(a, 0, b) for a, b in _stars(root, [s for s, *_ in rows])]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["set", "partners", "other"])
 
