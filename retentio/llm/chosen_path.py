@@ -179,8 +179,10 @@ def candidates(reps: DataFrame, runs: int) -> DataFrame:
         rows = settle(rows.join(settle(many, "nodes"), "path"), "full-nodes")
         small = rows if level == DEPTH else rows.where(F.col("n") <= SMALL)
         leaves = small if leaves is None else leaves.unionByName(small)
-        if level < DEPTH:
-            rows = split(rows.where(F.col("n") > SMALL).join(reps, "set"))
+        large = rows.where(F.col("n") > SMALL)
+        if level == DEPTH or large.isEmpty():
+            break
+        rows = split(large.join(reps, "set"))
     # large nodes that cannot be split further are dealt in parts
     part = F.pmod(F.xxhash64("set"), F.ceil(F.col("n") / SMALL))
     leaves = leaves.withColumn("part", part).join(reps, "set").select("path", "part", "n", "set", "sketch")

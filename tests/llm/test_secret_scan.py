@@ -47,7 +47,7 @@ def test_query(spark, sf_dir):
 
 def test_novelty_tells_random_strings_from_names():
     r = random.Random(5)
-    around = "The thing in the config is set here, the key is {} and more text follows in the next lines of it."
+    around = "The thing in the config is set here, the secret is {} and more text follows in the next lines of it."
     for _ in range(40):
         key = base64.b64encode(r.randbytes(24)).decode()
         base, spans = S.scan(around.format(key))
