@@ -71,17 +71,17 @@ def main() -> None:
     # scoring one customer ("single prediction"), here through Spark.
     import os as _os
     import uuid as _uuid
-    from retentio.ml.models import load, save
+    from retentio.ml.models import fitted_cut, load, save
     from retentio.ml.scoring import profiles_frame, score_requests
     from retentio.session import ensure_checkpoint_dir
     path = _os.path.join(ensure_checkpoint_dir(spark), "models", f"bench-{_uuid.uuid4().hex[:12]}")
-    save(trained, path)
+    save(trained, path, ws.cuts)
     t = time.time()
     loaded = load(path)
     times["model_load"] = time.time() - t
-    one = profiles_frame(spark).limit(1)
+    one, cut = profiles_frame(spark).limit(1), fitted_cut(spark, path)
     t = time.time()
-    score_requests(one, loaded).collect()
+    score_requests(one, loaded, cut).collect()
     times["single_prediction"] = time.time() - t
 
     # Per-customer explanations of the fitted logistic model, every row.

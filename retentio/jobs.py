@@ -40,7 +40,7 @@ def train_job(spark: SparkSession, sf_dir: str, out: str, grid: str = "reference
 
     ws = workspace(spark, sf_dir)
     trained = ws.trained(grid)
-    save(trained, os.path.join(out, "model"))
+    save(trained, os.path.join(out, "model"), ws.cuts)
     scored = score(ws.split("test"), trained.combined(), keep=("customer_id", "Churn"))
     items = [F.struct(F.lit(m).alias("model"), F.col(f"p_{m}").alias("score")) for m in K.MODEL_NAMES]
     items.append(F.struct(F.lit("ensemble").alias("model"), F.col("churn_probability").alias("score")))
@@ -65,13 +65,12 @@ def report_job(spark: SparkSession, sf_dir: str, out: str) -> None:
 
 
 def main(argv: list[str]) -> int:
-    from retentio.session import local_session
-
     if len(argv) < 3:
         print(__doc__)
         return 2
     job, sf_dir, out = argv[:3]
-    spark = SparkSession.getActiveSession() or local_session()
+    # the submitted settings hold: master, partitions and memory are not set here
+    spark = SparkSession.builder.appName("retentio").getOrCreate()
     if job == "prepare":
         prepare_job(spark, sf_dir, out)
     elif job == "train":

@@ -23,6 +23,7 @@ weights is the number of training rows.
 from __future__ import annotations
 
 import logging
+import math
 from dataclasses import dataclass, field
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -31,7 +32,7 @@ from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from retentio import constants as K
@@ -44,6 +45,8 @@ LABEL = "Churn"
 FEATURES = "features"
 W_BALANCED = "w_balanced"
 W_BOOST = "w_boost"
+# Training rows of one task; a larger table has as many more partitions.
+TRAIN_ROWS_PER_PARTITION = 50_000
 
 
 def assembled_inputs() -> list[str]:
@@ -175,8 +178,12 @@ def train_models(
         # shared checkpoint folder, then cached; a lost executor re-reads
         # the files instead of replaying the preparation.
         train = write_stage(train, "train_features")
-    train = train.persist()
     n_train = float(train.count())
+    # Each round of each fit is a job: partitions follow the rows, so that a
+    # small table does not pay for empty tasks hundreds of times.
+    partitions = max(1, math.ceil(n_train / TRAIN_ROWS_PER_PARTITION))
+    train = train.coalesce(partitions)
+    train = train.persist()
 
     builders = {"logistic": logistic_estimator, "random_forest": forest_estimator, "boosted": boosted_estimator}
     out = TrainedModels(features=features, models={})
@@ -184,7 +191,8 @@ def train_models(
     def fit_one(name: str):
         est = builders[name]()
         evaluator = BinaryClassificationEvaluator(
-            rawPredictionCol=cols(name)["raw"], labelCol=LABEL, metricName="areaUnderROC"
+            rawPredictionCol=cols(name)["raw"], labelCol=LABEL, metricName="areaUnderROC",
+            numBins=0,  # the exact curve
         )
         grid_maps = _grid(name, est, n_train, grid)
         cv = CrossValidator(
@@ -215,9 +223,19 @@ def probability(model: str) -> F.Column:
     return vector_to_array(F.col(cols(model)["prob"]))[1]
 
 
-def save(models: TrainedModels, path: str) -> None:
-    """Save the combined pipeline (IO5, IO6): feature order lives in the assembler."""
+def save(models: TrainedModels, path: str, cuts: DataFrame | None = None) -> None:
+    """Save the combined pipeline (IO5, IO6): feature order lives in the assembler.
+
+    ``cuts`` (one row) are the constants the training features were made with.
+    """
     models.combined().write().overwrite().save(path)
+    if cuts is not None:
+        cuts.write.mode("overwrite").parquet(f"{path}/constants")
+
+
+def fitted_cut(spark: SparkSession, path: str) -> float:
+    """The fiber cut saved beside a model."""
+    return float(spark.read.parquet(f"{path}/constants").first()["fiber_cut"])
 
 
 def load(path: str) -> PipelineModel:

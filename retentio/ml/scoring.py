@@ -1,8 +1,6 @@
 """Scoring customers in batch or as a stream.
 
-``score`` takes rows that already carry the 27 model features (the
-training form from ``prepare``, or the serving form from
-``serving_features``), runs one combined ``PipelineModel`` (feature stages
+``score`` takes rows that already carry the 27 model features, runs one combined ``PipelineModel`` (feature stages
 plus every model; a single projection, no shuffle) and adds per-model
 probabilities, their plain mean, the risk level and the lifetime value.
 A batch of one row and a streaming micro-batch go through the same code.
@@ -17,7 +15,7 @@ from pyspark.sql import functions as F
 from retentio import constants as K
 from retentio.functions import columns as C
 from retentio.ml.models import cols, probability
-from retentio.operators.prepare import serving_features
+from retentio.operators.prepare import engineer, serving_features
 from retentio.schema import SCORING_REQUEST
 
 
@@ -54,14 +52,31 @@ def profiles_frame(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, SCORING_REQUEST)
 
 
-def score_requests(requests: DataFrame, model: PipelineModel) -> DataFrame:
-    """Raw scoring requests (serving form features, fiber cut 70) -> scores."""
-    return score(serving_features(requests), model)
+def request_features(requests: DataFrame, cut: float | None = None, serving_compat: bool = False) -> DataFrame:
+    """Model features of raw scoring requests.
 
+    By default the training form, with the fiber cut the models were trained
+    with (saved beside them, ``models.fitted_cut``): a customer gets the same
+    features in a request as in the prepared table. ``serving_compat`` gives
+    the serving form (eight service columns, other ratio guard and total,
+    fiber cut 70 unless given).
+    """
+    if serving_compat:
+        return serving_features(requests, cut)
+    if cut is None:
+        raise ValueError("the training form needs the fitted fiber cut")
+    total = C.impute_total(F.col("TotalCharges"), "tenure", "MonthlyCharges")
+    return engineer(requests.withColumn("TotalCharges", total), cut=cut)
 
-def high_risk_check(spark: SparkSession, model: PipelineModel) -> DataFrame:
+
+def score_requests(requests: DataFrame, model: PipelineModel, cut: float | None = None, serving_compat: bool = False) -> DataFrame:
+    """Raw scoring requests -> scores, on the features of ``request_features``."""
+    return score(request_features(requests, cut, serving_compat), model)
+
+
+def high_risk_check(spark: SparkSession, model: PipelineModel, cut: float) -> DataFrame:
     """Per model, P(churn) of the two profiles; HIGH_RISK must reach 0.6 (C4)."""
-    scored = score_requests(profiles_frame(spark), model)
+    scored = score_requests(profiles_frame(spark), model, cut)
     present = [c[2:] for c in scored.columns if c.startswith("p_")]
     long = scored.select("customer_id", F.explode(F.array(*[
         F.struct(F.lit(m).alias("model"), F.col(f"p_{m}").alias("probability")) for m in present

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from retentio import constants as K
 from retentio.functions import columns as C
+from retentio.plans.broadcast import broadcast_bounded
 from retentio.plans.lineage import checkpoint
 from retentio.plans.ordered import running_totals
 
@@ -78,21 +79,27 @@ def auc(scored: DataFrame, bins: int | None = None) -> DataFrame:
     )
     return agg.select(
         "model",
-        (F.col("_num").cast("double") / (F.lit(2.0) * F.col("_p").cast("double") * F.col("_n").cast("double"))).alias("auc_roc"),
+        # null where a model has one class only
+        F.try_divide(F.col("_num").cast("double"), F.lit(2.0) * F.col("_p").cast("double") * F.col("_n").cast("double")).alias("auc_roc"),
     )
 
 
 def roc_curve(scored: DataFrame, bins: int | None = None) -> DataFrame:
-    """One ROC point per distinct score (A25): rows with score >= threshold are positive."""
+    """One ROC point per distinct score (A25): rows with score >= threshold are positive.
+
+    Each curve starts at (0, 0), with a null threshold: no row is positive. A
+    rate over an empty class is null.
+    """
     c = _counts(scored, bins)
     b = _below(c)
     totals = c.groupBy("model").agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
-    # one row per model: broadcast (bounded by the number of models)
-    return b.join(F.broadcast(totals), "model").select(
+    rate = lambda n, below: F.try_divide((F.col(n) - below).cast("double"), F.col(n).cast("double"))
+    points = b.join(broadcast_bounded(totals, 10_000), "model").select(
         "model", F.col("score").alias("threshold"),
-        ((F.col("N") - F.col("neg_below")).cast("double") / F.col("N").cast("double")).alias("fpr"),
-        ((F.col("P") - F.col("pos_below")).cast("double") / F.col("P").cast("double")).alias("tpr"),
+        rate("N", F.col("neg_below")).alias("fpr"), rate("P", F.col("pos_below")).alias("tpr"),
     )
+    start = totals.select("model", F.lit(None).cast("double").alias("threshold"), rate("N", F.col("N")).alias("fpr"), rate("P", F.col("P")).alias("tpr"))
+    return points.unionByName(start)
 
 
 def classification_metrics(scored: DataFrame, threshold: float = 0.5, bins: int | None = None) -> DataFrame:

@@ -20,11 +20,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from retentio import constants as K
+from retentio.plans.broadcast import broadcast_bounded
 from retentio.plans.ordered import default_buckets, hash_bucket, ordinal_rank
 
 
 def key_hash(key: str, seed: int = K.SEED) -> F.Column:
-    return F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(key).cast("string"), F.lit(""))))
 
 
 def unit_hash(key: str, seed: int = K.SEED) -> F.Column:
@@ -55,12 +56,13 @@ def assign_split(
     keyed = df.withColumn("_h", key_hash(key, seed))
     bucket = hash_bucket("_h", default_buckets(df))
     ranked = ordinal_rank(keyed, ["_h", key], strata=[label], name="_r", bucket=bucket)
-    # class sizes: one row per label value (a binary label), broadcast
+    # class sizes: one row per label value
     sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
     test_n = F.floor((F.col("_n") + 4) / 5)
-    sized = sizes.select(label, test_n.alias("_t"), F.floor((F.col("_n") - test_n + 3) / 4).alias("_v"))
+    sized = sizes.select(F.col(label).alias("_class"), test_n.alias("_t"), F.floor((F.col("_n") - test_n + 3) / 4).alias("_v"))
     r, t, v = F.col("_r"), F.col("_t"), F.col("_v")
-    return ranked.join(F.broadcast(sized), label).select(
+    # a null class is a class: no row is lost
+    return ranked.join(broadcast_bounded(sized, 10_000), F.col(label).eqNullSafe(F.col("_class"))).select(
         *df.columns,
         F.when(r < t, F.lit("test")).when(r < t + v, F.lit("val")).otherwise(F.lit("train")).alias("split"),
         F.when(r >= t + v, ((r - t - v) % K.N_FOLDS).cast("int")).alias("fold"),

@@ -330,7 +330,10 @@ def _long_scores(scored):
 
 @query("scored_customers")
 def q_scored(spark, sf):
-    return _scored_test(spark, sf)
+    """Every customer, not only the evaluation rows."""
+    from retentio.ml.scoring import score
+    ws = _ws(spark, sf)
+    return score(ws.prepared, ws.model(), keep=("customer_id", "Churn"))
 
 
 @query("model_metrics")
@@ -353,7 +356,7 @@ def q_model_roc(spark, sf):
 @query("high_risk_check")
 def q_high_risk(spark, sf):
     from retentio.ml.scoring import high_risk_check
-    return high_risk_check(spark, _ws(spark, sf).model())
+    return high_risk_check(spark, _ws(spark, sf).model(), _ws(spark, sf).fitted_cut())
 
 
 @query("tree_importance")
@@ -410,7 +413,7 @@ def q_stream_scores(spark, sf):
     from retentio.schema import SCORING_REQUEST
     from retentio.streaming.scoring import score_files_once
     ws = _ws(spark, sf)
-    raw = ws.raw.join(ws.split("test").select(F.col("customer_id").alias("customerID")), "customerID", "left_semi")
+    raw = ws.raw
     requests = raw.select(
         F.col("customerID").alias("customer_id"),
         *[F.col(f.name) for f in SCORING_REQUEST.fields[1:] if f.name != "TotalCharges"],
@@ -418,4 +421,16 @@ def q_stream_scores(spark, sf):
     ).select(*[f.name for f in SCORING_REQUEST.fields])
     staged = write_stage(requests, "stream-requests")
     source = staged.inputFiles()[0].rsplit("/", 1)[0]
-    return score_files_once(spark, source, ws.model())
+    return score_files_once(spark, source, ws.model(), cut=ws.fitted_cut())
+
+
+@query("stream_vs_batch")
+def q_stream_vs_batch(spark, sf):
+    """Every customer scored by the stream and from the prepared table: the scores agree."""
+    names = [f"p_{m}" for m in MODEL_SCORES] + ["churn_probability"]
+    streamed = q_stream_scores(spark, sf).select("customer_id", *[F.col(n).alias(f"s_{n}") for n in names])
+    batch = q_scored(spark, sf).select("customer_id", *names)
+    same = F.lit(True)
+    for n in names:
+        same = same & F.coalesce(F.abs(F.col(n) - F.col(f"s_{n}")) < 1e-12, F.lit(False))
+    return batch.join(streamed, "customer_id", "full").select("customer_id", same.alias("same_scores"))

@@ -2,8 +2,8 @@
 
 Scoring is stateless (a projection through the fitted ``PipelineModel``),
 so a stream needs no watermark or state store: each micro-batch of new
-request files is featurized in the serving form and scored exactly like a
-batch. The sink is parquet with a checkpoint under the shared checkpoint
+request files gets the features the models were trained on and is scored
+exactly like a batch. The sink is parquet with a checkpoint under the shared checkpoint
 folder, so a restarted query resumes after the last committed batch.
 """
 
@@ -33,21 +33,22 @@ def request_stream(spark: SparkSession, source: str, schema: StructType = SCORIN
 
 
 def start_scoring(requests: DataFrame, model: PipelineModel, sink: str, checkpoint: str | None = None,
-                  available_now: bool = True) -> StreamingQuery:
+                  available_now: bool = True, cut: float | None = None, serving_compat: bool = False) -> StreamingQuery:
     """Score a request stream into parquet files at ``sink``."""
     spark = requests.sparkSession
     checkpoint = checkpoint or os.path.join(ensure_checkpoint_dir(spark), "streams", uuid.uuid4().hex[:12])
     writer = (
-        score_requests(requests, model).writeStream.format("parquet")
+        score_requests(requests, model, cut, serving_compat).writeStream.format("parquet")
         .option("checkpointLocation", checkpoint).outputMode("append")
     )
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")
     return writer.start(sink)
 
 
-def score_files_once(spark: SparkSession, source: str, model: PipelineModel, sink: str | None = None) -> DataFrame:
+def score_files_once(spark: SparkSession, source: str, model: PipelineModel, sink: str | None = None,
+                     cut: float | None = None, serving_compat: bool = False) -> DataFrame:
     """Run the stream over every file present now, then return the sink table."""
     sink = sink or os.path.join(ensure_checkpoint_dir(spark), "stream-out", uuid.uuid4().hex[:12])
-    q = start_scoring(request_stream(spark, source), model, sink)
+    q = start_scoring(request_stream(spark, source), model, sink, cut=cut, serving_compat=serving_compat)
     q.awaitTermination()
     return spark.read.parquet(sink)

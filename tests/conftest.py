@@ -7,6 +7,10 @@ ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 if ROOT not in sys.path:
     sys.path.insert(0, ROOT)
 
+from retentio import workspace as _workspace  # noqa: E402
+
+_workspace.GRID = "quick"  # one point per model; the registry's default is the full search
+
 SF_SMALL = os.environ.get("RETENTIO_TEST_SF", "/root/testdata/sf0.001")
 
 

@@ -68,7 +68,7 @@ def test_forest_treeshap_sums_to_probability(spark, ws, trained):
 
 
 def test_high_risk_check_shape(spark, ws):
-    rows = high_risk_check(spark, ws.model()).collect()
+    rows = high_risk_check(spark, ws.model(), ws.fitted_cut()).collect()
     assert {r.profile for r in rows} == {"HIGH_RISK", "LOW_RISK"}
     assert {r.model for r in rows} == {"logistic", "random_forest", "boosted", "ensemble"}
 
@@ -79,13 +79,21 @@ def test_stream_equals_batch(spark, ws):
     from retentio.ml.scoring import score_requests
     from retentio.functions.columns import to_number
     from retentio.schema import SCORING_REQUEST
-    raw = ws.raw.join(ws.split("test").select(F.col("customer_id").alias("customerID")), "customerID", "left_semi")
+    raw = ws.raw
     req = raw.select(F.col("customerID").alias("customer_id"),
                      *[F.col(f.name) for f in SCORING_REQUEST.fields[1:] if f.name != "TotalCharges"],
                      to_number("TotalCharges").alias("TotalCharges"))
-    batch = score_requests(req, ws.model()).toPandas()
+    batch = score_requests(req, ws.model(), ws.fitted_cut()).toPandas()
     m = streamed.merge(batch, on="customer_id", suffixes=("_s", "_b"))
-    assert len(m) == len(batch) == len(streamed)
+    assert len(m) == len(batch) == len(streamed) == ws.prepared.count()
+    # a request has the features of the prepared table, so its scores too
+    table = score(ws.prepared, ws.model()).toPandas()
+    t = streamed.merge(table, on="customer_id", suffixes=("_s", "_t"))
+    assert len(t) == len(table) and np.allclose(t["churn_probability_s"], t["churn_probability_t"], rtol=0, atol=1e-12)
+    other = score_requests(req, ws.model(), serving_compat=True).toPandas()
+    assert not np.allclose(other.sort_values("customer_id")["churn_probability"], table.sort_values("customer_id")["churn_probability"])
+    with pytest.raises(ValueError):
+        score_requests(req, ws.model())
     assert np.allclose(m["churn_probability_s"], m["churn_probability_b"])
 
 

