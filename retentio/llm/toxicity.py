@@ -27,17 +27,17 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from retentio.llm.common import pieces, table
 
 SAMPLE_PER_CLASS, MAX_TERMS, MIN_DF, MIN_Z = 3000, 3000, 4, 5.0
-BLOCK, NEIGHBOURS, PRIOR_VOTES = 64, 15, 0.05
+SAMPLE_PARTITIONS, BLOCK, NEIGHBOURS, PRIOR_VOTES = 12, 64, 15, 0.05
 WORD = re.compile(r"[^\W\d_]+")
 #: Lengths of word beginnings that are terms; the word must be longer.
 BEGINNINGS = (4, 5)
@@ -175,7 +175,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     picked = marked.where("y = 1").orderBy(*order).limit(SAMPLE_PER_CLASS).unionByName(marked.where("y = 0").orderBy(*order).limit(SAMPLE_PER_CLASS))
     # at most 2 * SAMPLE_PER_CLASS ids: small on every input
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(picked), "id").groupBy("text").agg(F.min("id").alias("id"), F.max("y").alias("y"))
-    texts = texts.select("id", "y", "text").persist()
+    # bounded by the sample: few partitions, so few repeated terms to sum
+    texts = texts.select("id", "y", "text").coalesce(SAMPLE_PARTITIONS).persist()
     try:
         sizes = dict(texts.groupBy("y").count().collect())
 
@@ -224,21 +225,26 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", out: str = "toxicity") -> DataFrame:
-    """``docs`` with a struct column ``out``: score, predicted (score >= 0.5) and evidence (doc_id, cosine, label)."""
-    kept = [f for f in docs.schema.fields if f.name != out]
+    """``docs`` with a struct column ``out``: score, predicted (score >= 0.5) and evidence (doc_id, cosine, label).
+
+    Only the texts go to Python, and only scores come back.
+    """
     kind = pa.struct([("score", pa.float64()), ("predicted", pa.int32()), ("evidence", pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("label", pa.int32())])))])
-    sql = "struct<score:double,predicted:int,evidence:array<struct<doc_id:bigint,cosine:double,label:int>>>"
-
-    def run(batches):  # the model goes along with the tasks: it is bounded by the sample
-        for part in pieces(batches):
-            made = []
-            for text in part.column(text_col).to_pylist():
-                p, evidence = model.score(text)
-                made.append({"score": p, "predicted": int(p >= 0.5), "evidence": [{"doc_id": d, "cosine": s, "label": y} for d, s, y in evidence]})
-            yield part.append_column(out, pa.array(made, kind))
-
-    schema = T.StructType([T.StructField(f.name, f.dataType, f.nullable) for f in kept] + [T.StructField(out, T._parse_datatype_string(sql))])
-    return docs.select(*[F.col(f"`{f.name}`") for f in kept]).mapInArrow(run, schema)
+
+    # the model goes along with the tasks: it is bounded by the sample
+    @F.arrow_udf("struct<score:double,predicted:int,evidence:array<struct<doc_id:bigint,cosine:double,label:int>>>")
+    def scored(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in texts:
+            parts = []
+            for at in range(0, len(column), 256):
+                made = []
+                for text in column.slice(at, 256).to_pylist():
+                    p, evidence = model.score(text)
+                    made.append({"score": p, "predicted": int(p >= 0.5), "evidence": [{"doc_id": d, "cosine": s, "label": y} for d, s, y in evidence]})
+                parts.append(pa.array(made, kind))
+            yield pa.concat_arrays(parts) if parts else pa.array([], kind)
+
+    return docs.withColumn(out, scored(F.col(f"`{text_col}`")))
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
