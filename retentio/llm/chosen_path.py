@@ -4,11 +4,13 @@ Every text becomes the set of its five-word shingles. Texts with equal sets
 form a class and take part once. A set's sketch holds ``TOKENS`` of its
 shingles, sampled by min-wise hashes, so two sets hold the same shingle at a
 place with the probability of their Jaccard similarity. A run starts all sets
-in one node; every node samples ``BRANCHES`` places and sends each set to the
-children named by its shingles there. Nodes with one set end, those of at most
+in one node; every node samples ``BRANCHES`` pairs of places and sends each set
+to the children named by its two shingles there. (With two shingles a name,
+sets that only share a common passage, s = 0.4 say, part at 0.16 a child where
+one shingle would keep 0.4; three branches make up for it at s = 0.8.) Nodes with one set end, those of at most
 ``SMALL`` sets are compared by brute force, larger ones are split again, up to
 ``DEPTH`` times. Two sets of similarity s part in a run with a probability
-below the fixed point of q = (1 - s q')**BRANCHES, q' = 1 - q; the number of
+below the fixed point of q = (1 - s**2 q')**BRANCHES, q' = 1 - q; the number of
 runs follows from it and the target recall.
 
 Brute force compares sketches and only joins candidates into components, as
@@ -41,7 +43,7 @@ from retentio.llm.common import pieces, settle, table
 from retentio.llm.components import components
 
 SHINGLE, SIMILARITY = 5, (4, 5)
-TOKENS, BRANCHES, SMALL, DEPTH, TARGET_RECALL = 128, 2, 256, 5, 0.9999
+TOKENS, BRANCHES, SMALL, DEPTH, TARGET_RECALL = 128, 3, 256, 5, 0.9999
 #: Shares of equal places: of candidates (0.8 less four standard errors), of a leader and its members, of linked leaders.
 #: Jaccard distance is a metric: members 0.2 apart have leaders within 2 * 0.2 + 0.2, and errors.
 CANDIDATE, LED, LEADERS = 0.66, 0.8, 0.25
@@ -57,7 +59,7 @@ def runs_needed(similarity: float = SIMILARITY[0] / SIMILARITY[1], recall: float
     """Runs after which a pair of just ``similarity`` has met with probability ``recall``."""
     lost = 0.0
     for _ in range(200):
-        lost = (1 - similarity * (1 - lost)) ** branches
+        lost = (1 - similarity**2 * (1 - lost)) ** branches
     return max(1, math.ceil(math.log(1 - recall) / math.log(lost)))
 
 
@@ -118,12 +120,15 @@ def split(rows: DataFrame) -> DataFrame:
             out = []
             for b in range(BRANCHES):
                 chosen = mix(path * MULTIPLIERS[b] + np.uint64(b + 1))
-                place = (chosen % np.uint64(TOKENS)).astype(np.int64)
-                out.append(mix(chosen + values[np.arange(len(path)), place].astype(np.uint64) * MULTIPLIERS[BRANCHES]).view(np.int64))
+                first = (chosen % np.uint64(TOKENS)).astype(np.int64)
+                other = (first + 1 + (chosen // np.uint64(TOKENS) % np.uint64(TOKENS - 1)).astype(np.int64)) % TOKENS
+                rows = np.arange(len(path))
+                name = values[rows, first].astype(np.uint64) << np.uint64(32) | values[rows, other]
+                out.append(mix(chosen + mix(name) * MULTIPLIERS[BRANCHES]).view(np.int64))
             sets = np.asarray(part.column("set"))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out)), pa.array(np.tile(sets, BRANCHES))], names=["path", "set"])
 
-    # branches of a node may choose one place: a set counts once in a child
+    # branches of a node may choose the same places: a set counts once in a child
     return rows.select("path", "set", "sketch").mapInArrow(run, "path long, set long").distinct()
 
 

@@ -62,7 +62,7 @@ def test_runs_reach_the_target_recall():
     r = random.Random(1)
 
     def meet(depth):
-        return depth == 0 or any(r.random() < 0.8 and meet(depth - 1) for _ in range(J.BRANCHES))
+        return depth == 0 or any(r.random() < 0.64 and meet(depth - 1) for _ in range(J.BRANCHES))
 
     assert sum(not any(meet(J.DEPTH) for _ in range(J.runs_needed())) for _ in range(20_000)) <= 8
 
