@@ -25,6 +25,7 @@ import types
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -39,8 +40,8 @@ HEADER = 16
 #: How much text one output file covers.
 SHARD_TEXT_BYTES = 16 << 20
 END_ID = 2
-#: Bounds of a worker's caches: words and their parts, and the longest word kept.
-CACHE_WORDS, CACHE_PARTS, CACHE_CHARS = 500_000, 800_000, 40
+#: Bounds of a worker's caches: words and their parts, the longest word kept, and what a trim leaves.
+CACHE_WORDS, CACHE_PARTS, CACHE_CHARS, CACHE_KEPT = 250_000, 350_000, 40, 60_000
 #: Characters that the split pattern keeps together behind a word.
 MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Fixed value: the split pattern of byte-level BPE pre-tokenizers.
@@ -127,10 +128,6 @@ class Encoder:
             else:
                 made[w] = SPLIT.findall(w if w[0] == "\n" else " " + w)
         new = list({p for cut in made.values() for p in cut if p not in parts})
-        if len(parts) > CACHE_PARTS:
-            parts.clear()
-            parts["\n"] = self._encode("\n").tobytes()
-            new = list({p for cut in made.values() for p in cut if p != "\n"})
         parts.update(zip(new, self._encode_parts(new), strict=True))
         return [b"".join([parts[p] for p in cut]) for cut in made.values()]
 
@@ -144,14 +141,18 @@ class Encoder:
         if new:
             known.update(zip(new, self._encode_words(new), strict=True))
         out = b"".join((self._encode(first).tobytes(), *map(known.__getitem__, words)))  # no space before the first
-        if len(known) > CACHE_WORDS:
-            known.clear()
-        else:
-            for w in new:
-                if len(w) > CACHE_CHARS:
-                    del known[w]
+        for w in new:
+            if len(w) > CACHE_CHARS:
+                del known[w]
+        if len(known) > CACHE_WORDS or len(self.parts) > CACHE_PARTS:
+            self.trim()
         return out
 
+    def trim(self) -> None:
+        """Keep what was met first, the common words; also between tasks, as the worker goes on to other work."""
+        self.known = dict(islice(self.known.items(), CACHE_KEPT))
+        self.parts = dict(islice(self.parts.items(), CACHE_KEPT))
+
 
 def encoder(path: str) -> Encoder:
     """One encoder per worker process; it outlives a task, and so does its cache."""
@@ -198,6 +199,7 @@ def write_tokens(docs: DataFrame, root: str, vocabulary: str, id_col: str = "doc
         for part in pieces(batches):
             ids = [enc.ids(t) + end for t in part.column("text").to_pylist()]
             yield batch(made, [shard_of(part.column("doc_id"), cuts), part.column("doc_id"), ids])
+        enc.trim()
 
     listed = pa.schema([("name", pa.string()), ("records", pa.int64()), ("tokens", pa.int64()), ("bytes", pa.int64()), ("crc32", pa.int64()), ("width", pa.int32())])
 
