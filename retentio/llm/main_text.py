@@ -14,7 +14,10 @@ once rebuilt into a random layout whose parts are known: navigation, headers,
 notices, adverts, sidebars, forms, comments, links and footers in several
 spellings, with or without semantic tags, around the page's own text.
 
-Scripts, styles, comments and other markup never count as text. Character
+Scripts, styles, comments and other markup never count as text. As in a
+browser, what is inside a script, style, title, textarea, iframe or noscript is
+no markup: only its own end tag ends it. Any other unseen element ends at the
+latest with the element around it. Character
 references are decoded, white space in a block becomes one space, blocks are
 joined by an empty line.
 
@@ -42,7 +45,10 @@ TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"
 ATTRIBUTE = re.compile(r"(class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 LABEL = re.compile(r"data-part=\"([01])\"")
 #: Kinds of HTML elements.
-UNSEEN = frozenset("head script style noscript template textarea iframe svg math canvas object select option button video audio title".split())
+RAW = {name: re.compile(rf"</{name}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I) for name in "script style noscript textarea iframe title".split()}
+UNSEEN = frozenset("template svg math canvas object select option button video audio".split()) | RAW.keys()
+FOREIGN, EMBEDDING = frozenset("svg math".split()), frozenset("foreignobject desc annotation-xml mi mo mn ms mtext".split())
+OPTION_PARENTS = frozenset("select datalist optgroup".split())
 BLOCKS = frozenset("html body article main section nav header footer aside div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption blockquote pre form fieldset figure figcaption details summary dialog address hr menu center".split())
 VOID = frozenset("hr".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
@@ -74,7 +80,8 @@ def parse(html: str) -> Node:
     """Tree of block elements. ``runs`` of a leaf are its text; text beside child elements becomes ``#text`` leaves."""
     root = Node("#root", None, frozenset(), None)
     at, held, links, linked = root, [], 0, 0
-    skip, depth = "", 0
+    skip, depth, within = "", 0, []  # the unseen element, how often it is open, and the blocks open in it
+    endless, pos = set(), 0
 
     def flush():
         nonlocal held, linked
@@ -95,7 +102,29 @@ def parse(html: str) -> Node:
             flush()
             at = node.parent
 
-    for m in TOKEN.finditer(html):
+    def is_open(tag):
+        node = at
+        while node.parent is not None and node.tag != tag:
+            node = node.parent
+        return node.tag == tag
+
+    def ends_skip(name, end, closed):
+        """Whether the tag ends the unseen element before its own end tag."""
+        if not end:
+            outside = skip == "option" or (skip in FOREIGN and EMBEDDING.isdisjoint(within))
+            if name in BLOCKS and outside:
+                return True
+            if not closed and (name in EMBEDDING or (name in BLOCKS and name not in VOID)):
+                within.append(name)
+        elif name in within:
+            while within.pop() != name:
+                pass
+        elif skip != "template":
+            return name in BLOCKS and is_open(name)
+        return False
+
+    while m := TOKEN.match(html, pos):  # tokens leave no gap
+        pos = m.end()
         name = m[2]
         if name is None:
             raw = m[0]
@@ -105,14 +134,30 @@ def parse(html: str) -> Node:
                 linked += links and len(text.strip())
             continue
         name, end = name.lower(), bool(m[1])
+        closed = m[3].endswith("/")
+        if name in RAW and not end and not closed and name not in endless:
+            behind = RAW[name].search(html, pos)
+            if behind:
+                pos = behind.end()
+            elif skip:
+                endless.add(name)
+            else:
+                break
+            continue
         if skip:
-            if name == skip:
-                depth += -1 if end else not m[3].endswith("/")
+            if name == skip and skip != "option":
+                depth += -1 if end else not closed
                 skip = skip if depth else ""
-            continue
+                continue
+            if skip == "option" and (name in OPTION_PARENTS or (end and name == skip)):
+                skip = ""
+            elif ends_skip(name, end, closed):
+                skip = ""
+            else:
+                continue
         if name in UNSEEN:
-            if not end and not m[3].endswith("/"):
-                skip, depth = name, 1
+            if not end and not closed and name not in RAW:
+                skip, depth, within = name, 1, []
             continue
         if name == "a":
             links = max(0, links + (-1 if end else 1))

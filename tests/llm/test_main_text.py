@@ -50,6 +50,23 @@ def test_parsing():
     assert runs("") == []
 
 
+def test_unseen_elements_end_where_they_end():
+    """Nothing behind a script, head, option or an element left open is lost."""
+    runs = lambda html: [t for n in H.flatten(H.parse(html)) for t in n.runs]
+    assert runs("<script>for(var i=0;i<n;i++){t+=i}</script><p>a</p><script>var b;</script><p>c</p>") == ["a", "c"]
+    assert runs("<script>document.write('<script src=a><\\/script>')</script><p>a</p>") == ["a"]
+    assert runs("<script><!-- open\nx()</script><p>a</p><style><!-- p{}</style ><p>b</p>") == ["a", "b"]
+    assert runs("<title>1 <b </TITLE><p>a</p><textarea><p></textarea><iframe><!--</iframe>b") == ["a", "b"]
+    assert runs("<html><head><meta charset=utf-8><title>t</title><script>1</script><body><p>a</p>") == ["a"]
+    assert runs("<head><title>t</title><p>a<div>b</div>") == ["a", "b"]
+    assert runs("<datalist><option>x<option value=1>y</datalist><p>a</p><option>z<p>b</p>") == ["a", "b"]
+    assert runs("<select><optgroup><option>x<option>y</select>a<div><option>z</div>b") == ["a", "b"]
+    assert runs("<div><button>x<p>y</p></div><p>a</p><div><object><div>z</div></div>b") == ["a", "b"]
+    assert runs("<svg><title>x</title><style>p{}<p>y</style><foreignObject><div>z</div></foreignObject><path/></svg>a<svg><g><p>b</p>") == ["a", "b"]
+    assert runs("<button><script>'</button>'</script>x</button>a<svg><style>") == ["a"]
+    assert runs("<template><div>x</p></div></section></template><p>a</p>") == ["a"]
+
+
 def test_decoding_keeps_parents_and_children_in_step(trees):
     """The chosen total is the best of all consistent choices."""
     from itertools import product
