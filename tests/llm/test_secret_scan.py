@@ -58,6 +58,39 @@ def test_novelty_tells_random_strings_from_names():
     assert S.scan("The thing is " + base64.b64encode(r.randbytes(24)).decode())[1] == []
 
 
+def novel(text):
+    return [text[a:b] for a, k, b in S.scan(text)[1] if k == 3]
+
+
+def test_private_key_blocks_are_found_to_their_last_line():
+    r = random.Random(6)
+    body = base64.b64encode(r.randbytes(1190)).decode()
+    rows = [body[i : i + 64] for i in range(0, len(body), 64)]
+    assert len(rows[-1]) < 64
+    for kind in ("RSA PRIVATE KEY", "PRIVATE KEY"):
+        for end in ("\n", "\r\n", "\\n"):
+            text = f"some words here{end}-----BEGIN {kind}-----{end}" + end.join(rows) + f"{end}-----END {kind}-----{end}and more words"
+            found = novel(text)
+            assert set(rows) >= set(found) and len(found) >= len(rows) - 1 and found[-1] == rows[-1], (kind, end)
+    # lines far in front of the word, and quoted ones
+    found = novel("\n".join(f'    "{x}" +' for x in rows[:-1]) + "\nthis was the signing key")
+    assert set(rows) >= set(found) and len(found) >= len(rows) - 2 and found[0] in rows[:2]
+
+
+def test_spaced_words_new_words_and_both_sides():
+    r = random.Random(7)
+    for form in ("api key: {}", "private key is {}", "access  key {}", "my pwd {} there", "the passphrase is {}", "encryption key = {}", "signing-key {}", "{} is the api token", "{} was the password", "private_key={}", "the token, as it was sent to us by the other side in the mail of last week, reads {}"):
+        found = 0
+        for _ in range(20):
+            key = base64.b64encode(r.randbytes(24)).decode()
+            found += any(key in x for x in novel("Some text in front of it. " + form.format(key) + " and some text behind it."))
+        assert found == 20, form
+    assert novel("the api key of ServiceRequestHandlerFactory and some/path/to/a/directory\nuser_authentication_service\nhello") == []
+    key = base64.b64encode(r.randbytes(24)).decode()
+    assert novel(f"api key: {key}\nhello") == [key]
+    assert novel("a token " + "word " * 100 + key) == []
+
+
 def test_repeated_string_is_not_novel():
     key = "Zx81kQ0pLmV3" + "tR5nWq7yB2sD"
     assert S.novelty(key, f"first {key} and", "") < S.MIN_COST < S.novelty(key, "first one and", "")
