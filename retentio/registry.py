@@ -392,10 +392,12 @@ def q_boosted_explanations(spark, sf):
 
 
 @query("forest_global_attribution")
-def q_forest_global(spark, sf):
+def q_forest_global(spark, sf, rows: int | None = None):
+    """L16 over every training row, or over a sample of ``rows`` of them (the reference takes 100)."""
     from retentio.ml.explain import global_tree_attribution
     ws = _ws(spark, sf)
-    sample = sample_rows(ws.split("train"), 100)
+    train = ws.split("train")
+    sample = train if rows is None else sample_rows(train, rows)
     feats = ws.trained().features.transform(sample).select("customer_id", "features")
     return global_tree_attribution(feats, ws.trained(), "random_forest")
 
