@@ -289,6 +289,22 @@ def q_linear_contributions(spark, sf):
     return A.linear_contributions(ws.encoded.where(F.col("split") == "test"), _train_stats(spark, sf))
 
 
+@query("all_linear_contributions")
+def q_all_linear_contributions(spark, sf):
+    """Every customer; ``linear_contributions`` has the evaluation rows its SQL fixes."""
+    return A.linear_contributions(_ws(spark, sf).encoded, _train_stats(spark, sf))
+
+
+@query("all_top_factors")
+def q_all_top_factors(spark, sf):
+    return A.top_factors(_ws(spark, sf).encoded, _train_stats(spark, sf))
+
+
+@query("all_global_contributions")
+def q_all_global_contributions(spark, sf):
+    return A.global_contributions(_ws(spark, sf).encoded, _train_stats(spark, sf))
+
+
 @query("top_factors")
 def q_top_factors(spark, sf):
     ws = _ws(spark, sf)
@@ -376,19 +392,33 @@ def q_logistic_top_factors(spark, sf):
     from retentio.ml.explain import logistic_stats_row
     ws = _ws(spark, sf)
     stats = logistic_stats_row(spark, ws.trained())
-    return A.top_factors(ws.encoded.where(F.col("split") == "test"), stats)
+    return A.top_factors(ws.encoded, stats)
 
 
-def _test_features(spark, sf):
+@query("logistic_explanations")
+def q_logistic_explanations(spark, sf):
+    from retentio.ml.explain import explanation, logistic_stats_row
     ws = _ws(spark, sf)
-    return ws.trained().features.transform(ws.split("test")).select("customer_id", "features")
+    each = A.with_contributions(ws.encoded, logistic_stats_row(spark, ws.trained()))
+    factors = each.select("customer_id", A.top_factors_array(F.col("contributions")).alias("top_factors"))
+    return explanation(q_scored(spark, sf), factors)
+
+
+def _tree_explanations(spark, sf, name):
+    from retentio.ml.explain import explanation, tree_explanations
+    ws = _ws(spark, sf)
+    feats = ws.trained().features.transform(ws.prepared).select("customer_id", "features")
+    return explanation(q_scored(spark, sf), tree_explanations(feats, ws.trained(), name))
 
 
 @query("boosted_explanations")
 def q_boosted_explanations(spark, sf):
-    from retentio.ml.explain import explanation, tree_explanations
-    factors = tree_explanations(_test_features(spark, sf), _ws(spark, sf).trained(), "boosted")
-    return explanation(_scored_test(spark, sf), factors)
+    return _tree_explanations(spark, sf, "boosted")
+
+
+@query("forest_explanations")
+def q_forest_explanations(spark, sf):
+    return _tree_explanations(spark, sf, "random_forest")
 
 
 @query("forest_global_attribution")
