@@ -1,14 +1,15 @@
 """Toxicity by nearest labelled examples under exact TF-IDF cosine.
 
 The fit takes a bounded sample of labelled rows (``SAMPLE_PER_CLASS`` of each
-label, lowest hash first, equal texts once), selects the terms whose use
-differs between the labels, and counts those terms' document frequencies over
-all documents. Terms are words and word beginnings, so unseen inflections of a
-known word count too. The examples make an inverted index whose postings are
-cut into blocks of ``BLOCK`` examples with the largest weight of each term and
-block: a text's upper bounds per block come from those, blocks are read from
-the best bound on, and reading ends when no bound reaches the k-th best cosine,
-so the neighbours are exact. Neighbours vote with weights that grow as their
+label, lowest hash first, equal texts once), takes all of their terms and counts
+those terms' document frequencies over all documents. Terms are words and word
+beginnings, so unseen inflections of a known word count too. TF-IDF weights are
+multiplied by a factor that grows with how much a term's use differs between
+the labels (``emphasis``) and is never 0. A text is compared with every example:
+terms of many examples by a product of dense matrices, the others by postings.
+Single precision only picks the examples that can be among the nearest; their
+cosines are summed again in double precision over their own terms, so
+the neighbours are exact. Neighbours vote with weights that grow as their
 distance falls, beside a prior; a logistic curve fitted on leave-one-out votes
 of the examples, weighted to the labels' true shares, turns votes into
 calibrated scores. The neighbours are the evidence.
@@ -16,7 +17,7 @@ calibrated scores. The neighbours are the evidence.
 The model is bounded by the sample, whatever the size of the tables; documents
 never leave their task.
 
-Defined results: a null or empty text, and one without any selected term, gets
+Defined results: a null or empty text, and one without any known term, gets
 the score of no neighbours; rows without a label train nothing; a doc_id
 labelled twice is toxic if any of its labels says so; repeated rows are scored
 alike; without both labels in the sample every score is the share of toxic
@@ -36,8 +37,12 @@ from pyspark.sql import functions as F
 
 from retentio.llm.common import pieces, table
 
-SAMPLE_PER_CLASS, MAX_TERMS, MIN_DF, MIN_Z = 3000, 3000, 4, 5.0
-SAMPLE_PARTITIONS, BLOCK, NEIGHBOURS, PRIOR_VOTES = 12, 64, 15, 0.05
+SAMPLE_PER_CLASS = 3000
+#: |z| at which a term has about half its weight, and what a term without any difference keeps.
+HALF_Z, LEAST = 5.0, 0.01
+#: Share of the examples from which a term's weights are a dense row; what single precision can lose of a cosine, with room; words whose terms a worker keeps.
+COMMON, LOST, KEPT_WORDS = 1 / 20, 1e-4, 200_000
+SAMPLE_PARTITIONS, TOGETHER, NEIGHBOURS, PRIOR_VOTES = 12, 64, 15, 0.05
 WORD = re.compile(r"[^\W\d_]+")
 #: Lengths of word beginnings that are terms; the word must be longer.
 BEGINNINGS = (4, 5)
@@ -62,29 +67,82 @@ def terms_of(text: str | None, among=None) -> dict[str, int]:
     return counts
 
 
+def emphasis(z: np.ndarray) -> np.ndarray:
+    """Factor of a term's weight, from ``LEAST`` to 1."""
+    return (z * z + LEAST * HALF_Z**2) / (z * z + HALF_Z**2)
+
+
+def spans(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges, one behind another."""
+    n = hi - lo
+    return np.arange(n.sum()) + np.repeat(lo - np.cumsum(n) + n, n)
+
+
+class Lookup(dict):
+    """Numbers and counts of a text's terms, as ``terms_of`` gives them; keeps the places of words seen before."""
+
+    def __init__(self, terms: dict[str, int]):
+        super().__init__()
+        self.terms, n = terms, len(terms)
+        starts = [t for t in terms if t[-1] == "-"]
+        self.row = np.zeros(n + 1, np.int32)
+        self.row[[terms[t] for t in starts]] = np.arange(1, len(starts) + 1)
+        names = [str(x) for x in LEVELS] + [f"{x}%" for x in SHARES]
+        self.levels = np.array([[n] * len(names)] + [[terms.get(t + x, n) for x in names] for t in starts], np.int32)
+        self.parts = np.zeros((1024, 1 + len(BEGINNINGS)), np.int32)
+
+    def __reduce__(self):
+        made = {"terms": self.terms, "row": self.row, "levels": self.levels, "parts": self.parts[:1024]}
+        return Lookup.__new__, (Lookup,), made
+
+    def __missing__(self, word: str) -> int:
+        k, n = len(self), len(self.terms)
+        if k == len(self.parts):
+            self.parts = np.concatenate((self.parts, np.zeros_like(self.parts)))
+        self.parts[k] = [self.terms.get(word, n), *(self.terms.get(word[:x] + "-", n) if len(word) > x else n for x in BEGINNINGS)]
+        self[word] = k
+        return k
+
+    def counts(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        words, n = WORD.findall((text or "").lower()), len(self.terms)
+        if len(self) > KEPT_WORDS:
+            self.clear()
+        codes = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        at, k = np.unique(self.parts[codes], return_counts=True)
+        if len(at) and at[-1] == n:
+            at, k = at[:-1], k[:-1]
+        rows = self.row[at]
+        own = np.flatnonzero(rows)
+        times = k[own, None]
+        more = self.levels[rows[own]][np.concatenate((times >= np.array(LEVELS), 100 * times >= np.array(SHARES) * len(words)), 1)]
+        more = more[more < n]
+        return np.concatenate((at, more)).astype(np.int64), np.concatenate((k, np.ones(len(more), np.int64)))
+
+
 class Model:
-    """Index of the labelled examples over the selected terms."""
-
-    def __init__(self, terms: dict[str, int], idf: np.ndarray, examples: list[tuple], share: float):
-        """``examples``: (doc_id, label, {term: count}); ``share``: of label 1 among all labelled rows."""
-        self.terms, self.idf, self.share = terms, idf, share
-        vectors = [(d, y, *self.vector(c)) for d, y, c in examples]
-        # neighbours in order share their heaviest term, so that blocks have telling bounds
-        vectors.sort(key=lambda v: (int(v[2][np.argmax(v[3])]) if len(v[2]) else -1, v[1], v[0] if v[0] is not None else -1))
+    """Index of the labelled examples over all their terms."""
+
+    def __init__(self, lookup: Lookup, weight: np.ndarray, examples: list[tuple], share: float):
+        """``weight``: of each term; ``examples``: (doc_id, label, terms, counts); ``share``: of label 1 among all labelled rows."""
+        self.lookup, self.terms, self.weight, self.share = lookup, lookup.terms, weight, share
+        vectors = [(d, y, *self._weighted(at, k)) for d, y, at, k in examples]
+        vectors.sort(key=lambda v: (v[1], v[0] if v[0] is not None else -1))
         self.ids = [v[0] for v in vectors]
         self.labels = np.array([v[1] for v in vectors], np.float64)
-        n, t = len(vectors), len(terms)
-        self.blocks = -(-n // BLOCK) if n else 0
-        lists: list[list] = [[] for _ in range(t)]
-        for i, (_, _, at, w) in enumerate(vectors):
-            for a, x in zip(at.tolist(), w.tolist(), strict=True):
-                lists[a].append((i, x))
-        self.postings = [(np.array([i for i, _ in p], np.int64), np.array([x for _, x in p])) for p in lists]
-        self.cuts = np.zeros((t, self.blocks + 1), np.int32)
-        self.bounds = np.zeros((t, self.blocks))
-        for a, (i, x) in enumerate(self.postings):
-            self.cuts[a] = np.searchsorted(i, np.arange(self.blocks + 1) * BLOCK)
-            np.maximum.at(self.bounds[a], i // BLOCK, x)
+        n, t = len(vectors), len(self.terms)
+        # the terms of each example, and the examples of each term
+        self.ends = np.concatenate(([0], np.cumsum([len(v[2]) for v in vectors], dtype=np.int64)))
+        self.of = np.concatenate([v[2] for v in vectors] or [np.zeros(0)]).astype(np.int32)
+        self.x = np.concatenate([v[3] for v in vectors] or [np.zeros(0)]).astype(np.float32)
+        order = np.argsort(self.of, kind="stable")
+        self.example = np.repeat(np.arange(n, dtype=np.int32), np.diff(self.ends))[order]
+        self.share_of = self.x[order]
+        self.first = np.searchsorted(self.of[order], np.arange(t + 1))
+        common = np.flatnonzero(np.diff(self.first) >= max(1, COMMON * n))
+        #: Row of a term in the dense matrix, -1 for the others.
+        self.dense_row = np.full(t, -1, np.int32)
+        self.dense_row[common] = np.arange(len(common))
+        self._scratch = None
         ones = max(1.0, self.labels.sum())
         zeros = max(1.0, n - ones)
         #: What a vote of an example counts, so that the sample's labels weigh as in the whole.
@@ -92,54 +150,82 @@ class Model:
         self.curve = (1.0, 0.0)
         self.both = 0 < self.labels.sum() < n
         if self.both:
-            votes = np.array([self._vote(at, w, skip=i) for i, (_, _, at, w) in enumerate(vectors)])
+            found = (f for k in range(0, n, TOGETHER) for f in self.nearest_of([v[2:] for v in vectors[k : k + TOGETHER]], range(k, n)))
+            votes = np.array([self._votes(i, s) for i, s in found])
             self.curve = _logistic(votes, self.labels, self.weights)
 
+    @property
+    def postings(self) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(examples, weights) of each term."""
+        return [(self.example[a:b], self.share_of[a:b]) for a, b in zip(self.first[:-1], self.first[1:], strict=True)]
+
+    def _weighted(self, at: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        w = (1 + np.log(k)) * self.weight[at]
+        return at, w / np.sqrt((w * w).sum()) if len(w) else w
+
     def vector(self, counts: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
-        """Normalized TF-IDF weights over the selected terms."""
+        """Normalized weights over the known terms."""
         pairs = sorted((self.terms[t], n) for t, n in counts.items() if t in self.terms)
-        at = np.array([a for a, _ in pairs], np.int64)
-        w = (1 + np.log(np.array([n for _, n in pairs], np.float64))) * self.idf[at] if pairs else np.zeros(0)
-        return at, w / np.sqrt((w * w).sum()) if pairs else w
-
-    def nearest(self, at: np.ndarray, w: np.ndarray, k: int = NEIGHBOURS, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """The k examples of the highest cosine above 0 (ties: lowest place first), exactly."""
-        best_i, best_s = np.zeros(0, np.int64), np.zeros(0)
-        if not len(at) or not self.blocks:
-            return best_i, best_s
-        upper = w @ self.bounds[at]
-        for b in np.argsort(-upper, kind="stable"):
-            if upper[b] <= 0 or (len(best_s) == k and upper[b] < best_s[-1] - 1e-12):
-                break
-            scores = np.zeros(BLOCK)
-            for a, x in zip(at, w, strict=True):
-                lo, hi = self.cuts[a, b], self.cuts[a, b + 1]
-                if lo < hi:
-                    i, y = self.postings[a]
-                    scores[i[lo:hi] - b * BLOCK] += x * y[lo:hi]
-            found = np.flatnonzero(scores > 0)
-            i = np.concatenate((best_i, found + b * BLOCK))
-            s = np.concatenate((best_s, scores[found]))
-            if skip >= 0:
-                i, s = i[i != skip], s[i != skip]
+        return self._weighted(np.array([a for a, _ in pairs], np.int64), np.array([n for _, n in pairs], np.float64))
+
+    def __getstate__(self):
+        return self.__dict__ | {"_scratch": None}
+
+    def _dense(self) -> tuple[np.ndarray, np.ndarray]:
+        """Weights of the common terms in all examples, and a zero for each term."""
+        if self._scratch is None:
+            common = np.flatnonzero(self.dense_row >= 0)
+            rows = np.zeros((len(common), len(self.ids)), np.float32)
+            for row, t in zip(rows, common, strict=True):
+                a, b = self.first[t], self.first[t + 1]
+                row[self.example[a:b]] = self.share_of[a:b]
+            self._scratch = rows, np.zeros(len(self.terms))
+        return self._scratch
+
+    def nearest_of(self, vectors: list[tuple], skips=None, k: int = NEIGHBOURS) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each vector the k examples of the highest cosine above 0 (ties: lowest place first), exactly; ``skips``: an example to leave out."""
+        dense, own = self._dense()
+        n, out = len(self.ids), []
+        asked = np.zeros((len(vectors), len(dense)), np.float32)
+        for line, (at, w) in zip(asked, vectors, strict=True):
+            row = self.dense_row[at]
+            line[row[row >= 0]] = w[row >= 0]
+        sums = asked @ dense
+        for j, (at, w) in enumerate(vectors):
+            rare = self.dense_row[at] < 0
+            lo, hi = self.first[at[rare]], self.first[at[rare] + 1]
+            p = spans(lo, hi)
+            near = sums[j] + np.bincount(self.example[p], np.repeat(w[rare], hi - lo) * self.share_of[p], n)
+            if skips is not None:
+                near[skips[j]] = 0
+            least = np.partition(near, n - k)[n - k] if n > k else 0.0
+            i = np.flatnonzero((near > 0) & (near >= least - LOST))
+            own[at] = w
+            c, d = self.ends[i], self.ends[i + 1]
+            q = spans(c, d)
+            s = np.bincount(np.repeat(np.arange(len(i)), d - c), own[self.of[q]] * self.x[q], len(i))
+            own[at] = 0
             order = np.lexsort((i, -s))[:k]
-            best_i, best_s = i[order], s[order]
-        return best_i, best_s
+            out.append((i[order], s[order]))
+        return out
+
+    def nearest(self, at: np.ndarray, w: np.ndarray, k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray]:
+        return self.nearest_of([(at, w)], k=k)[0]
 
     def _votes(self, i: np.ndarray, s: np.ndarray) -> float:
         near = s / (1.05 - np.minimum(s, 1.0)) * self.weights[i]
         return (float((near * self.labels[i]).sum()) + PRIOR_VOTES * self.share) / (float(near.sum()) + PRIOR_VOTES)
 
-    def _vote(self, at, w, skip: int = -1) -> float:
-        return self._votes(*self.nearest(at, w, skip=skip))
-
-    def score(self, text: str | None) -> tuple[float, list[tuple]]:
-        """(calibrated score, evidence as (doc_id, cosine, label))."""
+    def scores(self, texts: list) -> list[tuple[float, list[tuple]]]:
+        """(calibrated score, evidence as (doc_id, cosine, label)) of each text."""
         if not self.both:
-            return self.share, []
-        i, s = self.nearest(*self.vector(terms_of(text, self.terms)))
+            return [(self.share, []) for _ in texts]
         a, b = self.curve
-        return float(1 / (1 + np.exp(-(a * _logit(self._votes(i, s)) + b)))), [(self.ids[x], float(y), int(self.labels[x])) for x, y in zip(i, s, strict=True)]
+        found = self.nearest_of([self._weighted(*self.lookup.counts(t)) for t in texts])
+        return [(float(1 / (1 + np.exp(-(a * _logit(self._votes(i, s)) + b)))), [(self.ids[x], float(y), int(self.labels[x])) for x, y in zip(i, s, strict=True)]) for i, s in found]
+
+    def score(self, text: str | None) -> tuple[float, list[tuple]]:
+        return self.scores([text])[0]
 
 
 def _logit(p):
@@ -170,7 +256,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     marked = marked.where(fold(F.col("id")) != 0)
     n, share = marked.agg(F.count("*"), F.avg("y")).first()
     if not n:
-        return Model({}, np.zeros(0), [], 0.0)
+        return Model(Lookup({}), np.zeros(0), [], 0.0)
     order = [F.xxhash64("id"), F.col("id")]
     picked = marked.where("y = 1").orderBy(*order).limit(SAMPLE_PER_CLASS).unionByName(marked.where("y = 0").orderBy(*order).limit(SAMPLE_PER_CLASS))
     # at most 2 * SAMPLE_PER_CLASS ids: small on every input
@@ -190,38 +276,41 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
         a, b = float(sizes.get(1, 0)), float(sizes.get(0, 0))
         terms: dict[str, int] = {}
+        factor = np.zeros(0)
         if a and b:
             used = texts.mapInArrow(use, "term string, y int, n long").groupBy("term").agg(F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)).alias("p"), F.sum(F.when(F.col("y") == 0, F.col("n")).otherwise(0)).alias("q"))
-            both = (F.col("p") + F.col("q")) / (a + b)
-            z = (F.col("p") / a - F.col("q") / b) / F.sqrt(both * (1 - both) * (1 / a + 1 / b))
-            chosen = used.where((F.col("p") + F.col("q") >= MIN_DF) & (both < 1)).withColumn("z", F.abs(z)).where(F.col("z") >= MIN_Z).orderBy(F.col("z").desc(), "term").limit(MAX_TERMS)
-            terms = {t: i for i, t in enumerate(sorted(r.term for r in chosen.select("term").collect()))}
+            # all terms of the sample, which bounds them
+            used = used.toArrow().sort_by("term")
+            terms = {t: i for i, t in enumerate(used.column("term").to_pylist())}
+            p, q = (used.column(c).to_numpy().astype(np.float64) for c in ("p", "q"))
+            both = (p + q) / (a + b)
+            z = (p / a - q / b) / np.sqrt(np.maximum(both * (1 - both), 1e-300) * (1 / a + 1 / b))
+            factor = emphasis(np.where(both < 1, z, 0.0))
+        lookup = Lookup(terms)
 
         def frequencies(batches):
-            for part in pieces(batches, 4096):
-                seen = np.zeros(len(terms) + 1, np.int64)
-                for piece in pieces([part]):
-                    for text in piece.column("text").to_pylist():
-                        seen[-1] += 1
-                        for t in terms_of(text, terms):
-                            seen[terms[t]] += 1
-                at = np.flatnonzero(seen)
-                yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(seen[at])], names=["term", "n"])
+            seen = np.zeros(len(lookup.terms) + 1, np.int64)
+            for part in pieces(batches):
+                for text in part.column("text").to_pylist():
+                    seen[-1] += 1
+                    seen[lookup.counts(text)[0]] += 1
+            at = np.flatnonzero(seen)
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(seen[at])], names=["term", "n"])
 
         df = np.zeros(len(terms) + 1)
-        for t, k in docs.select(F.col(text_col).alias("text")).mapInArrow(frequencies, "term int, n long").groupBy("term").agg(F.sum("n")).collect():
-            df[t] = k
+        found = docs.select(F.col(text_col).alias("text")).mapInArrow(frequencies, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+        df[found.column("term").to_numpy()] = found.column("n").to_numpy()
         idf = np.log((df[-1] + 1) / (df[:-1] + 1)) + 1
 
         def vectors(batches):
             for part in pieces(batches):
-                found = [terms_of(t, terms) for t in part.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column("id").cast(pa.int64()), part.column("y"), pa.array([list(c) for c in found], pa.list_(pa.string())), pa.array([list(c.values()) for c in found], pa.list_(pa.int64()))], names=["id", "y", "terms", "counts"])
+                made = [lookup.counts(t) for t in part.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column("id").cast(pa.int64()), part.column("y"), *(pa.array([m[k].astype(np.int32).tobytes() for m in made], pa.binary()) for k in (0, 1))], names=["id", "y", "terms", "counts"])
 
-        examples = texts.mapInArrow(vectors, "id long, y int, terms array<string>, counts array<long>").collect()
+        examples = texts.mapInArrow(vectors, "id long, y int, terms binary, counts binary").toArrow().to_pylist()
     finally:
         texts.unpersist()
-    return Model(terms, idf, [(r.id, r.y, dict(zip(r.terms, r.counts, strict=True))) for r in examples], float(share))
+    return Model(lookup, idf * factor, [(r["id"], r["y"], *(np.frombuffer(r[c], np.int32).astype(np.int64) for c in ("terms", "counts"))) for r in examples], float(share))
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", out: str = "toxicity") -> DataFrame:
@@ -236,10 +325,9 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", out: str = "tox
     def scored(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for column in texts:
             parts = []
-            for at in range(0, len(column), 256):
+            for at in range(0, len(column), TOGETHER):
                 made = []
-                for text in column.slice(at, 256).to_pylist():
-                    p, evidence = model.score(text)
+                for p, evidence in model.scores(column.slice(at, TOGETHER).to_pylist()):
                     made.append({"score": p, "predicted": int(p >= 0.5), "evidence": [{"doc_id": d, "cosine": s, "label": y} for d, s, y in evidence]})
                 parts.append(pa.array(made, kind))
             yield pa.concat_arrays(parts) if parts else pa.array([], kind)

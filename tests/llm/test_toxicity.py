@@ -43,6 +43,30 @@ def test_neighbours_are_exact(model):
         assert np.allclose(cosines[i], s)
 
 
+def test_all_terms_of_the_examples_count(spark):
+    """Rare words and few labels: a near copy of an example finds it."""
+    rows, labels = [], []
+    for i in range(24):
+        r = random.Random(i)
+        rows.append((i, " ".join("".join(r.choice("abcdefghijklmnop") for _ in range(7)) for _ in range(30))))
+        labels.append((i, int(i % 3 == 0)))
+    docs, marks = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    small = X.fit(docs, marks)
+    assert small.both
+    for d, text in rows:
+        if d in small.ids:
+            score, evidence = small.score("Other " + text.rsplit(" ", 3)[0])
+            assert evidence[0][0] == d and evidence[0][1] > 0.9
+    assert len({small.score(t)[0] for _, t in rows}) > 1
+
+
+def test_numbers_of_terms_are_those_of_the_words(model):
+    names = sorted(model.terms, key=model.terms.get)
+    for text in [prose(i, 5 * i) for i in range(30)] + ["", None, "vile grimly grimble grim unknown", "grimly " * 9]:
+        at, k = model.lookup.counts(text)
+        assert {names[i]: n for i, n in zip(at.tolist(), k.tolist(), strict=True)} == X.terms_of(text, model.terms)
+
+
 def test_unseen_inflections_and_clean_texts(model):
     assert model.score("a grimness of " + prose(7, 50) + " grimful grimmer")[0] > 0.5
     assert model.score(prose(3, 50))[0] < 0.5
