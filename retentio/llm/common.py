@@ -50,6 +50,14 @@ def filesystem(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
+def files_of(root: str) -> tuple[object, list[str]]:
+    """The file system and the Parquet files of a written table, in the order of their names."""
+    from pyarrow import fs as pafs
+
+    fs, folder = filesystem(root)
+    return fs, sorted(f.path for f in fs.get_file_info(pafs.FileSelector(folder)) if f.base_name.endswith(".parquet"))
+
+
 def commit_file(fs, temporary: str, final: str) -> None:
     """Publish a finished file. A retried task writes the same bytes, so replacing is safe."""
     if fs.get_file_info(final).is_file:
