@@ -312,7 +312,8 @@ def trie(convs: DataFrame, rows: DataFrame, max_width: int = MAX_WIDTH) -> DataF
     inner = settle(
         nodes.join(below, "digest").join(children, "digest", "left").join(listed, "digest", "left").select(
             F.col("first").alias("conv_id"), "depth", F.when(F.col("depth") > 1, F.coalesce("parent_first", "first")).alias("parent_conv_id"), F.col("n").alias("n_convs"), lone.cast("long").alias("n_children"),
-            F.col("n_leaves").cast("long").alias("n_leaves"), F.col("saved_tokens").cast("long").alias("saved_tokens"), F.coalesce("ends_sha256", F.lit(EMPTY_SHA)).alias("ends_sha256")), "trie-inner")
+            # a singleton's one childless node may be counted above it, at the first singleton of its path
+            F.when(F.col("n") == 1, 1).otherwise(F.col("n_leaves")).cast("long").alias("n_leaves"), F.col("saved_tokens").cast("long").alias("saved_tokens"), F.coalesce("ends_sha256", F.lit(EMPTY_SHA)).alias("ends_sha256")), "trie-inner")
 
     members = convs.agg(F.min("conv_id").alias("first"), F.count("*").alias("n"))
     top = inner.where("depth = 1").agg(F.count("*").alias("n_children"), F.sum("n_leaves").alias("n_leaves"), F.sum("saved_tokens").alias("saved_tokens"))
