@@ -19,15 +19,17 @@ from retentio.operators.prepare import engineer, serving_features
 from retentio.schema import SCORING_REQUEST
 
 
-def score(rows: DataFrame, model: PipelineModel, keep: tuple[str, ...] = ("customer_id",)) -> DataFrame:
+def score(rows: DataFrame, model: PipelineModel, keep: tuple[str, ...] = ("customer_id",), features: bool = False) -> DataFrame:
+    """Scores of ``rows``, beside the ``keep`` columns and, if asked for, the assembled feature vector."""
+    more = ["features"] if features else []
     present = [m for m in K.MODEL_NAMES if cols(m)["prob"] in _output_cols(model)]
     out = model.transform(rows)
     probs = [probability(m).alias(f"p_{m}") for m in present]
-    scored = out.select(*[c for c in keep if c in rows.columns], *probs,
+    scored = out.select(*[c for c in keep if c in rows.columns], *more, *probs,
                         "expected_tenure", "CLV", "MonthlyCharges")
     mean = sum((F.col(f"p_{m}") for m in present[1:]), F.col(f"p_{present[0]}")) / F.lit(float(len(present)))
     return scored.select(
-        *[c for c in keep if c in rows.columns], *[f"p_{m}" for m in present],
+        *[c for c in keep if c in rows.columns], *more, *[f"p_{m}" for m in present],
         mean.alias("churn_probability"),
         C.risk_level(mean).alias("risk_level"),
         C.clv_or_fallback("CLV", "MonthlyCharges").alias("clv"),

@@ -5,20 +5,24 @@ Individualized Feature Attribution for Tree Ensembles", 2018, Algorithm 2):
 exact Shapley values of a tree's output where a missing feature follows
 both children in proportion to the training weight that reached them.
 
-Plan: the fitted model is saved under the shared checkpoint folder and its
-node table (``data/``) is read back with Spark. The node arrays (as large as
-the model, which MLlib itself ships to every scoring task) are broadcast
-once; ``mapInPandas`` then explains each Arrow batch of rows inside the
-executors, so rows stay partitioned and nothing row-sized reaches the
-driver.
+Plan: the model is a relation of nodes in the shared folder (``ml.nodes``).
+``mapInArrow`` explains each Arrow batch of rows inside the executors; tasks
+read the nodes themselves, in groups of whole trees of bounded size, so rows
+stay partitioned and neither rows nor nodes reach the driver. Columns that are
+wanted beside the explanation are carried through. The global attribution sums
+inside the tasks: one row a feature and task is shuffled.
 
 Batch kernel: for one leaf, the algorithm's result depends on a row only
 through which of the leaf's path features the row "follows" (a 0/1 pattern
-of at most depth bits; repeated features on a path merge). Weights are
-computed per (leaf, pattern) the first time the pattern occurs and cached;
-each batch then does numpy comparisons and table lookups over all its rows.
-``tree_shap`` (the per-row recursion) is kept as the reference the tests
-compare the kernel with.
+of at most depth bits; repeated features on a path merge). With o and z the
+one and zero fractions of the path's k features, feature i gets the leaf's value times
+``(o_i - z_i) * sum over S of |S|! (k-1-|S|)! / k! * prod o_S * prod z_rest``, and
+since ``|S|! (k-1-|S|)! / k!`` is the integral of ``t^|S| (1-t)^(k-1-|S|)`` over [0, 1],
+that sum is the integral of ``prod over j <> i of (o_j t + z_j (1-t))``: a
+polynomial of degree k-1, which Gauss-Legendre quadrature with ceil(k/2)
+points integrates exactly. A batch is a few array operations a leaf over the patterns that
+occur. ``tree_shap`` (the per-row recursion) is kept as the reference the
+tests compare the kernel with.
 
 Units: the boosted model is explained in log-odds (MLlib's probability is
 ``1 / (1 + exp(-2 * margin))``, so log-odds = 2 x margin); the forest in
@@ -28,19 +32,18 @@ probability of class 1 (the mean of the trees' leaf class shares). In both,
 
 from __future__ import annotations
 
-import os
 import sys
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from retentio import constants as K
-from retentio.session import ensure_checkpoint_dir
+from retentio.ml.nodes import KEPT_NODES, node_files, tree_groups
 
 # The batch kernel runs inside Python workers. Pickling this module's
 # functions by value ships them with each task, so executors need no copy
@@ -54,49 +57,8 @@ except (ImportError, AttributeError, ValueError):  # older cloudpickle: by refer
 
 
 def _tables(spark: SparkSession, model, kind: str) -> dict:
-    path = os.path.join(ensure_checkpoint_dir(spark), "models", f"{kind}-{uuid.uuid4().hex[:12]}")
-    model.write().overwrite().save(path)
-    nodes = spark.read.parquet(os.path.join(path, "data")).select(
-        "treeID", "nodeData.id", "nodeData.prediction", "nodeData.impurityStats",
-        "nodeData.leftChild", "nodeData.rightChild", "nodeData.split.featureIndex",
-        F.col("nodeData.split.leftCategoriesOrThreshold").alias("split_values"),
-        F.col("nodeData.split.numCategories").alias("num_categories"),
-    ).toPandas()  # node table: bounded by the model size, not by the data
-    weights = list(model.treeWeights)
-    trees = []
-    for tid, g in nodes.groupby("treeID"):
-        g = g.sort_values("id")
-        n = int(g["id"].max()) + 1
-        left = np.full(n, -1, dtype=np.int64)
-        right = np.full(n, -1, dtype=np.int64)
-        feat = np.full(n, -1, dtype=np.int64)
-        thr = np.zeros(n)
-        cats: list = [None] * n  # left categories of a categorical split
-        value = np.zeros(n)
-        cover = np.zeros(n)
-        for r in g.itertuples(index=False):
-            i = int(r.id)
-            left[i], right[i] = int(r.leftChild), int(r.rightChild)
-            feat[i] = int(r.featureIndex)
-            vals = list(r.split_values) if r.split_values is not None else []
-            if r.num_categories is not None and int(r.num_categories) > 0:
-                cats[i] = frozenset(float(v) for v in vals)
-            elif vals:
-                thr[i] = float(vals[0])
-            stats = np.asarray(r.impurityStats, dtype=float)
-            if kind == "forest":
-                tot = stats.sum()
-                cover[i] = tot
-                value[i] = stats[1] / tot if tot > 0 and len(stats) > 1 else 0.0
-            else:
-                cover[i] = stats[0]
-                value[i] = float(r.prediction)
-        if kind == "forest":
-            scale = 1.0 / len(weights)
-        else:
-            scale = 2.0 * weights[int(tid)]
-        trees.append((left, right, feat, thr, cats, value, cover, scale))
-    return {"trees": trees}
+    """All trees of a model, as the tasks read them (for tests)."""
+    return {"trees": [t for group in tree_groups(node_files(spark, model, kind)) for t in group]}
 
 
 def _extend(path: list, z: float, o: float, d: int) -> list:
@@ -223,16 +185,19 @@ def _leaf_paths(tree: tuple) -> list:
     return leaves
 
 
-def _pattern_phi(zeros: list, ones: tuple) -> np.ndarray:
-    """Leaf-path weights x (one - zero) for one on/off pattern of the path."""
-    path: list = []
-    path = _extend(path, 1.0, 1.0, -1)
-    for i, (z, o) in enumerate(zip(zeros, ones)):
-        path = _extend(path, z, float(o), i)
-    out = np.zeros(len(zeros))
-    for i in range(1, len(path)):
-        out[path[i][0]] = _unwound_sum(path, i) * (path[i][2] - path[i][1])
-    return out
+def _pattern_phi(zeros: np.ndarray, ones: np.ndarray, cache: dict) -> np.ndarray:
+    """Weights of a leaf's path features (patterns x features) for on/off patterns ``ones`` of the path."""
+    points = (len(zeros) + 1) // 2
+    if points not in cache:
+        x, w = np.polynomial.legendre.leggauss(points)
+        cache[points] = (x + 1) / 2, w / 2
+    t, w = cache[points]
+    f = ones[:, :, None] * t + zeros[None, :, None] * (1 - t)
+    # products of all others from both sides: no division
+    rest = np.ones_like(f)
+    np.cumprod(f[:, :-1], axis=1, out=rest[:, 1:])
+    rest[:, :-1] *= np.cumprod(f[:, :0:-1], axis=1)[:, ::-1]
+    return (rest @ w) * (ones - zeros)
 
 
 def _split_test(x: np.ndarray, tree: tuple, node: int, went_left: bool) -> np.ndarray:
@@ -243,33 +208,31 @@ def _split_test(x: np.ndarray, tree: tuple, node: int, went_left: bool) -> np.nd
     return goes_left if went_left else ~goes_left
 
 
-def tree_shap_batch(x: np.ndarray, tree: tuple, phi: np.ndarray, leaves: list, cache: dict) -> None:
-    """Add one tree's attributions for every row of ``x`` (n x features) into ``phi``.
+def tree_shap_batch(x: np.ndarray, tree: tuple, phi: np.ndarray, leaves: list, cache: dict, out: np.ndarray | None = None) -> None:
+    """Add one tree's attributions for every row of ``x`` (n x features) into ``phi``, its outputs into ``out``.
 
     Vectorized over rows: per leaf, each row's on/off pattern over the
-    leaf's path features selects precomputed weights (computed once per
-    pattern that occurs, then cached).
+    leaf's path features selects the weights of that pattern.
+    ``cache`` keeps quadrature points by their number.
     """
     scale = tree[-1]
-    for li, (v, order, zeros, conds) in enumerate(leaves):
+    goes = {n: _split_test(x, tree, n, True) for n in np.flatnonzero(tree[0] >= 0).tolist()}
+    for v, order, zeros, conds in leaves:
         if not order:
+            if out is not None:
+                out += v * scale
             continue
-        pattern = np.zeros(x.shape[0], dtype=np.int64)
+        pattern = np.zeros(len(x), np.int64)
         for k, tests in enumerate(conds):
-            ok = np.ones(x.shape[0], dtype=bool)
+            ok = np.ones(len(x), bool)
             for node, went_left in tests:
-                ok &= _split_test(x, tree, node, went_left)
+                ok &= goes[node] if went_left else ~goes[node]
             pattern |= ok.astype(np.int64) << k
-        table = cache.setdefault(li, {})
-        uniq, inv = np.unique(pattern, return_inverse=True)
-        rows = np.empty((len(uniq), len(order)))
-        for j, pat in enumerate(uniq):
-            w = table.get(int(pat))
-            if w is None:
-                ones = tuple((int(pat) >> k) & 1 for k in range(len(order)))
-                w = table[int(pat)] = _pattern_phi(zeros, ones)
-            rows[j] = w
-        phi[:, order] += rows[inv] * (v * scale)
+        if out is not None:
+            out[pattern == (1 << len(order)) - 1] += v * scale
+        found, at = np.unique(pattern, return_inverse=True)
+        ones = ((found[:, None] >> np.arange(len(order))) & 1).astype(float)
+        phi[:, order] += _pattern_phi(np.asarray(zeros), ones, cache)[at] * (v * scale)
 
 
 def predict_batch(x: np.ndarray, tree: tuple) -> np.ndarray:
@@ -286,35 +249,104 @@ def predict_batch(x: np.ndarray, tree: tuple) -> np.ndarray:
     return value[node] * scale
 
 
-def attributions(rows: DataFrame, model, kind: str, features_col: str = "features",
-                 key: str = "customer_id") -> DataFrame:
-    """``key, base_value, output, contributions array<double>`` per row.
+class Explainer:
+    """Explains batches of rows with the trees of a node relation."""
+
+    def __init__(self, nodes: str):
+        self.nodes = nodes
+        self.base = 0.0
+        self.quadrature: dict = {}
+        kept, held = [], 0
+        for group in tree_groups(nodes):
+            self.base += sum(_expected(t) for t in group)
+            held += sum(len(t[0]) for t in group)
+            if held <= KEPT_NODES:
+                kept.append(self._ready(group))
+        self.kept = kept if held <= KEPT_NODES else None
+
+    @staticmethod
+    def _ready(group: list[tuple]) -> list[tuple]:
+        return [(t, _leaf_paths(t)) for t in group]
+
+    def __call__(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(output, contributions) of each row."""
+        phi, out = np.zeros(x.shape), np.zeros(len(x))
+        # a larger model is read again for each batch, group by group
+        for group in self.kept if self.kept is not None else map(self._ready, tree_groups(self.nodes)):
+            for tree, paths in group:
+                tree_shap_batch(x, tree, phi, paths, self.quadrature, out)
+        return out, phi
+
+
+def _vectors(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of an array column that hold a whole number of features without NaN, and which rows they are."""
+    n = len(column)
+    if n == column.null_count:
+        return np.zeros((0, 0)), np.zeros(n, bool)
+    width = len(column.flatten()) // max(1, n - column.null_count)
+    x = np.full((n, width), np.nan)
+    x[~np.asarray(column.is_null())] = np.asarray(column.flatten()).reshape(-1, width)
+    there = ~np.isnan(x).any(axis=1)
+    return x[there], there
+
+
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """At least a partition for each core: explaining a row costs far more than moving it."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores, key) if rows.rdd.getNumPartitions() < cores else rows
+
+
+def attributions(rows: DataFrame, model=None, kind: str = "boosted", features_col: str = "features",
+                 key: str = "customer_id", carry: tuple[str, ...] = (), nodes: str | None = None) -> DataFrame:
+    """``key``, the ``carry`` columns, base_value, output, contributions array<double> per row.
 
     ``kind`` is "boosted" (log-odds units) or "forest" (probability units).
-    ``rows`` must carry the assembled feature vector.
+    ``rows`` must carry the assembled feature vector (or an array of the features); a row whose features hold
+    NaN gets a null output and null contributions. ``nodes`` is the folder
+    of a written node relation; without it the nodes of ``model`` are written.
     """
-    spark = rows.sparkSession
-    tables = _tables(spark, model, "forest" if kind == "forest" else "boosted")
-    bc = spark.sparkContext.broadcast(tables)
-    n_features = len(K.FEATURE_COLUMNS)
-
-    def explain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        trees = bc.value["trees"]
-        base = sum(_expected(t) for t in trees)
-        paths = [_leaf_paths(t) for t in trees]
-        caches: list[dict] = [{} for _ in trees]
-        for pdf in batches:
-            x = np.asarray(pdf["x"].tolist(), dtype=float).reshape(len(pdf), n_features)
-            phi = np.zeros((len(pdf), n_features))
-            out = np.zeros(len(pdf))
-            for t, leaves, cache in zip(trees, paths, caches):
-                tree_shap_batch(x, t, phi, leaves, cache)
-                out += predict_batch(x, t)
-            yield pd.DataFrame({key: pdf[key], "base_value": base, "output": out, "contributions": list(phi)})
-
-    src = rows.select(key, vector_to_array(F.col(features_col)).alias("x"))
-    schema = f"{key} string, base_value double, output double, contributions array<double>"
-    return src.mapInPandas(explain, schema)
+    nodes = nodes or node_files(rows.sparkSession, model, kind)
+    kept = [key, *carry]
+    src = spread(rows.select(*kept, _features(rows, features_col).alias("_x")), key)
+
+    def explain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        explainer = None
+        for part in batches:
+            explainer = explainer or Explainer(nodes)
+            x, there = _vectors(part.column("_x"))
+            out, phi = explainer(x)
+            place = np.cumsum(there) - 1
+            output = pa.array(out[place] if len(out) else np.zeros(len(there)), mask=~there)
+            offsets = pa.array(np.concatenate([[0], np.cumsum(there * (phi.shape[1] if len(phi) else 0))]), pa.int32())
+            lists = pa.ListArray.from_arrays(offsets, pa.array(phi.ravel()), mask=pa.array(~there))
+            base = pa.array(np.full(len(there), explainer.base))
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), base, output, lists], names=[*kept, "base_value", "output", "contributions"])
+
+    schema = StructType([*src.schema.fields[:-1], StructField("base_value", DoubleType()), StructField("output", DoubleType()), StructField("contributions", ArrayType(DoubleType()))])
+    return src.mapInArrow(explain, schema)
+
+
+def attribution_means(rows: DataFrame, model=None, kind: str = "boosted", features_col: str = "features", nodes: str | None = None) -> DataFrame:
+    """position, mean_abs_attribution over all rows (L16, A26): summed in the tasks, a row a feature and task moves."""
+    nodes = nodes or node_files(rows.sparkSession, model, kind)
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        explainer, sums, n = None, 0.0, 0
+        for part in batches:
+            explainer = explainer or Explainer(nodes)
+            x, _ = _vectors(part.column("_x"))
+            if len(x):
+                sums, n = sums + np.abs(explainer(x)[1]).sum(axis=0), n + len(x)
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(sums), dtype=np.int32)), pa.array(sums), pa.array(np.full(len(sums), n))], names=["position", "s", "n"])
+
+    src = spread(rows.select(_features(rows, features_col).alias("_x")), "_x")
+    summed = src.mapInArrow(total, "position int, s double, n long")
+    return summed.groupBy("position").agg((F.sum("s") / F.sum("n")).alias("mean_abs_attribution"))
+
+
+def _features(rows: DataFrame, name: str) -> F.Column:
+    return F.col(name).cast("array<double>") if isinstance(rows.schema[name].dataType, ArrayType) else vector_to_array(F.col(name))
 
 
 def contribution_structs(contributions: F.Column) -> F.Column:

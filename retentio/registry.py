@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from retentio import constants as K
@@ -375,6 +375,27 @@ def q_high_risk(spark, sf):
     return high_risk_check(spark, _ws(spark, sf).model(), _ws(spark, sf).fitted_cut())
 
 
+def _search(spark, sf):
+    # a row per model, point and fold: 125 rows at any size of the input
+    mean = F.avg("auc").over(Window.partitionBy("model", "point"))
+    return _ws(spark, sf).search("reference").withColumn("mean_auc", mean)
+
+
+@query("grid_search")
+def q_grid_search(spark, sf):
+    """Exact AUC on the held-out fold of every point of the published grids, and the chosen points."""
+    return _search(spark, sf).select("model", "point", "fold", "auc", "mean_auc", "chosen")
+
+
+@query("grid_folds")
+def q_grid_folds(spark, sf):
+    """The points of the grids with the rows and positives each fit and each measurement had."""
+    in_range = F.col("auc").between(0.0, 1.0) & F.col("mean_auc").between(0.0, 1.0)
+    best = F.max("mean_auc").over(Window.partitionBy("model"))  # as small as the search
+    return _search(spark, sf).select("model", "point", "fold", "n_fit", "n_held", "fit_positives", "held_positives",
+                                     in_range.alias("auc_in_range"), (~F.col("chosen") | (F.col("mean_auc") == best)).alias("chosen_is_best"))
+
+
 @query("tree_importance")
 def q_tree_importance(spark, sf):
     from retentio.ml.explain import tree_importance_frame
@@ -395,41 +416,100 @@ def q_logistic_top_factors(spark, sf):
     return A.top_factors(ws.encoded, stats)
 
 
-@query("logistic_explanations")
-def q_logistic_explanations(spark, sf):
-    from retentio.ml.explain import explanation, logistic_stats_row
+def _explained(spark, sf, name):
+    """Factors of one model beside its own scores, every customer, in one projection."""
+    from retentio.ml import explain as X
+    from retentio.ml.scoring import score
     ws = _ws(spark, sf)
-    each = A.with_contributions(ws.encoded, logistic_stats_row(spark, ws.trained()))
-    factors = each.select("customer_id", A.top_factors_array(F.col("contributions")).alias("top_factors"))
-    return explanation(q_scored(spark, sf), factors)
+    rows = score(ws.prepared, ws.model(), features=True)
+    own = f"p_{name}"
+    if name == "logistic":
+        factors = X.logistic_explanations(rows, X.logistic_stats_row(spark, ws.trained()), carry=(own, "clv"))
+    else:
+        factors = X.tree_explanations(rows, ws.trained(), name, carry=(own, "clv"))
+    return X.explanation(factors, own, X.fallback_array(ws.trained(), name))
 
 
-def _tree_explanations(spark, sf, name):
-    from retentio.ml.explain import explanation, tree_explanations
-    ws = _ws(spark, sf)
-    feats = ws.trained().features.transform(ws.prepared).select("customer_id", "features")
-    return explanation(q_scored(spark, sf), tree_explanations(feats, ws.trained(), name))
+@query("logistic_explanations")
+def q_logistic_explanations(spark, sf):
+    return _explained(spark, sf, "logistic")
 
 
 @query("boosted_explanations")
 def q_boosted_explanations(spark, sf):
-    return _tree_explanations(spark, sf, "boosted")
+    return _explained(spark, sf, "boosted")
 
 
 @query("forest_explanations")
 def q_forest_explanations(spark, sf):
-    return _tree_explanations(spark, sf, "random_forest")
+    return _explained(spark, sf, "random_forest")
+
+
+@query("model_scores")
+def q_model_scores(spark, sf):
+    """Every customer scored by each model and by their mean, each with its own risk level."""
+    from retentio.functions.columns import risk_level
+    long = q_scored(spark, sf)
+    items = [F.struct(F.lit(m).alias("model"), F.col(f"p_{m}").alias("p")) for m in MODEL_SCORES]
+    items.append(F.struct(F.lit("ensemble").alias("model"), F.col("churn_probability").alias("p")))
+    each = long.select("customer_id", "clv", "expected_tenure", F.explode(F.array(*items)).alias("s"))
+    return each.select("customer_id", "s.model", F.col("s.p").alias("churn_probability"), risk_level(F.col("s.p")).alias("risk_level"), "clv", "expected_tenure")
+
+
+@query("score_checks")
+def q_score_checks(spark, sf):
+    """What must hold for every customer's scores, whatever the fit: ranges, the mean, the risk level, the value."""
+    scored = q_scored(spark, sf)
+    ps = [F.col(f"p_{m}") for m in MODEL_SCORES]
+    mean = F.col("churn_probability")
+    level = F.when(mean < 0.3, "Low").when(mean < 0.6, "Medium").otherwise("High")
+    in_range = F.lit(True)
+    for p in [*ps, mean]:
+        in_range = in_range & p.between(0.0, 1.0)
+    return scored.select(
+        "customer_id", in_range.alias("in_range"), (F.abs(mean - (ps[0] + ps[1] + ps[2]) / 3) < 1e-12).alias("is_mean"),
+        (F.col("risk_level") == level).alias("level_fits"), "clv", "expected_tenure")
+
+
+def _additivity(spark, sf, name):
+    from retentio.ml import explain as X
+    from retentio.ml.scoring import score
+    from retentio.ml.treeshap import attributions
+    ws = _ws(spark, sf)
+    own = f"p_{name}"
+    rows = score(ws.prepared, ws.model(), features=True)
+    att = attributions(rows, ws.trained().models[name], X._kind(name), carry=(own,), nodes=ws.trained().nodes[name])
+    total = F.col("base_value") + F.aggregate("contributions", F.lit(0.0), lambda a, b: a + b)
+    p = F.col("output") if name == "random_forest" else F.lit(1.0) / (F.lit(1.0) + F.exp(-F.col("output")))
+    near = lambda a, b: F.abs(a - b) < 1e-9
+    return att.select("customer_id", F.lit(name).alias("model"), near(total, F.col("output")).alias("adds_up"), near(p, F.col(own)).alias("gives_score"))
+
+
+@query("explanation_checks")
+def q_explanation_checks(spark, sf):
+    """For every customer and tree model, base and contributions add up to the output, and that to the score."""
+    return _additivity(spark, sf, "boosted").union(_additivity(spark, sf, "random_forest"))
 
 
 @query("forest_global_attribution")
 def q_forest_global(spark, sf, rows: int | None = None):
     """L16 over every training row, or over a sample of ``rows`` of them (the reference takes 100)."""
+    return _global_attribution(spark, sf, "random_forest", rows)
+
+
+@query("boosted_global_attribution")
+def q_boosted_global(spark, sf, rows: int | None = None):
+    """L16 for the boosted model, the reference's default."""
+    return _global_attribution(spark, sf, "boosted", rows)
+
+
+def _global_attribution(spark, sf, name, rows):
     from retentio.ml.explain import global_tree_attribution
     ws = _ws(spark, sf)
     train = ws.split("train")
     sample = train if rows is None else sample_rows(train, rows)
     feats = ws.trained().features.transform(sample).select("customer_id", "features")
-    return global_tree_attribution(feats, ws.trained(), "random_forest")
+    return global_tree_attribution(feats, ws.trained(), name)
 
 
 @query("importance_fallback")

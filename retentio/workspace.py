@@ -8,17 +8,15 @@ checkpoint folder (``spark.checkpoint.dir``). Later plans start at those
 files: lineage is cut (a lost executor re-reads files instead of
 re-aggregating ``orders``) and ``where split = ...`` prunes folders.
 
-Artifacts are remembered by input folder and a signature of its files
-(name, size, modification time), as paths: a later session in the same
-process reads them back instead of recomputing, and changed inputs give a
-new signature.
+Stages and models are kept in the store of the checkpoint folder
+(``plans.store``) under a hash of the input files (path, size, modification
+time), the settings and the code: one process builds each, every other session
+that sees the folder reads it, and changed inputs give another key.
 """
 
 from __future__ import annotations
 
-import os
 import threading
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,14 +24,14 @@ from pyspark.sql import functions as F
 from retentio.operators import prepare as P
 from retentio.operators.split import assign_split
 from retentio.plans.lineage import path_exists
-from retentio.session import ensure_checkpoint_dir
+from retentio.plans.store import Store, artifact_key
 from retentio.sources.subscribers import load_subscribers
 
 # Registered model queries run the published searches in full. The tests set
 # "quick" (one point per model): they check plans and invariants, not quality.
 GRID = "reference"
-# Fits of a search that are submitted at once.
-PARALLEL_FITS = 8
+# Final fits that are submitted at once.
+PARALLEL_FITS = 3
 
 _LOCK = threading.RLock()
 _ARTIFACTS: dict[tuple, dict[str, str]] = {}
@@ -74,25 +72,30 @@ class Workspace:
         self.sf_dir = sf_dir
         self.exact = exact
         self.fit_on = fit_on
-        self._paths = _ARTIFACTS.setdefault(_artifact_key(spark, sf_dir, exact) + (fit_on,), {})
+        self._key = _artifact_key(spark, sf_dir, exact) + (fit_on,)
+        self._paths = _ARTIFACTS.setdefault(self._key, {})
+        self._store = Store(spark)
         self._frames: dict[str, DataFrame] = {}
         self._objects: dict[str, object] = {}
 
+    def _artifact(self, name: str, build, mark: str) -> str:
+        """The folder of an artifact of this workspace, built if no session has built it."""
+        path = self._paths.get(name)
+        if path is None or not path_exists(self.spark, f"{path}/{mark}"):
+            path = self._paths[name] = self._store.get(artifact_key(name, *self._key), build)
+        return path
+
     def _stage(self, name: str, build, partition_by: list[str] | None = None) -> DataFrame:
+        def write(path: str) -> None:
+            writer = build().write.mode("overwrite")
+            if partition_by:
+                writer = writer.partitionBy(*partition_by)
+            writer.parquet(path)
+
         with _LOCK:
-            if name in self._frames:
-                return self._frames[name]
-            path = self._paths.get(name)
-            if path is None or not path_exists(self.spark, f"{path}/_SUCCESS"):
-                path = os.path.join(ensure_checkpoint_dir(self.spark), "stages", f"{name}-{uuid.uuid4().hex[:12]}")
-                writer = build().write.mode("overwrite")
-                if partition_by:
-                    writer = writer.partitionBy(*partition_by)
-                writer.parquet(path)
-                self._paths[name] = path
-            df = self.spark.read.parquet(path)
-            self._frames[name] = df
-            return df
+            if name not in self._frames:
+                self._frames[name] = self.spark.read.parquet(self._artifact(name, write, "_SUCCESS"))
+            return self._frames[name]
 
     @property
     def raw(self) -> DataFrame:
@@ -136,29 +139,38 @@ class Workspace:
         from retentio.operators.encode import encode
         return encode(self.prepared, self.codes)
 
+    def model_path(self, grid: str | None = None) -> str:
+        """Folder of the combined scoring pipeline, its constants and searches (IO6)."""
+        from retentio.ml.models import save, train_models
+
+        grid = grid or GRID
+
+        def write(path: str) -> None:
+            save(train_models(self.prepared, grid=grid, parallelism=PARALLEL_FITS), path, self.cuts)
+
+        with _LOCK:
+            self.prepared, self.cuts  # their own artifacts, built before the model's claim is taken
+            return self._artifact(f"model:{grid}", write, "metadata")
+
     def model(self, grid: str | None = None):
-        """The combined scoring pipeline, saved to and loaded from shared storage (IO6)."""
-        from retentio.ml.models import load, save, train_models
+        """The combined scoring pipeline, loaded from the store."""
+        from retentio.ml.models import load
 
         key = f"model:{grid or GRID}"
         with _LOCK:
-            if key in self._objects:
-                return self._objects[key]
-            path = self._paths.get(key)
-            if path is None or not path_exists(self.spark, f"{path}/metadata"):
-                trained = train_models(self.prepared, grid=grid or GRID, parallelism=PARALLEL_FITS)
-                path = os.path.join(ensure_checkpoint_dir(self.spark), "models", f"combined-{uuid.uuid4().hex[:12]}")
-                save(trained, path, self.cuts)
-                self._paths[key] = path
-            self._objects[key] = load(path)
+            if key not in self._objects:
+                self._objects[key] = load(self.model_path(grid))
             return self._objects[key]
 
+    def search(self, grid: str | None = None) -> DataFrame:
+        """The searches of the model: a row for each model, point and fold."""
+        return self.spark.read.parquet(f"{self.model_path(grid)}/search")
+
     def fitted_cut(self, grid: str | None = None) -> float:
         """The fiber cut saved beside the model: requests get the features it was trained on."""
         from retentio.ml.models import fitted_cut
 
-        self.model(grid)
-        return fitted_cut(self.spark, self._paths[f"model:{grid or GRID}"])
+        return fitted_cut(self.spark, self.model_path(grid))
 
     def trained(self, grid: str | None = None):
         """Fitted feature stages and models, taken from the saved pipeline."""
@@ -167,7 +179,7 @@ class Workspace:
         key = f"trained:{grid or GRID}"
         with _LOCK:
             if key not in self._objects:
-                self._objects[key] = TrainedModels.from_combined(self.model(grid))
+                self._objects[key] = TrainedModels.from_combined(self.model(grid), self.model_path(grid))
             return self._objects[key]
 
     def split(self, *names: str) -> DataFrame:

@@ -372,13 +372,20 @@ STATS_LONG = "fs AS (" + "\nUNION ALL\n".join(
     f"c{i} AS correlation FROM st"
     for i, f in enumerate(FEATURES)
 ) + ")"
-CONTRIB = "lc AS (" + "\nUNION ALL\n".join(
+
+
+def _contributions(rows: str) -> str:
+    return "lc AS (" + "\nUNION ALL\n".join(
     f"SELECT customer_id, {i} AS position, '{f}' AS feature, "
     f"CASE WHEN s{i} > 0 THEN (CAST({f} AS DOUBLE) - m{i}) / s{i} ELSE 0e0 END AS value, c{i} AS coefficient, "
     f"c{i} * (CASE WHEN s{i} > 0 THEN (CAST({f} AS DOUBLE) - m{i}) / s{i} ELSE 0e0 END) AS contribution "
-    f"FROM enc CROSS JOIN st WHERE split = 'test'"
+    f"FROM enc CROSS JOIN st WHERE {rows}"
     for i, f in enumerate(FEATURES)
-) + ")"
+    ) + ")"
+
+
+CONTRIB = _contributions("split = 'test'")
+ALL_CONTRIB = _contributions("TRUE")
 
 SQL["scaler_stats"] = f"WITH {STATS},\n{STATS_LONG}\nSELECT * FROM fs"
 SQL["linear_importance"] = f"""WITH {STATS},
@@ -406,10 +413,37 @@ rk AS (SELECT customer_id, feature, contribution,
 SELECT customer_id, factor_rank, feature, abs(contribution) AS weight,
   CASE WHEN contribution > 0 THEN 'increases' ELSE 'decreases' END AS direction
 FROM rk WHERE factor_rank <= 5"""
+
+def _points() -> list[tuple[str, str]]:
+    out = [("logistic", f"c={c}") for c in ("0.01", "0.1", "1.0", "10.0")]
+    out += [("random_forest", f"depth={d}, min_leaf={n}") for d in (5, 10, 15, 30) for n in (1, 2, 4)]
+    return out + [("boosted", f"depth={d}, rate={r}") for d in (3, 5, 7) for r in ("0.01", "0.1", "0.2")]
+
+
+SQL["grid_folds"] = f"""
+WITH pt(model, point) AS (VALUES {", ".join(f"('{m}', '{p}')" for m, p in _points())}),
+fd(fold) AS (SELECT CAST(range AS INTEGER) FROM range(5)),
+tr AS (SELECT fold, Churn FROM split WHERE split = 'train'),
+sz AS (
+  SELECT fd.fold, COUNT(*) FILTER (WHERE tr.fold <> fd.fold) AS n_fit, COUNT(*) FILTER (WHERE tr.fold = fd.fold) AS n_held,
+    CAST(COALESCE(SUM(Churn) FILTER (WHERE tr.fold <> fd.fold), 0) AS BIGINT) AS fit_positives,
+    CAST(COALESCE(SUM(Churn) FILTER (WHERE tr.fold = fd.fold), 0) AS BIGINT) AS held_positives
+  FROM fd CROSS JOIN tr GROUP BY fd.fold)
+SELECT model, point, fold, n_fit, n_held, fit_positives, held_positives, TRUE AS auc_in_range, TRUE AS chosen_is_best
+FROM pt CROSS JOIN sz
+"""
+SQL["score_checks"] = """
+SELECT customer_id, TRUE AS in_range, TRUE AS is_mean, TRUE AS level_fits, CLV AS clv, expected_tenure FROM prep"""
+SQL["explanation_checks"] = """
+SELECT customer_id, model, TRUE AS adds_up, TRUE AS gives_score
+FROM prep CROSS JOIN (VALUES ('boosted'), ('random_forest')) m(model)"""
 SQL["stream_vs_batch"] = "SELECT customer_id, TRUE AS same_scores FROM prep"
 SQL["global_contributions"] = f"""WITH {STATS},
 {CONTRIB}
 SELECT feature, {eavg('abs(contribution)')} AS mean_abs_contribution FROM lc GROUP BY feature"""
+# the same over every customer
+for _name in ("linear_contributions", "top_factors", "global_contributions"):
+    SQL[f"all_{_name}"] = SQL[_name].replace(CONTRIB, ALL_CONTRIB)
 
 
 def oracle_sql() -> dict[str, str]:
