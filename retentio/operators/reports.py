@@ -63,7 +63,7 @@ def clv_summary(rows: DataFrame) -> DataFrame:
     """CLV min, max, mean, median and total (A7), from one pass over the rows."""
     values = _collapsed_clv(rows, [])
     stats = _weighted_stats(values, []).select("min_clv", "max_clv", "mean_clv", "total_clv")
-    med = quantiles(values, "CLV", [0.5], ["median_clv"], weight="n", materialize=False)
+    med = quantiles(values, "CLV", [0.5], ["median_clv"], weight="n")
     return stats.crossJoin(F.broadcast(med))  # both one row
 
 
@@ -76,8 +76,7 @@ def clv_by_churn(rows: DataFrame) -> DataFrame:
     spark = rows.sparkSession
     values = _collapsed_clv(rows, ["Churn"])
     stats = _weighted_stats(values, ["Churn"]).select("Churn", "mean_clv", "std_clv", "n")
-    med = quantiles(values, "CLV", [0.5], ["median_clv"], strata=["Churn"], strata_bound=2, weight="n",
-                    materialize=False)
+    med = quantiles(values, "CLV", [0.5], ["median_clv"], strata=["Churn"], strata_bound=2, weight="n")
     status = spark.createDataFrame([(0, "Not Churned"), (1, "Churned")], "Churn int, status string")
     out = status.join(stats, "Churn", "left").join(med, "Churn", "left")
     return out.orderBy("Churn").select(
@@ -193,7 +192,7 @@ def business_insights(rows: DataFrame) -> DataFrame:
     """Three insight sentences (B1): worst quartile, best quartile, revenue at risk."""
     ext = quartile_extremes(rows)
     risk = revenue_at_risk(rows)
-    both = ext.crossJoin(risk)  # one row each
+    both = ext.crossJoin(F.broadcast(risk))  # one row each
     # numbers are rounded half-to-even before formatting, so the text does
     # not depend on the formatter's own tie rule
     return both.select(F.explode(F.array(

@@ -1,14 +1,19 @@
 """Exact and approximate quantiles as distributed plans.
 
 Exact form (linear interpolation between closest ranks, the definition used
-by pandas ``quantile``/``qcut`` and by SQL ``percentile_cont``):
+by pandas ``quantile``/``qcut`` and by SQL ``percentile_cont``), by counting:
 
-* collapse the column to (value, count) with a partial aggregate,
-* running counts over the sorted distinct values (``plans.ordered``),
-* join the few wanted ranks (k rows per stratum, broadcast) with a range
-  condition, interpolate ``lo + (hi - lo) * frac``.
+* a scan counts rows by power of two, with the least and largest value of each
+  bin; that places every wanted rank of every stratum in one bin;
+* a scan counts the rows of the wanted bins only, in ``BINS`` equal steps between
+  their least and largest value, and so on while a bin holds more than
+  ``FINAL`` rows of different values;
+* a last scan counts the single values of the bins that are left.
 
-No task holds all values and nothing goes through the driver. The
+A rank is then a value. Each scan is one aggregate with map-side partial sums whose
+result is a few bins for each wanted rank; there is no sort of the rows, no window and no rank
+table. Three scans are usual, and each further one divides the rows in question by up to ``BINS``. The bins of a rank
+meet in its row, and rows are joined with the wanted bins by the power of two they lie in. The
 approximate form is ``percentile_approx`` for when exactness is not needed.
 """
 
@@ -21,11 +26,38 @@ from pyspark.sql import functions as F
 
 from retentio.plans.broadcast import broadcast_bounded
 from retentio.plans.lineage import checkpoint
-from retentio.plans.ordered import running_totals
 
-_V = "_q_value"
-_N = "_q_count"
-_CUM = "_q_cum"
+BINS, FINAL = 4096, 4096
+NAN_BIN, INF_BIN, SHIFT = 9000, 5000, 1100  # beyond all powers of two of doubles
+
+_BIN = "struct<bin:double,n:bigint,mn:double,mx:double>"
+
+
+def _power(v: F.Column) -> F.Column:
+    """Number of the power of two of a double, in the order of the values: NaN last, as Spark sorts it."""
+    size = (F.floor(F.log2(F.abs(v))) + SHIFT).cast("int")
+    return (
+        F.when(F.isnan(v), NAN_BIN).when(v == float("inf"), INF_BIN).when(v == float("-inf"), -INF_BIN)
+        .when(v == 0, 0).when(v > 0, size).otherwise(-size)
+    )
+
+
+def _bins(counted: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys`` and the array of their bins in order (at most ``BINS``, or the powers of two, or the single values)."""
+    return counted.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("bin", "n", "mn", "mx").cast(_BIN))).alias("bins"), F.sum("n").alias("total"))
+
+
+def _locate(bins: F.Column, rank: F.Column) -> F.Column:
+    """The bin that holds the 0-based ``rank``, with the rows below it: struct(below, n, mn, mx)."""
+    state = "struct<below:bigint,n:bigint,mn:double,mx:double>"
+    start = F.struct(F.lit(0), F.lit(None), F.lit(None), F.lit(None)).cast(state)
+
+    def step(acc: F.Column, b: F.Column) -> F.Column:
+        held = F.struct(acc["below"], b["n"], b["mn"], b["mx"]).cast(state)
+        passed = F.struct(acc["below"] + b["n"], F.lit(None), F.lit(None), F.lit(None)).cast(state)
+        return F.when(acc["n"].isNotNull(), acc).when(acc["below"] + b["n"] > rank, held).otherwise(passed)
+
+    return F.aggregate(bins, start, step)
 
 
 def quantiles(
@@ -37,7 +69,6 @@ def quantiles(
     exact: bool = True,
     accuracy: int = 100_000,
     strata_bound: int | None = None,
-    materialize: bool = True,
     weight: str | None = None,
 ) -> DataFrame:
     """One row per stratum with a column per probability.
@@ -45,10 +76,9 @@ def quantiles(
     ``names`` defaults to ``q0, q1, ...``. Nulls are ignored. Strata with no
     non-null value are absent from the result. ``strata_bound`` states a
     known bound on the number of strata (e.g. a fixed label domain); without
-    it the rank table is counted before it is broadcast. ``materialize``
-    checkpoints the collapsed (value, count) table, which the rank plan reads
-    several times, so the input plan runs once. ``weight`` names a count
-    column when ``df`` is already collapsed to (value, count) rows.
+    it the wanted bins are counted before they are broadcast. ``weight`` names a count
+    column when ``df`` is already collapsed to (value, count) rows. ``df`` is scanned
+    about three times: give a written table, not a costly plan.
     """
     names = list(names or [f"q{i}" for i in range(len(probs))])
     if len(names) != len(probs):
@@ -61,54 +91,54 @@ def quantiles(
             .agg(*[F.percentile_approx(column, float(p), accuracy).cast("double").alias(n) for p, n in zip(probs, names)])
         )
 
-    spark = df.sparkSession
-    values = (
-        df.where(F.col(column).isNotNull())
-        .select(*strata, F.col(column).cast("double").alias(_V), *([weight] if weight else []))
-        .groupBy(*strata, _V)
-        .agg((F.sum(weight).cast("long") if weight else F.count(F.lit(1))).alias(_N))
-    )
-    if materialize:
-        values = checkpoint(values)
-    cum = running_totals(values, [_V], {_CUM: _N}, strata=strata)
-
-    # Wanted ranks: for each stratum and probability, the two neighbouring
-    # 0-based ranks and the interpolation fraction.
-    probs_df = spark.createDataFrame([(i, float(p)) for i, p in enumerate(probs)], "qi int, qp double")
-    sizes = values.groupBy(*strata).agg(F.sum(_N).alias("_q_total"))
-    pos = F.col("qp") * (F.col("_q_total") - 1).cast("double")
-    rs = [f"_qs_{i}" for i in range(len(strata))]
-    ranks = (
-        sizes.crossJoin(F.broadcast(probs_df))
-        .select(
-            *[F.col(s).alias(r) for s, r in zip(strata, rs)], "qi",
-            F.floor(pos).cast("long").alias("_q_lo"),
-            F.ceil(pos).cast("long").alias("_q_hi"),
-            (pos - F.floor(pos)).alias("_q_frac"),
-        )
-    )
-    # ranks has (number of strata) x len(probs) rows. Without strata that is
-    # len(probs) by construction; with strata it is checked before broadcast.
-    if not strata or (strata_bound is not None and strata_bound * len(probs) <= 100_000):
-        ranks_side = F.broadcast(ranks)
-    else:
-        ranks_side = broadcast_bounded(ranks, max_rows=100_000)
-    lower = F.col(_CUM) - F.col(_N)
-    hit_lo = (lower <= F.col("_q_lo")) & (F.col("_q_lo") < F.col(_CUM))
-    hit_hi = (lower <= F.col("_q_hi")) & (F.col("_q_hi") < F.col(_CUM))
-    cond = hit_lo | hit_hi
-    for s, r in zip(strata, rs):
-        cond = F.col(s).eqNullSafe(F.col(r)) & cond
-    hits = cum.join(ranks_side, cond).select(
-        *strata, "qi", "_q_frac",
-        F.when(hit_lo, F.col(_V)).alias("_q_lo_v"),
-        F.when(hit_hi, F.col(_V)).alias("_q_hi_v"),
+    own = [f"s{i}" for i in range(len(strata))]
+    value = F.col(column).cast("double")
+    rows = df.where(F.col(column).isNotNull()).select(
+        *[F.col(s).alias(o) for s, o in zip(strata, own)], value.alias("v"), _power(value).alias("power"),
+        (F.col(weight) if weight else F.lit(1)).cast("long").alias("w"),
     )
-    per_q = hits.groupBy(*strata, "qi").agg(
-        F.max("_q_lo_v").alias("lo"), F.max("_q_hi_v").alias("hi"), F.first("_q_frac").alias("frac")
+    least = [F.sum("w").alias("n"), F.min("v").alias("mn"), F.max("v").alias("mx")]
+    first = _bins(rows.groupBy(*own, F.col("power").alias("bin")).agg(*least), own)
+
+    # each probability wants the two ranks around its place
+    place = F.col("p") * (F.col("total") - 1).cast("double")
+    wanted = F.array(*[F.struct(F.lit(i).alias("qi"), F.lit(float(p)).alias("p")) for i, p in enumerate(probs)])
+    ranks = first.select(*own, "bins", "total", F.explode(wanted).alias("q")).select(*own, "bins", "total", "q.qi", "q.p").select(
+        *own, "bins", "qi", (place - F.floor(place)).alias("frac"),
+        F.explode(F.array(F.struct(F.lit(0).alias("side"), F.floor(place).alias("rank")), F.struct(F.lit(1).alias("side"), F.ceil(place).alias("rank")))).alias("r"))
+    keys = [*own, "qi", "side", "frac", "rank"]
+    found = ranks.select(*own, "qi", "r.side", "frac", F.col("r.rank").cast("long").alias("rank"), "bins").select(*keys, _locate(F.col("bins"), F.col("rank")).alias("b")).select(*keys, "b.*")
+    found = checkpoint(found.withColumn("power", _power(F.col("mn"))))
+
+    def refine(open_: DataFrame, step: F.Column) -> DataFrame:
+        """The bins of the wanted ranks, cut by ``step`` (a column over v and the bin's mn and mx)."""
+        side = open_.select(*[F.col(o).alias(f"b{o}") for o in own], F.col("power").alias("b_power"), "qi", "side", "frac", "rank", "below", F.col("mn").alias("b_mn"), F.col("mx").alias("b_mx"))
+        if strata_bound is not None or not strata:
+            side = F.broadcast(side)  # strata x probabilities x 2
+        else:
+            side = broadcast_bounded(side, max_rows=100_000)
+        same = (F.col("power") == F.col("b_power")) & F.col("v").between(F.col("b_mn"), F.col("b_mx"))
+        for o in own:
+            same = F.col(o).eqNullSafe(F.col(f"b{o}")) & same
+        met = rows.join(side, same)
+        counted = met.groupBy(*keys, "below", step.cast("double").alias("bin")).agg(*least)
+        each = _bins(counted, [*keys, "below"])
+        cut = each.select(*keys, F.col("below").alias("before"), _locate(F.col("bins"), F.col("rank") - F.col("below")).alias("b"))
+        return cut.select(*keys, (F.col("before") + F.col("b.below")).alias("below"), "b.n", "b.mn", "b.mx").withColumn("power", _power(F.col("mn")))
+
+    several = F.col("mn") < F.col("mx")
+    many = several & (F.col("n") > FINAL)
+    share = (F.col("v") - F.col("b_mn")) / (F.col("b_mx") - F.col("b_mn"))
+    while not found.where(many).isEmpty():
+        found = checkpoint(found.where(~many).unionByName(refine(found.where(many), F.least(F.floor(share * BINS), F.lit(BINS - 1)))))
+    if not found.where(several).isEmpty():
+        found = found.where(~several).unionByName(refine(found.where(several), F.col("v")))
+
+    per_q = found.groupBy(*own, "qi").agg(
+        F.max(F.when(F.col("side") == 0, F.col("mn"))).alias("lo"), F.max(F.when(F.col("side") == 1, F.col("mn"))).alias("hi"), F.first("frac").alias("frac")
     )
-    value = F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("frac")
-    value = F.when(F.col("frac") == 0, F.col("lo")).otherwise(value)
-    return per_q.groupBy(*strata).agg(
-        *[F.max(F.when(F.col("qi") == i, value)).alias(n) for i, n in enumerate(names)]
+    between = F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("frac")
+    between = F.when(F.col("frac") == 0, F.col("lo")).otherwise(between)
+    return per_q.groupBy(*[F.col(o).alias(s) for s, o in zip(strata, own)]).agg(
+        *[F.max(F.when(F.col("qi") == i, between)).alias(n) for i, n in enumerate(names)]
     )

@@ -86,3 +86,40 @@ def test_binned_auc_close_to_exact(spark):
     ref = ((pos[:, None] > neg[None, :]).sum() + 0.5 * (pos[:, None] == neg[None, :]).sum()) / (len(pos) * len(neg))
     assert exact == pytest.approx(ref, abs=1e-12)
     assert abs(binned - exact) < 2e-3
+
+
+@pytest.mark.parametrize("bins", [(4096, 4096), (4, 1)])
+def test_selection_by_counting_is_exact(spark, monkeypatch, bins):
+    """Ranks found by counting: negative, tiny, huge, infinite and equal values, strata with nulls, and few bins."""
+    import retentio.plans.quantiles as Q
+    monkeypatch.setattr(Q, "BINS", bins[0])
+    monkeypatch.setattr(Q, "FINAL", bins[1])
+    r = np.random.default_rng(4)
+    v = np.concatenate([r.normal(size=300), r.lognormal(3, 5, 300), -r.lognormal(0, 9, 200), np.full(400, 7.25), [0.0, -0.0, 5e-324, -5e-324, 1.7e308, -1.7e308, 1e-300]])
+    s = [("a", "b", None)[i % 3] for i in range(len(v))]
+    df = spark.createDataFrame([(k, float(x)) for k, x in zip(s, v)], "s string, v double").repartition(5)
+    probs = [0.0, 0.1, 0.25, 0.333, 0.5, 0.9, 0.999, 1.0]
+    whole = quantiles(df, "v", probs).first()
+    assert np.allclose([whole[f"q{i}"] for i in range(len(probs))], np.quantile(v, probs), rtol=1e-12, atol=0)
+    for row in quantiles(df, "v", probs, strata=["s"]).collect():
+        part = np.array([x for k, x in zip(s, v) if k == row.s])
+        assert np.allclose([row[f"q{i}"] for i in range(len(probs))], np.quantile(part, probs), rtol=1e-12, atol=0)
+    one = quantiles(spark.createDataFrame([(float("inf"), 3), (1.0, 1), (float("nan"), 2)], "v double, w long"), "v", [0.0, 0.2, 1.0], weight="w").first()
+    assert one.q0 == 1.0 and one.q1 == float("inf") and np.isnan(one.q2)
+    assert quantiles(df.where("false"), "v", [0.5]).first().q0 is None
+    assert quantiles(df.where("false"), "v", [0.5], strata=["s"]).count() == 0
+
+
+def test_selection_has_no_window_sort_or_nested_loop(spark, monkeypatch):
+    import retentio.plans.quantiles as Q
+    plans = []
+    inner = Q.checkpoint
+    monkeypatch.setattr(Q, "checkpoint", lambda d: plans.append(d._jdf.queryExecution().executedPlan().toString()) or inner(d))
+    monkeypatch.setattr(Q, "FINAL", 10)
+    df = spark.range(0, 5000).select((F.col("id") * 1.25).alias("v"), (F.col("id") % 2).alias("s"))
+    out = quantiles(df, "v", [0.25, 0.5], strata=["s"], strata_bound=2)
+    out.collect()
+    plans.append(out._jdf.queryExecution().executedPlan().toString())
+    assert 2 <= len(plans) <= 4
+    for plan in plans:
+        assert "Window" not in plan and "NestedLoop" not in plan and "CartesianProduct" not in plan
