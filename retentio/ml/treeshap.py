@@ -271,6 +271,8 @@ class Explainer:
     def __call__(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(output, contributions) of each row."""
         phi, out = np.zeros(x.shape), np.zeros(len(x))
+        if not len(x):
+            return out, phi
         # a larger model is read again for each batch, group by group
         for group in self.kept if self.kept is not None else map(self._ready, tree_groups(self.nodes)):
             for tree, paths in group:

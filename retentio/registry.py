@@ -68,15 +68,80 @@ def q_serving(spark, sf):
 @query("subscribers_csv")
 def q_csv(spark, sf):
     """IO1: the raw table written as CSV and read back under the fixed schema."""
-    import os
-    import uuid
-    from retentio.session import ensure_checkpoint_dir
     from retentio.sources.files import read_raw_csv, write_raw_csv
-    path = os.path.join(ensure_checkpoint_dir(spark), "stages", f"raw-csv-{uuid.uuid4().hex[:12]}")
+    path = _scratch(spark, "raw-csv")
     write_raw_csv(_ws(spark, sf).raw, path)
     return P.clean(read_raw_csv(spark, path))
 
 
+def _scratch(spark, name):
+    """A new folder below the shared checkpoint folder."""
+    import os
+    import uuid
+    from retentio.session import ensure_checkpoint_dir
+    return os.path.join(ensure_checkpoint_dir(spark), "stages", f"{name}-{uuid.uuid4().hex[:12]}")
+
+
+@query("rejected_rows")
+def q_rejected(spark, sf):
+    """IO1, P3, J2: a CSV with bad lines and values, made of the raw table, read with its bad rows set aside.
+
+    Every 50th customer pays by an unknown method, every 70th has no contract, every 90th a
+    tenure that is no number, every 110th a negative charge.
+    """
+    from retentio.sources import quarantine as N
+    from retentio.sources.files import write_raw_csv
+    ws = _ws(spark, sf)
+    k = F.col("customerID").cast("long")
+    spoilt = ws.raw.withColumns({
+        "PaymentMethod": F.when(k % 50 == 3, "Cheque").otherwise(F.col("PaymentMethod")),
+        "Contract": F.when(k % 70 != 5, F.col("Contract")),
+        "tenure": F.when(k % 90 == 7, "x").otherwise(F.col("tenure").cast("string")),
+        "MonthlyCharges": F.when(k % 110 == 9, -F.col("MonthlyCharges")).otherwise(F.col("MonthlyCharges")),
+    })
+    path = _scratch(spark, "spoilt-csv")
+    write_raw_csv(spoilt, path)
+    good, lines = N.read_raw_csv_quarantined(spark, path)
+    _, bad = N.split_valid(good, N.domains(E.codes_table(spark, ws.codes)))
+    both = bad.select(F.col("customerID").alias("customer_id"), "reasons").union(lines.select("key", "reasons"))
+    return both.select("customer_id", F.array_join("reasons", "; ").alias("reasons"))
+
+
+@query("written_splits")
+def q_written_splits(spark, sf):
+    """IO3: the prepared table written by split and read back."""
+    from retentio.sources.files import read_split, write_splits
+    path = _scratch(spark, "splits")
+    write_splits(_ws(spark, sf).prepared, path)
+    return read_split(spark, path, ["train", "val", "test"]).select("customer_id", "Churn", "CLV_quartile", "split", "fold")
+
+
+@query("written_metrics")
+def q_written_metrics(spark, sf):
+    """IO7: a metrics table written and read back (of the closed-form scores, whose metrics SQL gives too)."""
+    from retentio.sources.files import write_table
+    path = _scratch(spark, "metrics")
+    write_table(q_metrics(spark, sf), path)
+    return spark.read.parquet(path)
+
+
+@query("string_columns")
+def q_string_columns(spark, sf):
+    """The string features found by walking the schema, with their values counted in one pass."""
+    rows = _ws(spark, sf).prepared
+    names = E.string_columns(rows)
+    wide = rows.agg(*[F.count_distinct(c).alias(f"n{i}") for i, c in enumerate(names)])
+    return wide.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"n{i}").alias("n_values")) for i, c in enumerate(names)])).alias("r")).select("r.*")
+
+
+@query("clv_fallback")
+def q_clv_fallback(spark, sf):
+    """The value a score reports, for customers whose CLV is not known (here: the senior ones) 12 charges."""
+    from retentio.functions.columns import clv_or_fallback
+    rows = _ws(spark, sf).prepared.withColumn("CLV", F.when(F.col("SeniorCitizen") == 0, F.col("CLV")))
+    return rows.select("customer_id", clv_or_fallback("CLV", "MonthlyCharges").alias("clv"))
+
+
 @query("train_rows")
 def q_train_rows(spark, sf):
     """IO2: one split read from the partitioned prepared table (folder pruning)."""
@@ -512,6 +577,31 @@ def _global_attribution(spark, sf, name, rows):
     return global_tree_attribution(feats, ws.trained(), name)
 
 
+def _fixed(spark, sf):
+    from retentio.ml import fixed_trees as T
+    from retentio.ml.nodes import write_nodes
+    ws = _ws(spark, sf)
+    nodes = write_nodes(T.node_table(ws.encoded.where(F.col("split") == "train")), _scratch(spark, "fixed-trees"))
+    return T.explained(ws.encoded, nodes)
+
+
+@query("fixed_tree_scores")
+def q_fixed_scores(spark, sf):
+    """A fixed ensemble held as a node relation, scored for every customer."""
+    return _fixed(spark, sf).select("customer_id", F.round("base_value", 6).alias("base_value"), F.round("output", 6).alias("output"))
+
+
+@query("fixed_tree_contributions")
+def q_fixed_contributions(spark, sf):
+    """Its exact contributions, of the features it uses."""
+    from retentio.ml import fixed_trees as T
+    from retentio.ml.treeshap import contribution_structs
+    used = {x.feature for tree in T.TREES for _, path in T.leaves(tree) for x, _ in path}
+    each = _fixed(spark, sf).select("customer_id", F.explode(contribution_structs(F.col("contributions"))).alias("c"))
+    # adding 0.0 turns a negative zero into zero
+    return each.where(F.col("c.feature").isin(sorted(used))).select("customer_id", "c.feature", (F.round("c.contribution", 6) + F.lit(0.0)).alias("contribution"))
+
+
 @query("importance_fallback")
 def q_importance_fallback(spark, sf):
     from retentio.ml.explain import importance_factors
@@ -521,7 +611,6 @@ def q_importance_fallback(spark, sf):
 @query("stream_scores")
 def q_stream_scores(spark, sf):
     from retentio.functions.columns import to_number
-    from retentio.plans.lineage import write_stage
     from retentio.schema import SCORING_REQUEST
     from retentio.streaming.scoring import score_files_once
     ws = _ws(spark, sf)
@@ -531,11 +620,36 @@ def q_stream_scores(spark, sf):
         *[F.col(f.name) for f in SCORING_REQUEST.fields[1:] if f.name != "TotalCharges"],
         to_number("TotalCharges").alias("TotalCharges"),
     ).select(*[f.name for f in SCORING_REQUEST.fields])
-    staged = write_stage(requests, "stream-requests")
-    source = staged.inputFiles()[0].rsplit("/", 1)[0]
+    source = _scratch(spark, "stream-requests")
+    requests.write.parquet(source)
     return score_files_once(spark, source, ws.model(), cut=ws.fitted_cut())
 
 
+@query("stream_rejects")
+def q_stream_rejects(spark, sf):
+    """A request stream with unknown and missing values; bad requests are set aside, all others scored once."""
+    from retentio.functions.columns import to_number
+    from retentio.schema import SCORING_REQUEST
+    from retentio.sources.quarantine import domains
+    from retentio.streaming.scoring import request_stream
+    from retentio.streaming.sink import read_committed, scoring_work, start_batches
+    ws = _ws(spark, sf)
+    k = F.col("customer_id").cast("long")
+    requests = ws.raw.withColumnRenamed("customerID", "customer_id").withColumns({
+        "TotalCharges": to_number("TotalCharges"),
+        "PaymentMethod": F.when(k % 50 == 3, "Cheque").otherwise(F.col("PaymentMethod")),
+        "tenure": F.when(k % 70 != 5, F.col("tenure")),
+    }).select(*[f.name for f in SCORING_REQUEST.fields])
+    source, sink = _scratch(spark, "requests"), _scratch(spark, "stream-sink")
+    requests.write.parquet(source)
+    known = domains(E.codes_table(spark, ws.codes))
+    work = scoring_work(ws.model(), known, ws.fitted_cut())
+    start_batches(request_stream(spark, source, max_files_per_trigger=1), sink, work).awaitTermination()
+    scored = read_committed(spark, sink).select("customer_id", F.lit("").alias("reasons"))
+    bad = read_committed(spark, sink, "rejected").select("customer_id", F.array_join("reasons", "; ").alias("reasons"))
+    return scored.union(bad)
+
+
 @query("stream_vs_batch")
 def q_stream_vs_batch(spark, sf):
     """Every customer scored by the stream and from the prepared table: the scores agree."""

@@ -7,6 +7,9 @@ spelled out the same way the Spark side computes them.
 
 from __future__ import annotations
 
+import math
+
+from retentio.ml.fixed_trees import SCALE, TREES, leaves
 from verification.base_sql import with_base
 
 RAW_COLS = ["customerID", "gender", "SeniorCitizen", "Partner", "Dependents", "tenure", "PhoneService",
@@ -432,6 +435,82 @@ sz AS (
 SELECT model, point, fold, n_fit, n_held, fit_positives, held_positives, TRUE AS auc_in_range, TRUE AS chosen_is_best
 FROM pt CROSS JOIN sz
 """
+SQL["rejected_rows"] = """
+WITH k AS (SELECT *, CAST(customerID AS BIGINT) AS key FROM raw),
+q AS (
+  SELECT customerID AS customer_id, CASE WHEN key % 90 = 7 THEN 'malformed line' ELSE concat_ws('; ',
+    CASE WHEN key % 70 = 5 THEN 'missing Contract' END,
+    CASE WHEN key % 50 = 3 THEN 'unknown PaymentMethod: Cheque' END,
+    CASE WHEN key % 110 = 9 THEN 'negative MonthlyCharges' END) END AS reasons
+  FROM k)
+SELECT * FROM q WHERE reasons <> ''
+"""
+SQL["stream_rejects"] = """
+SELECT customerID AS customer_id, concat_ws('; ',
+  CASE WHEN CAST(customerID AS BIGINT) % 50 = 3 THEN 'unknown PaymentMethod: Cheque' END,
+  CASE WHEN CAST(customerID AS BIGINT) % 70 = 5 THEN 'missing tenure' END) AS reasons
+FROM raw
+"""
+SQL["written_splits"] = "SELECT customer_id, Churn, CLV_quartile, split, fold FROM prep_split"
+SQL["written_metrics"] = SQL["classification_metrics"]
+STRING_COLS = ["gender", "Partner", "Dependents", "PhoneService", "MultipleLines", "InternetService", "OnlineSecurity", "OnlineBackup",
+               "DeviceProtection", "TechSupport", "StreamingTV", "StreamingMovies", "Contract", "PaperlessBilling", "PaymentMethod", "tenure_bucket"]
+SQL["string_columns"] = "\nUNION ALL\n".join(f"SELECT '{c}' AS column_name, COUNT(DISTINCT {c}) AS n_values FROM prep" for c in STRING_COLS)
+SQL["clv_fallback"] = "SELECT customer_id, CASE WHEN SeniorCitizen = 0 THEN CLV ELSE MonthlyCharges * 12 END AS clv FROM prep"
+
+
+def _test(split, left: bool) -> str:
+    test = f"{split.feature} IN ({', '.join(map(str, split.codes))})" if split.codes else f"{split.feature} <= {split.threshold}e0"
+    return f"({test})" if left else f"(NOT ({test}))"
+
+
+def _fixed_trees() -> tuple[str, dict[str, list[tuple[int, int, str]]], list[str], list[str]]:
+    """CTEs with the value of every tree given every subset of its features, by enumeration.
+
+    A leaf counts with the row's own side for known features and with the share of training rows for others.
+    """
+    covers, values = {}, []
+    phi: dict[str, list] = {}
+    empty, full = [], []
+    for t, tree in enumerate(TREES):
+        paths = leaves(tree)
+        for _, path in paths:
+            for n in range(len(path) + 1):
+                covers.setdefault((t, path[:n]), " AND ".join(_test(x, w) for x, w in path[:n]) or "TRUE")
+    names = {node: f"c{i}" for i, node in enumerate(covers)}
+    for t, tree in enumerate(TREES):
+        paths = leaves(tree)
+        feats = sorted({x.feature for _, path in paths for x, _ in path})
+        for mask in range(1 << len(feats)):
+            terms = []
+            for value, path in paths:
+                factors = [f"{value}e0"]
+                for n, (x, w) in enumerate(path):
+                    if mask >> feats.index(x.feature) & 1:
+                        factors.append(f"(CASE WHEN {_test(x, w)} THEN 1e0 ELSE 0e0 END)")
+                    else:
+                        factors.append(f"({names[t, path[: n + 1]]} / {names[t, path[:n]]})")
+                terms.append(" * ".join(factors))
+            values.append(f"{' + '.join(terms)} AS v{t}_{mask}")
+        m = len(feats)
+        empty.append(f"v{t}_0")
+        full.append(f"v{t}_{(1 << m) - 1}")
+        for i, f in enumerate(feats):
+            for mask in range(1 << m):
+                if not mask >> i & 1:
+                    size = bin(mask).count("1")
+                    weight = f"{math.factorial(size) * math.factorial(m - size - 1)}e0 / {math.factorial(m)}e0"
+                    phi.setdefault(f, []).append(f"{weight} * (v{t}_{mask | 1 << i} - v{t}_{mask})")
+    counted = ", ".join(f"CAST(COUNT(*) FILTER (WHERE {cond}) AS DOUBLE) AS {names[node]}" for node, cond in covers.items())
+    ctes = f"{ENC},\ncv AS (SELECT {counted} FROM enc WHERE split = 'train'),\nvs AS (SELECT customer_id, {', '.join(values)} FROM enc CROSS JOIN cv)"
+    return ctes, phi, empty, full
+
+
+_CTES, _PHI, _EMPTY, _FULL = _fixed_trees()
+SQL["fixed_tree_scores"] = f"""WITH {_CTES}
+SELECT customer_id, round({SCALE}e0 * ({' + '.join(_EMPTY)}), 6) AS base_value, round({SCALE}e0 * ({' + '.join(_FULL)}), 6) AS output FROM vs"""
+SQL["fixed_tree_contributions"] = f"WITH {_CTES}\n" + "\nUNION ALL\n".join(
+    f"SELECT customer_id, '{f}' AS feature, round({SCALE}e0 * ({' + '.join(terms)}), 6) + 0e0 AS contribution FROM vs" for f, terms in _PHI.items())
 SQL["score_checks"] = """
 SELECT customer_id, TRUE AS in_range, TRUE AS is_mean, TRUE AS level_fits, CLV AS clv, expected_tenure FROM prep"""
 SQL["explanation_checks"] = """
