@@ -114,20 +114,15 @@ def linear_contributions(rows: DataFrame, stats_row: DataFrame, features: Sequen
     )
 
 
-def _by_weight(a: Column, b: Column) -> Column:
-    wa, wb = F.abs(a["contribution"]), F.abs(b["contribution"])
-    return F.when(wa > wb, F.lit(-1)).when(wa < wb, F.lit(1)).otherwise(
-        F.when(a["position"] < b["position"], F.lit(-1)).when(a["position"] > b["position"], F.lit(1)).otherwise(F.lit(0))
-    )
-
-
 def top_factors_array(contributions: Column, k: int = K.TOP_FACTORS) -> Column:
     """The k largest |contribution| as (feature, weight, direction), per row.
 
-    Sorting is inside each row's array (``array_sort`` with a comparator),
-    ties broken by feature position.
+    Sorting is inside each row's array, by the natural order of
+    (-weight, position) structs: ties are broken by feature position.
     """
-    top = F.slice(F.array_sort(contributions, _by_weight), 1, k)
+    keyed = F.transform(contributions, lambda c: F.struct(
+        (-F.abs(c["contribution"])).alias("down"), c["position"].alias("position"), c["feature"].alias("feature"), c["contribution"].alias("contribution")))
+    top = F.slice(F.array_sort(keyed), 1, k)
     return F.transform(top, lambda c: F.struct(
         c["feature"].alias("feature"), F.abs(c["contribution"]).alias("weight"),
         C.direction(c["contribution"]).alias("direction"),

@@ -3,6 +3,10 @@
 All of them are single-pass aggregates with map-side partial aggregation;
 results are a handful of rows. Per-column profiles aggregate every column
 in one ``agg`` and then turn the one wide row into rows with ``explode``.
+
+The profiles of whole stages are two parts: ``*_sums`` (aggregate columns) and
+``*_rows`` (their one wide row as a table). ``df.agg`` takes the first over any table; the workspace
+takes them as observations while it writes a stage, so its queries need no scan.
 """
 
 from __future__ import annotations
@@ -22,27 +26,52 @@ def _rows(pairs: Sequence[tuple[str, Column]], name: str, value: str) -> Column:
     return F.explode(F.array(*[F.struct(F.lit(k).alias(name), v.alias(value)) for k, v in pairs]))
 
 
-def missing_profile(df: DataFrame) -> DataFrame:
-    """Missing count and percent per column (A1), one row per column."""
-    cols = df.columns
-    wide = df.agg(F.count(F.lit(1)).alias("_n"), *[G.count_if(F.col(c).isNull()).alias(f"_m{i}") for i, c in enumerate(cols)])
-    long = wide.select("_n", _rows([(c, F.col(f"_m{i}")) for i, c in enumerate(cols)], "column_name", "missing").alias("r"))
+def missing_sums(columns: Sequence[str]) -> list[Column]:
+    return [F.count(F.lit(1)).alias("n_profiled"), *[G.count_if(F.col(c).isNull()).alias(f"missing_{c}") for c in columns]]
+
+
+def missing_rows(wide: DataFrame, columns: Sequence[str]) -> DataFrame:
+    long = wide.select("n_profiled", _rows([(c, F.col(f"missing_{c}")) for c in columns], "column_name", "missing").alias("r"))
     return long.select(
         F.col("r.column_name").alias("column_name"),
         F.col("r.missing").alias("missing"),
-        (F.col("r.missing").cast("double") * 100.0 / F.col("_n")).alias("missing_pct"),
+        (F.col("r.missing").cast("double") * 100.0 / F.col("n_profiled")).alias("missing_pct"),
+    )
+
+
+def missing_profile(df: DataFrame) -> DataFrame:
+    """Missing count and percent per column (A1), one row per column."""
+    return missing_rows(df.agg(*missing_sums(df.columns)), df.columns)
+
+
+def conversion_sums() -> list[Column]:
+    """Of raw rows: totals that are not numbers, and what they become."""
+    number, new = C.to_number("TotalCharges").isNull(), F.coalesce(F.col("tenure") == 0, F.lit(False))
+    return [
+        G.count_if(F.col("TotalCharges").isNotNull() & number).alias("totals_not_numeric"),
+        G.count_if(number & new).alias("totals_new_customer"), G.count_if(number & ~new).alias("totals_one_month"),
+    ]
+
+
+def conversion_rows(wide: DataFrame) -> DataFrame:
+    names = ["totals_not_numeric", "totals_new_customer", "totals_one_month"]
+    return wide.select(_rows([(n, F.col(n)) for n in names], "conversion", "customers").alias("r")).select("r.*")
+
+
+def class_sums() -> list[Column]:
+    return [F.count(F.lit(1)).alias("n_rows"), F.sum("Churn").cast("long").alias("churned"), G.rate("Churn").alias("churn_rate")]
+
+
+def class_rows(wide: DataFrame) -> DataFrame:
+    return wide.select(
+        "n_rows", "churned", "churn_rate",
+        ((F.col("churn_rate") < K.IMBALANCE_LOW) | (F.col("churn_rate") > K.IMBALANCE_HIGH)).alias("imbalanced"),
     )
 
 
 def class_balance(cleaned: DataFrame) -> DataFrame:
     """Rows, churned, churn rate and the imbalance warning."""
-    return cleaned.agg(
-        F.count(F.lit(1)).alias("n_rows"),
-        F.sum("Churn").cast("long").alias("churned"),
-        G.rate("Churn").alias("churn_rate"),
-    ).withColumn(
-        "imbalanced", (F.col("churn_rate") < K.IMBALANCE_LOW) | (F.col("churn_rate") > K.IMBALANCE_HIGH)
-    )
+    return class_rows(cleaned.agg(*class_sums()))
 
 
 def value_counts(df: DataFrame, column: str) -> DataFrame:
@@ -65,16 +94,29 @@ def derived_ranges(prepared: DataFrame) -> DataFrame:
     return wide.select(rows.alias("r")).select("r.*")
 
 
+def anomaly_sums() -> list[Column]:
+    return [G.count_if(C.ratio_is_anomalous("monthly_to_total_ratio")).alias("anomalies")]
+
+
 def ratio_anomalies(prepared: DataFrame) -> DataFrame:
     """Count of customers with ratio above 1.5 or below 0.5 (A5, P10)."""
-    return prepared.agg(G.count_if(C.ratio_is_anomalous("monthly_to_total_ratio")).alias("anomalies"))
+    return prepared.agg(*anomaly_sums())
+
+
+FLAGS = ("flag_internet_no_tech_support", "flag_fiber_high_charges", "flag_short_tenure_monthly")
+
+
+def flag_sums() -> list[Column]:
+    return [F.sum(f).cast("long").alias(f) for f in FLAGS]
+
+
+def flag_rows(wide: DataFrame) -> DataFrame:
+    return wide.select(_rows([(f, F.col(f)) for f in FLAGS], "flag", "customers").alias("r")).select("r.*")
 
 
 def flag_totals(prepared: DataFrame) -> DataFrame:
     """Customers per risk flag."""
-    flags = ["flag_internet_no_tech_support", "flag_fiber_high_charges", "flag_short_tenure_monthly"]
-    wide = prepared.agg(*[F.sum(f).cast("long").alias(f) for f in flags])
-    return wide.select(_rows([(f, F.col(f)) for f in flags], "flag", "customers").alias("r")).select("r.*")
+    return flag_rows(prepared.agg(*flag_sums()))
 
 
 def quartile_sizes(prepared: DataFrame) -> DataFrame:
@@ -130,15 +172,20 @@ def class_weights(train: DataFrame, label: str = "Churn") -> DataFrame:
     )
 
 
+def balance_sums() -> list[Column]:
+    return [G.rate("Churn").alias("overall_rate"), G.rate(F.when(F.col("split") == "train", F.col("Churn"))).alias("train_rate")]
+
+
+def balance_rows(wide: DataFrame) -> DataFrame:
+    overall, train = F.col("overall_rate"), F.col("train_rate")
+    return wide.select(F.explode(F.array(
+        F.struct(F.lit("churn_rate_in_band").alias("check_name"), overall.alias("value"),
+                 ((overall >= K.IMBALANCE_LOW) & (overall <= K.IMBALANCE_HIGH)).alias("passed")),
+        F.struct(F.lit("train_rate_needs_no_weighting").alias("check_name"), train.alias("value"),
+                 (train >= K.TRAIN_WEIGHTING_BELOW).alias("passed")),
+    )).alias("r")).select("r.*")
+
+
 def balance_checks(prepared: DataFrame) -> DataFrame:
     """Warnings as a table (C1): overall rate band, train rate for weighting (one pass)."""
-    rates = prepared.agg(
-        G.rate("Churn").alias("overall"),
-        G.rate(F.when(F.col("split") == "train", F.col("Churn"))).alias("train"),
-    )
-    return rates.select(F.explode(F.array(
-        F.struct(F.lit("churn_rate_in_band").alias("check_name"), F.col("overall").alias("value"),
-                 ((F.col("overall") >= K.IMBALANCE_LOW) & (F.col("overall") <= K.IMBALANCE_HIGH)).alias("passed")),
-        F.struct(F.lit("train_rate_needs_no_weighting").alias("check_name"), F.col("train").alias("value"),
-                 (F.col("train") >= K.TRAIN_WEIGHTING_BELOW).alias("passed")),
-    )).alias("r")).select("r.*")
+    return balance_rows(prepared.agg(*balance_sums()))

@@ -23,6 +23,27 @@ def path_exists(spark, path: str) -> bool:
     return bool(fs.exists(p))
 
 
+_SCRATCH: dict[str, list[str]] = {}
+
+
+def scratch_path(spark, name: str) -> str:
+    """A new folder below the shared checkpoint folder, for results this session needs for a while."""
+    path = os.path.join(ensure_checkpoint_dir(spark), "stages", f"{name}-{uuid.uuid4().hex[:12]}")
+    _SCRATCH.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def remove_scratch(spark) -> list[str]:
+    """Delete the scratch folders of this application; returns those that were there."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    gone = []
+    for path in _SCRATCH.pop(spark.sparkContext.applicationId, []):
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        if p.getFileSystem(conf).delete(p, True):
+            gone.append(path)
+    return gone
+
+
 def checkpoint(df: DataFrame, eager: bool = True) -> DataFrame:
     """Reliable checkpoint into the session's shared checkpoint folder."""
     ensure_checkpoint_dir(df.sparkSession)
@@ -36,8 +57,7 @@ def write_stage(df: DataFrame, name: str, partition_by: list[str] | None = None)
     table before model training): the read-back plan starts at the files.
     """
     spark = df.sparkSession
-    root = ensure_checkpoint_dir(spark)
-    path = os.path.join(root, "stages", f"{name}-{uuid.uuid4().hex[:12]}")
+    path = scratch_path(spark, name)
     writer = df.write.mode("overwrite")
     if partition_by:
         writer = writer.partitionBy(*partition_by)

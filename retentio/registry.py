@@ -19,6 +19,8 @@ from retentio.operators import prepare as P
 from retentio.operators import quality as Q
 from retentio.operators import reports as R
 from retentio.operators.split import sample_rows
+from retentio.plans.lineage import scratch_path
+from retentio.schema import RAW_COLUMNS
 from retentio.workspace import workspace
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -69,19 +71,11 @@ def q_serving(spark, sf):
 def q_csv(spark, sf):
     """IO1: the raw table written as CSV and read back under the fixed schema."""
     from retentio.sources.files import read_raw_csv, write_raw_csv
-    path = _scratch(spark, "raw-csv")
+    path = scratch_path(spark, "raw-csv")
     write_raw_csv(_ws(spark, sf).raw, path)
     return P.clean(read_raw_csv(spark, path))
 
 
-def _scratch(spark, name):
-    """A new folder below the shared checkpoint folder."""
-    import os
-    import uuid
-    from retentio.session import ensure_checkpoint_dir
-    return os.path.join(ensure_checkpoint_dir(spark), "stages", f"{name}-{uuid.uuid4().hex[:12]}")
-
-
 @query("rejected_rows")
 def q_rejected(spark, sf):
     """IO1, P3, J2: a CSV with bad lines and values, made of the raw table, read with its bad rows set aside.
@@ -99,7 +93,7 @@ def q_rejected(spark, sf):
         "tenure": F.when(k % 90 == 7, "x").otherwise(F.col("tenure").cast("string")),
         "MonthlyCharges": F.when(k % 110 == 9, -F.col("MonthlyCharges")).otherwise(F.col("MonthlyCharges")),
     })
-    path = _scratch(spark, "spoilt-csv")
+    path = scratch_path(spark, "spoilt-csv")
     write_raw_csv(spoilt, path)
     good, lines = N.read_raw_csv_quarantined(spark, path)
     _, bad = N.split_valid(good, N.domains(E.codes_table(spark, ws.codes)))
@@ -111,7 +105,7 @@ def q_rejected(spark, sf):
 def q_written_splits(spark, sf):
     """IO3: the prepared table written by split and read back."""
     from retentio.sources.files import read_split, write_splits
-    path = _scratch(spark, "splits")
+    path = scratch_path(spark, "splits")
     write_splits(_ws(spark, sf).prepared, path)
     return read_split(spark, path, ["train", "val", "test"]).select("customer_id", "Churn", "CLV_quartile", "split", "fold")
 
@@ -120,7 +114,7 @@ def q_written_splits(spark, sf):
 def q_written_metrics(spark, sf):
     """IO7: a metrics table written and read back (of the closed-form scores, whose metrics SQL gives too)."""
     from retentio.sources.files import write_table
-    path = _scratch(spark, "metrics")
+    path = scratch_path(spark, "metrics")
     write_table(q_metrics(spark, sf), path)
     return spark.read.parquet(path)
 
@@ -162,12 +156,18 @@ def q_sample(spark, sf):
 
 @query("missing_profile")
 def q_missing(spark, sf):
-    return Q.missing_profile(_ws(spark, sf).raw)
+    return Q.missing_rows(_ws(spark, sf).observed("cleaned"), RAW_COLUMNS)
+
+
+@query("total_conversions")
+def q_conversions(spark, sf):
+    """Totals that are no numbers, and what became of them."""
+    return Q.conversion_rows(_ws(spark, sf).observed("cleaned"))
 
 
 @query("class_balance")
 def q_balance(spark, sf):
-    return Q.class_balance(_ws(spark, sf).prepared)
+    return Q.class_rows(_ws(spark, sf).observed("prepared"))
 
 
 @query("tenure_bucket_counts")
@@ -182,12 +182,12 @@ def q_ranges(spark, sf):
 
 @query("ratio_anomalies")
 def q_anomalies(spark, sf):
-    return Q.ratio_anomalies(_ws(spark, sf).prepared)
+    return _ws(spark, sf).observed("prepared").select("anomalies")
 
 
 @query("flag_totals")
 def q_flags(spark, sf):
-    return Q.flag_totals(_ws(spark, sf).prepared)
+    return Q.flag_rows(_ws(spark, sf).observed("prepared"))
 
 
 @query("fiber_cut")
@@ -222,7 +222,7 @@ def q_split_balance(spark, sf):
 
 @query("balance_checks")
 def q_balance_checks(spark, sf):
-    return Q.balance_checks(_ws(spark, sf).prepared)
+    return Q.balance_rows(_ws(spark, sf).observed("prepared"))
 
 
 @query("class_weights")
@@ -581,7 +581,7 @@ def _fixed(spark, sf):
     from retentio.ml import fixed_trees as T
     from retentio.ml.nodes import write_nodes
     ws = _ws(spark, sf)
-    nodes = write_nodes(T.node_table(ws.encoded.where(F.col("split") == "train")), _scratch(spark, "fixed-trees"))
+    nodes = write_nodes(T.node_table(ws.encoded.where(F.col("split") == "train")), scratch_path(spark, "fixed-trees"))
     return T.explained(ws.encoded, nodes)
 
 
@@ -620,7 +620,7 @@ def q_stream_scores(spark, sf):
         *[F.col(f.name) for f in SCORING_REQUEST.fields[1:] if f.name != "TotalCharges"],
         to_number("TotalCharges").alias("TotalCharges"),
     ).select(*[f.name for f in SCORING_REQUEST.fields])
-    source = _scratch(spark, "stream-requests")
+    source = scratch_path(spark, "stream-requests")
     requests.write.parquet(source)
     return score_files_once(spark, source, ws.model(), cut=ws.fitted_cut())
 
@@ -640,7 +640,7 @@ def q_stream_rejects(spark, sf):
         "PaymentMethod": F.when(k % 50 == 3, "Cheque").otherwise(F.col("PaymentMethod")),
         "tenure": F.when(k % 70 != 5, F.col("tenure")),
     }).select(*[f.name for f in SCORING_REQUEST.fields])
-    source, sink = _scratch(spark, "requests"), _scratch(spark, "stream-sink")
+    source, sink = scratch_path(spark, "requests"), scratch_path(spark, "stream-sink")
     requests.write.parquet(source)
     known = domains(E.codes_table(spark, ws.codes))
     work = scoring_work(ws.model(), known, ws.fitted_cut())

@@ -18,13 +18,15 @@ from __future__ import annotations
 
 import threading
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
 
 from retentio.operators import prepare as P
+from retentio.operators import quality as Q
 from retentio.operators.split import assign_split
-from retentio.plans.lineage import path_exists
+from retentio.plans.lineage import path_exists, remove_scratch
 from retentio.plans.store import Store, artifact_key
+from retentio.schema import RAW_COLUMNS
 from retentio.sources.subscribers import load_subscribers
 
 # Registered model queries run the published searches in full. The tests set
@@ -33,6 +35,9 @@ GRID = "reference"
 # Final fits that are submitted at once.
 PARALLEL_FITS = 3
 
+# Folder of a stage's observations; readers of the table skip names with an underscore.
+OBSERVED = "_observed"
+
 _LOCK = threading.RLock()
 _ARTIFACTS: dict[tuple, dict[str, str]] = {}
 
@@ -86,17 +91,38 @@ class Workspace:
         return path
 
     def _stage(self, name: str, build, partition_by: list[str] | None = None) -> DataFrame:
+        """A written table. ``build`` may return (rows, observation): its metrics are kept beside the table."""
         def write(path: str) -> None:
-            writer = build().write.mode("overwrite")
+            rows = build()
+            rows, seen = rows if isinstance(rows, tuple) else (rows, None)
+            writer = rows.write.mode("overwrite")
             if partition_by:
                 writer = writer.partitionBy(*partition_by)
             writer.parquet(path)
+            if seen is not None:
+                one = self.spark.createDataFrame([Row(**seen.get)])  # one row, taken while writing
+                one.coalesce(1).write.parquet(f"{path}/{OBSERVED}")
 
         with _LOCK:
             if name not in self._frames:
                 self._frames[name] = self.spark.read.parquet(self._artifact(name, write, "_SUCCESS"))
             return self._frames[name]
 
+    def observed(self, name: str) -> DataFrame:
+        """One row: what was observed while the stage (``cleaned`` or ``prepared``) was written."""
+        with _LOCK:
+            getattr(self, name)
+            return self.spark.read.parquet(f"{self._paths[name]}/{OBSERVED}")
+
+    def close(self) -> list[str]:
+        """Remove this session's scratch folders and what dead owners left in the store; published tables stay.
+
+        Returns what was removed. Frames made by queries before are not readable after.
+        """
+        self._frames.clear()
+        self._objects.clear()
+        return remove_scratch(self.spark) + self._store.sweep()
+
     @property
     def raw(self) -> DataFrame:
         return load_subscribers(self.spark, self.sf_dir)
@@ -105,7 +131,10 @@ class Workspace:
     def cleaned(self) -> DataFrame:
         """Typed subscriber rows, written once: ``orders`` is aggregated a single
         time however many plans (cuts, features, split ranks) read them."""
-        return self._stage("cleaned", lambda: P.clean(self.raw))
+        def build():
+            seen = Observation("raw")
+            return P.clean(self.raw.observe(seen, *Q.missing_sums(RAW_COLUMNS), *Q.conversion_sums())), seen
+        return self._stage("cleaned", build)
 
     @property
     def cuts(self) -> DataFrame:
@@ -120,9 +149,11 @@ class Workspace:
     @property
     def prepared(self) -> DataFrame:
         """Cleaned, engineered, CLV quartile, split and fold; read from files."""
-        return self._stage(
-            "prepared", lambda: assign_split(P.prepare_cleaned(self.cleaned, cuts=self.cuts)), partition_by=["split"]
-        )
+        def build():
+            seen = Observation("prepared")
+            sums = [*Q.class_sums(), *Q.anomaly_sums(), *Q.flag_sums(), *Q.balance_sums()]
+            return assign_split(P.prepare_cleaned(self.cleaned, cuts=self.cuts)).observe(seen, *sums), seen
+        return self._stage("prepared", build, partition_by=["split"])
 
     @property
     def codes(self):

@@ -435,6 +435,12 @@ sz AS (
 SELECT model, point, fold, n_fit, n_held, fit_positives, held_positives, TRUE AS auc_in_range, TRUE AS chosen_is_best
 FROM pt CROSS JOIN sz
 """
+_NUMBER = "(TotalCharges IS NOT NULL AND regexp_matches(TotalCharges, '^\\s*[+-]?(\\d+(\\.\\d*)?|\\.\\d+)([eE][+-]?\\d+)?\\s*$'))"
+SQL["total_conversions"] = f"""
+SELECT 'totals_not_numeric' AS conversion, COUNT(*) FILTER (WHERE TotalCharges IS NOT NULL AND NOT {_NUMBER}) AS customers FROM raw
+UNION ALL SELECT 'totals_new_customer', COUNT(*) FILTER (WHERE NOT {_NUMBER} AND tenure = 0) FROM raw
+UNION ALL SELECT 'totals_one_month', COUNT(*) FILTER (WHERE NOT {_NUMBER} AND tenure IS DISTINCT FROM 0) FROM raw
+"""
 SQL["rejected_rows"] = """
 WITH k AS (SELECT *, CAST(customerID AS BIGINT) AS key FROM raw),
 q AS (
