@@ -18,7 +18,9 @@ stars of few links. In each component all sets are then compared exactly on
 their full shingles, so a pair that no run brought together is found too if
 others connect it, and every reported link has Jaccard >= ``SIMILARITY``.
 Large nodes are dealt to tasks in parts; each part sends on a few leaders whose
-distances bound those of its members. Large components are dealt as pairs of
+distances bound those of its members. A node with at most one leader for ``ALIKE``
+sets is a group of near copies that would never split: it ends where it is
+found, so such a group is not carried into ``BRANCHES`` children a level. Large components are dealt as pairs of
 parts; only counts and spanning links leave a task, never all pairs.
 
 Words are split at ASCII white space, A-Z lower-cased; a text of fewer than
@@ -47,6 +49,8 @@ TOKENS, BRANCHES, SMALL, DEPTH, TARGET_RECALL = 128, 3, 256, 5, 0.9999
 #: Shares of equal places: of candidates (0.8 less four standard errors), of a leader and its members, of linked leaders.
 #: Jaccard distance is a metric: members 0.2 apart have leaders within 2 * 0.2 + 0.2, and errors.
 CANDIDATE, LED, LEADERS = 0.66, 0.8, 0.25
+#: A large node ends as soon as it has this many sets for each leader.
+ALIKE = 8
 #: Sets of one part of a large component.
 PART = 512
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -174,10 +178,27 @@ def _groups(batches, key: list[str]):
         yield held, sets, np.frombuffer(b"".join(values), np.uint32).reshape(-1, TOKENS)
 
 
+def _compared(rows: DataFrame) -> DataFrame:
+    """Nodes dealt in parts of about ``SMALL`` sets and compared by sketches: links (path, a, b) and, of nodes in
+    several parts, leaders (path, a, sketch). ``rows``: path, n, set, sketch."""
+    part = F.pmod(F.xxhash64("set"), F.ceil(F.col("n") / SMALL))
+    dealt = rows.select("path", part.alias("part"), "n", "set", "sketch").repartition("path", "part").sortWithinPartitions("path", "part", "set")
+
+    def compare(batches):
+        for (path, _, n), sets, values in _groups(batches, ["path", "part", "n"]):
+            out = [(path, a, b, None) for a, b in _stars(_alike(values, CANDIDATE), sets)]
+            if n > SMALL:
+                out += [(path, sets[i], None, values[i].tobytes()) for i in _leaders(values)]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["path", "a", "b", "sketch"])
+
+    return dealt.mapInArrow(compare, "path long, a long, b long, sketch binary")
+
+
 def candidates(reps: DataFrame, runs: int) -> DataFrame:
     """Links (a, b) that connect all sets which meet in a node and look alike. ``reps``: set, sketch."""
     roots = F.explode(F.array(*[F.lit(int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(f"run {r}")).view(np.int64)))) for r in range(runs)]))
-    rows, leaves = split(reps.withColumn("path", roots)), None
+    rows, leaves, ended = split(reps.withColumn("path", roots)), None, []
     for level in range(1, DEPTH + 1):
         rows = settle(rows, "paths")
         many = rows.groupBy("path").agg(F.count("*").alias("n")).where("n > 1")
@@ -187,21 +208,18 @@ def candidates(reps: DataFrame, runs: int) -> DataFrame:
         large = rows.where(F.col("n") > SMALL)
         if level == DEPTH or large.isEmpty():
             break
-        rows = split(large.join(reps, "set"))
-    # large nodes that cannot be split further are dealt in parts
-    part = F.pmod(F.xxhash64("set"), F.ceil(F.col("n") / SMALL))
-    leaves = leaves.withColumn("part", part).join(reps, "set").select("path", "part", "n", "set", "sketch")
-    dealt = leaves.repartition("path", "part").sortWithinPartitions("path", "part", "set")
-
-    def compare(batches):
-        for (path, _, n), sets, values in _groups(batches, ["path", "part", "n"]):
-            out = [(path, a, b, None) for a, b in _stars(_alike(values, CANDIDATE), sets)]
-            if n > SMALL:
-                out += [(path, sets[i], None, values[i].tobytes()) for i in _leaders(values)]
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["path", "a", "b", "sketch"])
-
-    found = settle(dealt.mapInArrow(compare, "path long, a long, b long, sketch binary"), "candidates")
+        # a node of near copies would never split: it ends here, as a few leaders stand for all of its sets
+        large = settle(large.join(reps, "set"), "large-nodes")
+        compared = settle(_compared(large), "compared-nodes")
+        led = compared.where("b is null").groupBy("path").agg(F.count("*").alias("led"))
+        alike = led.join(large.groupBy("path").agg(F.max("n").alias("n")), "path").where(F.col("led") * ALIKE <= F.col("n")).select("path")
+        alike = settle(alike, "alike-nodes")
+        ended.append(compared.join(alike, "path", "left_semi"))
+        rows = split(large.join(alike, "path", "left_anti"))
+    found = _compared(leaves.join(reps, "set"))
+    for links in ended:
+        found = found.unionByName(links)
+    found = settle(found, "candidates")
 
     def connect(batches):
         for _, sets, values in _groups(batches, ["path"]):
@@ -282,17 +300,19 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     included, itself not) and group_id (smallest id among all that are linked, over any number of links); also set,
     root (a set that names the group) and text_md5."""
     every = settle(sketches(docs, id_col, text_col), "sketches")
-    classes = settle(every.groupBy("set").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("members"), F.min("sketch").alias("sketch")), "classes")
+    firsts = [F.min("doc_id").alias("class_id"), F.count("*").alias("members"), F.min("sketch").alias("sketch"), F.min("text_md5").alias("text_md5")]
+    classes = settle(every.groupBy("set").agg(*firsts), "classes")
     near = components(candidates(classes.select("set", "sketch"), runs_needed()))
     sized = settle(near.withColumnRenamed("node", "set").join(settle(near.groupBy("root").agg(F.count("*").alias("size")), "sizes"), "root"), "near")
-    # one text for each class in a component; the digest is taken again, as ids may repeat
-    chosen = sized.join(classes.select("set", "class_id", "members"), "set")
-    own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    texts = _of_class(own.join(chosen, own["id"].eqNullSafe(chosen["class_id"])))
+    # one text for each class in a component, found by its digest: ids may be null or repeat
+    chosen = sized.join(classes.select("set", "text_md5", "members"), "set")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    own = docs.select(F.unhex(F.md5(text)).alias("text_md5"), text.alias("text"))
+    texts = own.join(chosen, "text_md5").groupBy("root", "set", "size", "members").agg(F.min("text").alias("text"))
     checked = settle(verify(texts), "links")
     links = components(checked.where("other is not null").select(F.col("set").alias("a"), F.col("other").alias("b")))
     partners = checked.groupBy("set").agg(F.sum("partners").alias("partners"))
-    found = classes.drop("sketch").join(partners, "set", "left").join(links.withColumnRenamed("node", "set"), "set", "left")
+    found = classes.drop("sketch", "text_md5").join(partners, "set", "left").join(links.withColumnRenamed("node", "set"), "set", "left")
     found = settle(found.withColumn("root", F.coalesce("root", "set")), "found")
     groups = settle(found.groupBy("root").agg(F.min("class_id").alias("group_id")), "groups")
     named = settle(found.join(groups, "root").select("set", "class_id", (F.coalesce("partners", F.lit(0)) + F.col("members") - 1).alias("n_links"), "group_id", "root"), "named")
@@ -310,18 +330,6 @@ def first_of_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return own.join(first, F.col("_own") == F.col("_first")).dropDuplicates(["_own"]).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
-def _of_class(rows: DataFrame) -> DataFrame:
-    """Rows whose text has the digest of their class, one for each class."""
-
-    def run(batches):
-        for part in pieces(batches):
-            keys = np.array([xxhash.xxh3_64_intdigest(shingles(t).tobytes()) for t in part.column("text").to_pylist()], np.uint64).view(np.int64)
-            yield part.filter(pa.array(keys == np.asarray(part.column("set"))))
-
-    own = rows.select("root", "set", "size", "members", "text").mapInArrow(run, "root long, set long, size long, members long, text string")
-    return own.groupBy("root", "set", "size", "members").agg(F.min("text").alias("text"))
-
-
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(table(spark, sf_dir, "documents")).drop("set", "root", "text_md5")
 
