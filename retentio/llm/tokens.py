@@ -48,10 +48,14 @@ MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 
 
+#: Fixed value: the offset of masked checksums in the length-delimited record format.
+MASK_OFFSET = 0xA282EAD8
+
+
 def masked(data: bytes) -> int:
     """CRC-32, rotated and offset, so that a checksum of stored checksums stays telling."""
     crc = zlib.crc32(data)
-    return ((crc >> 15 | crc << 17) + 0xA282EAD8) & 0xFFFFFFFF
+    return ((crc >> 15 | crc << 17) + MASK_OFFSET) & 0xFFFFFFFF
 
 
 def frame(payload: bytes) -> bytes:
