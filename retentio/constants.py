@@ -118,15 +118,15 @@ PRIORITY_OTHER = "Other"
 
 # --- fixed values: insight sentence formats ---
 INSIGHT_WORST = (
-    "\U0001F6A8 CRITICAL: %s CLV customers have the highest churn rate at %.1f%%. These "
+    "🚨 CRITICAL: %s CLV customers have the highest churn rate at %.1f%%. These "
     "customers are paying premium prices but are dissatisfied - prioritize "
     "retention efforts here."
 )
 INSIGHT_BEST = (
-    "\u2705 %s CLV customers have the lowest churn rate at %.1f%%. These are typically "
+    "✅ %s CLV customers have the lowest churn rate at %.1f%%. These are typically "
     "long-term contract customers - contract lock-in is working."
 )
-INSIGHT_RISK = "\U0001F4B0 %.1f%% of total CLV ($%s) is at risk from churning customers."
+INSIGHT_RISK = "💰 %.1f%% of total CLV ($%s) is at risk from churning customers."
 
 # --- fixed values: scoring profiles used by the high-risk check ---
 HIGH_RISK_PROFILE: dict[str, object] = {

@@ -12,6 +12,7 @@ import math
 from retentio.ml.fixed_trees import SCALE, TREES, leaves
 from verification.base_sql import with_base
 
+# --- fixed values: column names, labels and sentences that queries and SQL share ---
 RAW_COLS = ["customerID", "gender", "SeniorCitizen", "Partner", "Dependents", "tenure", "PhoneService",
             "MultipleLines", "InternetService", "OnlineSecurity", "OnlineBackup", "DeviceProtection",
             "TechSupport", "StreamingTV", "StreamingMovies", "Contract", "PaperlessBilling", "PaymentMethod",
@@ -223,11 +224,11 @@ SELECT e.bin, e.lo, e.hi, COALESCE(c.n, 0) AS n FROM e LEFT JOIN c USING (bin)
 """
 SQL["business_insights"] = _RATES + f""",
 risk AS (SELECT {esum('CASE WHEN Churn = 1 THEN CLV END')} AS churned_clv, {esum('CLV')} AS total_clv FROM rr)
-SELECT 1 AS insight, printf('\U0001F6A8 CRITICAL: %s CLV customers have the highest churn rate at %.1f%%. These customers are paying premium prices but are dissatisfied - prioritize retention efforts here.', worst_quartile, {r('worst_rate_pct', 1)}) AS text FROM ext
+SELECT 1 AS insight, printf('🚨 CRITICAL: %s CLV customers have the highest churn rate at %.1f%%. These customers are paying premium prices but are dissatisfied - prioritize retention efforts here.', worst_quartile, {r('worst_rate_pct', 1)}) AS text FROM ext
 UNION ALL
 SELECT 2, printf('✅ %s CLV customers have the lowest churn rate at %.1f%%. These are typically long-term contract customers - contract lock-in is working.', best_quartile, {r('best_rate_pct', 1)}) FROM ext
 UNION ALL
-SELECT 3, printf('\U0001F4B0 %.1f%% of total CLV ($%s) is at risk from churning customers.', {r('churned_clv / total_clv * 100e0', 1)}, format('{{:,.0f}}', round_even(churned_clv, 0))) FROM risk
+SELECT 3, printf('💰 %.1f%% of total CLV ($%s) is at risk from churning customers.', {r('churned_clv / total_clv * 100e0', 1)}, format('{{:,.0f}}', round_even(churned_clv, 0))) FROM risk
 """
 _PRIORITY = """
 SELECT customer_id, CLV_quartile, Contract, CLV, Churn,
