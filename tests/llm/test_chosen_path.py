@@ -99,15 +99,3 @@ def test_null_and_repeated_ids_are_no_key(spark):
         rows = list(zip(ids, texts, strict=True))
         docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
         assert found(docs) == brute(rows)
-
-
-def test_a_group_of_near_copies_ends_where_it_is_found(spark, monkeypatch):
-    """Its node is not carried into the children of each level."""
-    monkeypatch.setattr(J, "SMALL", 16)
-    written, settle = [], J.settle
-    monkeypatch.setattr(J, "settle", lambda df, name: written.append((name, out := settle(df, name))) or out)
-    rows = list(enumerate(near_copies(300, 400, seed=8)))
-    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
-    assert found(docs) == brute(rows)
-    paths = [df.count() for name, df in written if name == "paths"]
-    assert sum(paths[1:]) < paths[0] / 2
