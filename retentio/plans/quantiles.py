@@ -108,7 +108,13 @@ def quantiles(
         F.explode(F.array(F.struct(F.lit(0).alias("side"), F.floor(place).alias("rank")), F.struct(F.lit(1).alias("side"), F.ceil(place).alias("rank")))).alias("r"))
     keys = [*own, "qi", "side", "frac", "rank"]
     found = ranks.select(*own, "qi", "r.side", "frac", F.col("r.rank").cast("long").alias("rank"), "bins").select(*keys, _locate(F.col("bins"), F.col("rank")).alias("b")).select(*keys, "b.*")
-    found = checkpoint(found.withColumn("power", _power(F.col("mn"))))
+
+    def kept(bins: DataFrame) -> DataFrame:
+        """Cut the lineage: a rank and its bin, a row for each."""
+        packed = bins.select(*own, F.struct("qi", "side", "frac", "rank").alias("wanted"), F.struct("below", "n", "mn", "mx", "power").alias("bin"))
+        return checkpoint(packed).select(*own, "wanted.*", "bin.*")
+
+    found = kept(found.withColumn("power", _power(F.col("mn"))))
 
     def refine(open_: DataFrame, step: F.Column) -> DataFrame:
         """The bins of the wanted ranks, cut by ``step`` (a column over v and the bin's mn and mx)."""
@@ -130,7 +136,7 @@ def quantiles(
     many = several & (F.col("n") > FINAL)
     share = (F.col("v") - F.col("b_mn")) / (F.col("b_mx") - F.col("b_mn"))
     while not found.where(many).isEmpty():
-        found = checkpoint(found.where(~many).unionByName(refine(found.where(many), F.least(F.floor(share * BINS), F.lit(BINS - 1)))))
+        found = kept(found.where(~many).unionByName(refine(found.where(many), F.least(F.floor(share * BINS), F.lit(BINS - 1)))))
     if not found.where(several).isEmpty():
         found = found.where(~several).unionByName(refine(found.where(several), F.col("v")))
 
