@@ -1,20 +1,33 @@
 """Toxicity by nearest labelled examples under exact TF-IDF cosine.
 
-The fit takes a bounded sample of labelled rows (``SAMPLE_PER_CLASS`` of each
-label, lowest hash first, equal texts once), takes all of their terms and counts
-those terms' document frequencies over all documents. Terms are words and word
-beginnings, so unseen inflections of a known word count too. TF-IDF weights are
-multiplied by a factor that grows with how much a term's use differs between
-the labels (``emphasis``) and is never 0. A text is compared with every example:
-terms of many examples by a product of dense matrices, the others by postings.
-Single precision only picks the examples that can be among the nearest; their
-cosines are summed again in double precision over their own terms, so
-the neighbours are exact. Neighbours vote with weights that grow as their
-distance falls, beside a prior; a logistic curve fitted on leave-one-out votes
-of the examples, weighted to the labels' true shares, turns votes into
-calibrated scores. The neighbours are the evidence.
-
-The model is bounded by the sample, whatever the size of the tables; documents
+The fit takes a bounded sample of labelled ids (``SAMPLE_PER_CLASS`` of each
+label, lowest hash first; equal texts once, one text an id), all of their terms,
+and the terms' document frequencies over all documents. A term is a word cut to
+its first ``LETTERS`` letters, so unseen inflections of a known word count too.
+Vectors are plain TF-IDF, ``(1 + ln tf) * (ln((N + 1) / (df + 1)) + 1)``, of
+length 1.
+
+The index is block-max: examples lie in blocks of ``BLOCK``, texts of one kind
+(same commonest term, same heaviest term) beside each other. For each term there
+is a row a block that holds it: the largest weight there, and the sorted
+postings. A search adds the postings of rare terms, and bounds each block by the
+largest such sum in it plus the block maxima of the common terms. It reads blocks from
+the highest bound on and leaves out every block whose bound is below the k-th best
+sum found. Several texts go through a block together. Single precision only picks
+the examples that can be among the nearest; their cosines are summed again in
+double precision over their own terms, so the neighbours are those of a
+comparison with every example; equal cosines go by doc_id.
+
+A neighbour votes with a weight that grows as its distance falls, times the
+squared share of the cosine that comes from terms used differently by the two
+labels (``factor``, from a term's z); the vectors themselves know no labels. A
+logistic curve, fitted on leave-one-out votes of the examples weighted to the
+labels' true shares, turns votes into calibrated scores. The strongest votes
+are the evidence.
+
+Spark builds the index (aggregates and joins) and writes it to the shared
+folder, where tasks read it; the driver sees counts and a histogram of votes.
+The index is bounded by the sample, whatever the size of the tables; documents
 never leave their task.
 
 Defined results: a null or empty text, and one without any known term, gets
@@ -27,49 +40,37 @@ labels (0 without labels). Other columns are kept as they are.
 from __future__ import annotations
 
 import re
+import sys
+import types
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.parquet as pq
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from retentio.llm.common import pieces, table
+from retentio.llm.common import files_of, pieces, settle, table
+from retentio.plans.lineage import scratch_path
 
 SAMPLE_PER_CLASS = 3000
-#: |z| at which a term has about half its weight, and what a term without any difference keeps.
+#: |z| at which a term counts about half in a vote, and what a term without any difference counts.
 HALF_Z, LEAST = 5.0, 0.01
-#: Share of the examples from which a term's weights are a dense row; what single precision can lose of a cosine, with room; words whose terms a worker keeps.
-COMMON, LOST, KEPT_WORDS = 1 / 20, 1e-4, 200_000
-SAMPLE_PARTITIONS, TOGETHER, NEIGHBOURS, PRIOR_VOTES = 12, 64, 15, 0.05
-WORD = re.compile(r"[^\W\d_]+")
-#: Lengths of word beginnings that are terms; the word must be longer.
-BEGINNINGS = (4, 5)
-#: Counts, and shares of all words in percent, from which a beginning makes one more term.
-LEVELS, SHARES = (2, 3, 5), (0.5, 1, 2)
-
-
-def terms_of(text: str | None, among=None) -> dict[str, int]:
-    """Term counts of a text: words, word beginnings (marked by a dash), and levels that the count of a beginning reaches."""
-    counts: dict[str, int] = {}
-    words = WORD.findall((text or "").lower())
-    for w, n in Counter(words).items():
-        if among is None or w in among:
-            counts[w] = n
-        for k in BEGINNINGS:
-            if len(w) > k and (among is None or w[:k] + "-" in among):
-                counts[w[:k] + "-"] = counts.get(w[:k] + "-", 0) + n
-    for t, n in list(counts.items()):
-        if t[-1] == "-":
-            reached = [f"{t}{level}" for level in LEVELS if n >= level] + [f"{t}{share}%" for share in SHARES if 100 * n >= share * len(words)]
-            counts.update((r, 1) for r in reached if among is None or r in among)
-    return counts
-
-
-def emphasis(z: np.ndarray) -> np.ndarray:
-    """Factor of a term's weight, from ``LEAST`` to 1."""
-    return (z * z + LEAST * HALF_Z**2) / (z * z + HALF_Z**2)
+#: Examples of a block; share of the examples from which a term is common; texts and characters taken together.
+BLOCK, COMMON, TOGETHER, TOGETHER_CHARS = 64, 1 / 20, 64, 400_000
+#: Neighbours that vote, votes that are shown, weight of the prior, steps of the votes' log odds.
+NEIGHBOURS, EVIDENCE, PRIOR_VOTES, STEP = 100, 15, 0.05, 0.01
+#: What single precision can lose of a cosine, with room; tasks of the sample.
+LOST, SAMPLE_PARTITIONS = 1e-4, 12
+LETTERS = 4
+TERM = re.compile(rf"([^\W\d_]{{1,{LETTERS}}})[^\W\d_]*")
+
+
+def terms_of(text: str | None) -> dict[str, int]:
+    """Term counts of a text."""
+    return dict(Counter(TERM.findall((text or "").lower())))
 
 
 def spans(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
@@ -78,151 +79,157 @@ def spans(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     return np.arange(n.sum()) + np.repeat(lo - np.cumsum(n) + n, n)
 
 
-class Lookup(dict):
-    """Numbers and counts of a text's terms, as ``terms_of`` gives them; keeps the places of words seen before."""
-
-    def __init__(self, terms: dict[str, int]):
-        super().__init__()
-        self.terms, n = terms, len(terms)
-        starts = [t for t in terms if t[-1] == "-"]
-        self.row = np.zeros(n + 1, np.int32)
-        self.row[[terms[t] for t in starts]] = np.arange(1, len(starts) + 1)
-        names = [str(x) for x in LEVELS] + [f"{x}%" for x in SHARES]
-        self.levels = np.array([[n] * len(names)] + [[terms.get(t + x, n) for x in names] for t in starts], np.int32)
-        self.parts = np.zeros((1024, 1 + len(BEGINNINGS)), np.int32)
-
-    def __reduce__(self):
-        made = {"terms": self.terms, "row": self.row, "levels": self.levels, "parts": self.parts[:1024]}
-        return Lookup.__new__, (Lookup,), made
-
-    def __missing__(self, word: str) -> int:
-        k, n = len(self), len(self.terms)
-        if k == len(self.parts):
-            self.parts = np.concatenate((self.parts, np.zeros_like(self.parts)))
-        self.parts[k] = [self.terms.get(word, n), *(self.terms.get(word[:x] + "-", n) if len(word) > x else n for x in BEGINNINGS)]
-        self[word] = k
-        return k
-
-    def counts(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        words, n = WORD.findall((text or "").lower()), len(self.terms)
-        if len(self) > KEPT_WORDS:
-            self.clear()
-        codes = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-        at, k = np.unique(self.parts[codes], return_counts=True)
-        if len(at) and at[-1] == n:
-            at, k = at[:-1], k[:-1]
-        rows = self.row[at]
-        own = np.flatnonzero(rows)
-        times = k[own, None]
-        more = self.levels[rows[own]][np.concatenate((times >= np.array(LEVELS), 100 * times >= np.array(SHARES) * len(words)), 1)]
-        more = more[more < n]
-        return np.concatenate((at, more)).astype(np.int64), np.concatenate((k, np.ones(len(more), np.int64)))
-
-
-class Model:
-    """Index of the labelled examples over all their terms."""
-
-    def __init__(self, lookup: Lookup, weight: np.ndarray, examples: list[tuple], share: float):
-        """``weight``: of each term; ``examples``: (doc_id, label, terms, counts); ``share``: of label 1 among all labelled rows."""
-        self.lookup, self.terms, self.weight, self.share = lookup, lookup.terms, weight, share
-        vectors = [(d, y, *self._weighted(at, k)) for d, y, at, k in examples]
-        vectors.sort(key=lambda v: (v[1], v[0] if v[0] is not None else -1))
-        self.ids = [v[0] for v in vectors]
-        self.labels = np.array([v[1] for v in vectors], np.float64)
-        n, t = len(vectors), len(self.terms)
-        # the terms of each example, and the examples of each term
-        self.ends = np.concatenate(([0], np.cumsum([len(v[2]) for v in vectors], dtype=np.int64)))
-        self.of = np.concatenate([v[2] for v in vectors] or [np.zeros(0)]).astype(np.int32)
-        self.x = np.concatenate([v[3] for v in vectors] or [np.zeros(0)]).astype(np.float32)
-        order = np.argsort(self.of, kind="stable")
-        self.example = np.repeat(np.arange(n, dtype=np.int32), np.diff(self.ends))[order]
-        self.share_of = self.x[order]
-        self.first = np.searchsorted(self.of[order], np.arange(t + 1))
-        common = np.flatnonzero(np.diff(self.first) >= max(1, COMMON * n))
-        #: Row of a term in the dense matrix, -1 for the others.
-        self.dense_row = np.full(t, -1, np.int32)
-        self.dense_row[common] = np.arange(len(common))
-        self._scratch = None
-        ones = max(1.0, self.labels.sum())
-        zeros = max(1.0, n - ones)
-        #: What a vote of an example counts, so that the sample's labels weigh as in the whole.
-        self.weights = np.where(self.labels > 0, share / ones, (1 - share) / zeros) * n
-        self.curve = (1.0, 0.0)
-        self.both = 0 < self.labels.sum() < n
-        if self.both:
-            found = (f for k in range(0, n, TOGETHER) for f in self.nearest_of([v[2:] for v in vectors[k : k + TOGETHER]], range(k, n)))
-            votes = np.array([self._votes(i, s) for i, s in found])
-            self.curve = _logistic(votes, self.labels, self.weights)
-
-    @property
-    def postings(self) -> list[tuple[np.ndarray, np.ndarray]]:
-        """(examples, weights) of each term."""
-        return [(self.example[a:b], self.share_of[a:b]) for a, b in zip(self.first[:-1], self.first[1:], strict=True)]
-
-    def _weighted(self, at: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        w = (1 + np.log(k)) * self.weight[at]
-        return at, w / np.sqrt((w * w).sum()) if len(w) else w
-
-    def vector(self, counts: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
-        """Normalized weights over the known terms."""
-        pairs = sorted((self.terms[t], n) for t, n in counts.items() if t in self.terms)
-        return self._weighted(np.array([a for a, _ in pairs], np.int64), np.array([n for _, n in pairs], np.float64))
-
-    def __getstate__(self):
-        return self.__dict__ | {"_scratch": None}
-
-    def _dense(self) -> tuple[np.ndarray, np.ndarray]:
-        """Weights of the common terms in all examples, and a zero for each term."""
-        if self._scratch is None:
-            common = np.flatnonzero(self.dense_row >= 0)
-            rows = np.zeros((len(common), len(self.ids)), np.float32)
-            for row, t in zip(rows, common, strict=True):
-                a, b = self.first[t], self.first[t + 1]
-                row[self.example[a:b]] = self.share_of[a:b]
-            self._scratch = rows, np.zeros(len(self.terms))
-        return self._scratch
-
-    def nearest_of(self, vectors: list[tuple], skips=None, k: int = NEIGHBOURS) -> list[tuple[np.ndarray, np.ndarray]]:
-        """For each vector the k examples of the highest cosine above 0 (ties: lowest place first), exactly; ``skips``: an example to leave out."""
-        dense, own = self._dense()
+def counted(terms: dict[str, int], texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ends, terms, counts): the known terms of text i, ascending, are those from ``ends[i]`` to ``ends[i + 1]``."""
+    n = len(terms)
+    found = [TERM.findall((t or "").lower()) for t in texts]
+    sizes = np.array([len(f) for f in found], np.int64)
+    codes = np.fromiter((terms.get(t, n) for t in chain.from_iterable(found)), np.int64, sizes.sum())
+    cells, k = np.unique(codes + np.repeat(np.arange(len(texts)) * (n + 1), sizes), return_counts=True)
+    doc, at = np.divmod(cells, n + 1)
+    known = at < n
+    return np.searchsorted(doc[known], np.arange(len(texts) + 1)), at[known], k[known]
+
+
+def _read(path: str, columns: list[str]) -> pa.Table:
+    """A table of the index, its files in the order of their ranges."""
+    fs, files = files_of(path)
+    return pa.concat_tables([pq.read_table(f, columns=columns, filesystem=fs) for f in files])
+
+
+def _kept(path: str, make):
+    """What a worker process has read from ``path``; it outlives a task. Only the last such thing is kept."""
+    held = sys.modules.setdefault("_retentio_llm_indexes", types.ModuleType("_retentio_llm_indexes")).__dict__
+    if held.get("path") != path:
+        held.update(path=path, made=None)
+        held["made"] = make()
+    return held["made"]
+
+
+def _numbers(terms: pa.Table) -> dict[str, int]:
+    return {t: i for i, t in enumerate(terms.column("term").to_pylist())}
+
+
+class Index:
+    """Block-max inverted index of the labelled examples, as a task reads it."""
+
+    def __init__(self, root: str):
+        terms = _read(f"{root}/terms", ["number", "term", "idf", "factor"])
+        self.terms, numbers = _numbers(terms), terms.column("number").to_numpy()
+        self.idf, self.factor = (terms.column(c).to_numpy() for c in ("idf", "factor"))
+        examples = _read(f"{root}/examples", ["place", "id", "y"]).sort_by("place")
+        self.ids, self.labels = (examples.column(c).to_numpy() for c in ("id", "y"))
+        n, t = len(self.ids), len(self.terms)
+        self.blocks = -(-n // BLOCK)
+        rows = _read(f"{root}/blocks", ["number", "block", "best", "places", "weights"]).combine_chunks()
+        first = np.searchsorted(rows.column("number").to_numpy(), np.append(numbers, np.iinfo(np.int64).max))
+        block, best = rows.column("block").to_numpy(), rows.column("best").to_numpy()
+        start = np.concatenate(([0], np.cumsum(rows.column("places").combine_chunks().value_lengths().to_numpy(), dtype=np.int64)))
+        #: Postings, those of term t from ``start[t]`` to ``start[t + 1]``.
+        self.place, self.weight = (rows.column(c).combine_chunks().flatten().to_numpy() for c in ("places", "weights"))
+        self.start = start[first]
+        common = np.flatnonzero(np.diff(self.start) >= max(1, COMMON * n))
+        #: Column of a common term, -1 for the others; its weights in the examples, and its largest weight in each block.
+        self.column = np.full(t, -1, np.int64)
+        self.column[common] = np.arange(len(common))
+        self.weights = np.zeros((self.blocks, len(common), BLOCK), np.float32)
+        self.maxima = np.zeros((len(common), self.blocks), np.float32)
+        for c, term in enumerate(common):
+            p, r = slice(self.start[term], self.start[term + 1]), slice(first[term], first[term + 1])
+            self.weights[self.place[p] // BLOCK, c, self.place[p] % BLOCK] = self.weight[p]
+            self.maxima[c, block[r]] = best[r]
+        #: The terms of each example.
+        order = np.argsort(self.place, kind="stable")
+        self.of = np.repeat(np.arange(t), np.diff(self.start))[order]
+        self.x = self.weight[order]
+        self.ends = np.searchsorted(self.place[order], np.arange(n + 1))
+
+    def vector(self, at: np.ndarray, k: np.ndarray) -> np.ndarray:
+        """Normalized weights of terms and their counts."""
+        w = (1 + np.log(k)) * self.idf[at]
+        return w / np.sqrt((w * w).sum()) if len(w) else w
+
+    def sums(self, vectors: list[tuple], k: int, skips: list | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Sums (texts by examples, in single precision) and the blocks read (texts by blocks); of other blocks no example is among a text's k nearest."""
+        m, n = len(vectors), len(self.ids)
+        size = np.array([len(at) for at, _ in vectors])
+        text, at, w = np.repeat(np.arange(m), size), np.concatenate([v[0] for v in vectors]), np.concatenate([v[1] for v in vectors])
+        column = self.column[at]
+        asked = np.zeros((m, len(self.maxima)), np.float32)
+        asked[text[column >= 0], column[column >= 0]] = w[column >= 0]
+        text, at, w = text[column < 0], at[column < 0], w[column < 0]
+        lo, hi = self.start[at], self.start[at + 1]
+        p, times = spans(lo, hi), hi - lo
+        wide = self.blocks * BLOCK
+        near = np.bincount(np.repeat(text * wide, times) + self.place[p], np.repeat(w, times) * self.weight[p], m * wide).astype(np.float32).reshape(m, self.blocks, BLOCK)
+        if skips is not None:
+            near[np.arange(m), np.array(skips) // BLOCK, np.array(skips) % BLOCK] = -np.inf
+        bound = near.max(2) + asked @ self.maxima
+        order = np.argsort(np.argsort(-bound, 1, kind="stable"), 1)
+        read, least, upto = np.zeros((m, self.blocks), bool), np.zeros(m, np.float32), -(-2 * k // BLOCK)
+        while True:
+            now = ~read & (order < upto) & (bound > 0) & (bound >= least[:, None] - LOST)
+            for b in np.flatnonzero(now.any(0)):
+                who = np.flatnonzero(now[:, b])
+                near[who, b] += asked[who] @ self.weights[b]
+            read |= now
+            if upto >= self.blocks:
+                return near.reshape(m, wide)[:, :n], read
+            if n > k:
+                least = np.maximum(np.partition(near.reshape(m, wide), wide - k, 1)[:, wide - k], 0)
+            upto *= 3
+
+    def nearest(self, vectors: list[tuple], k: int = NEIGHBOURS, skips: list | None = None) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """For each vector (places, cosines, telling parts of the cosines) of the k examples of the highest cosine above 0; ``skips``: an example to leave out."""
+        near, read = self.sums(vectors, k, skips)
         n, out = len(self.ids), []
-        asked = np.zeros((len(vectors), len(dense)), np.float32)
-        for line, (at, w) in zip(asked, vectors, strict=True):
-            row = self.dense_row[at]
-            line[row[row >= 0]] = w[row >= 0]
-        sums = asked @ dense
+        own, told = np.zeros(len(self.terms)), np.zeros(len(self.terms))
         for j, (at, w) in enumerate(vectors):
-            rare = self.dense_row[at] < 0
-            lo, hi = self.first[at[rare]], self.first[at[rare] + 1]
-            p = spans(lo, hi)
-            near = sums[j] + np.bincount(self.example[p], np.repeat(w[rare], hi - lo) * self.share_of[p], n)
-            if skips is not None:
-                near[skips[j]] = 0
-            least = np.partition(near, n - k)[n - k] if n > k else 0.0
-            i = np.flatnonzero((near > 0) & (near >= least - LOST))
-            own[at] = w
-            c, d = self.ends[i], self.ends[i + 1]
-            q = spans(c, d)
-            s = np.bincount(np.repeat(np.arange(len(i)), d - c), own[self.of[q]] * self.x[q], len(i))
-            own[at] = 0
-            order = np.lexsort((i, -s))[:k]
-            out.append((i[order], s[order]))
+            seen = np.where(np.repeat(read[j], BLOCK)[:n], near[j], 0)
+            least = max(0.0, float(np.partition(seen, n - k)[n - k])) if n > k else 0.0
+            i = np.flatnonzero((seen > 0) & (seen >= least - LOST))
+            own[at], told[at] = w, w * self.factor[at]
+            lo, hi = self.ends[i], self.ends[i + 1]
+            q, which = spans(lo, hi), np.repeat(np.arange(len(i)), hi - lo)
+            term, x = self.of[q], self.x[q]
+            s, t = (np.bincount(which, v[term] * x, len(i)) for v in (own, told))
+            own[at] = told[at] = 0
+            order = np.lexsort((self.ids[i], -s))[:k]
+            out.append((i[order], s[order], t[order]))
         return out
 
-    def nearest(self, at: np.ndarray, w: np.ndarray, k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray]:
-        return self.nearest_of([(at, w)], k=k)[0]
+    def votes(self, texts: list, share: float, skips: list | None = None) -> Iterator[tuple[float, np.ndarray, np.ndarray, np.ndarray]]:
+        """(toxic share of the votes, places, cosines, votes) of each text."""
+        ones = max(1.0, float(self.labels.sum()))
+        n = len(self.ids)
+        # what a vote of a label counts, so that the sample's labels weigh as in the whole
+        weigh = np.where(self.labels > 0, share / ones, (1 - share) / max(1.0, n - ones)) * n
+        ends, at, k = counted(self.terms, texts)
+        own = [slice(a, b) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        for i, s, told in self.nearest([(at[o], self.vector(at[o], k[o])) for o in own], skips=skips):
+            vote = s / (1.05 - np.minimum(s, 1.0)) * (told / s) ** 2 * weigh[i]
+            yield (float((vote * self.labels[i]).sum()) + PRIOR_VOTES * share) / (float(vote.sum()) + PRIOR_VOTES), i, s, vote
+
+
+class Model:
+    """Where the index is, the share of toxic labels, and the curve of the scores. A few numbers; the index stays in its folder."""
+
+    def __init__(self, root: str | None, share: float, curve: tuple[float, float] = (1.0, 0.0)):
+        self.root, self.share, self.curve = root, share, curve
 
-    def _votes(self, i: np.ndarray, s: np.ndarray) -> float:
-        near = s / (1.05 - np.minimum(s, 1.0)) * self.weights[i]
-        return (float((near * self.labels[i]).sum()) + PRIOR_VOTES * self.share) / (float(near.sum()) + PRIOR_VOTES)
+    def index(self) -> Index:
+        return _kept(self.root, lambda: Index(self.root))
 
     def scores(self, texts: list) -> list[tuple[float, list[tuple]]]:
-        """(calibrated score, evidence as (doc_id, cosine, label)) of each text."""
-        if not self.both:
+        """(calibrated score, evidence as (doc_id, cosine, label), strongest vote first) of each text."""
+        if self.root is None:
             return [(self.share, []) for _ in texts]
-        a, b = self.curve
-        found = self.nearest_of([self._weighted(*self.lookup.counts(t)) for t in texts])
-        return [(float(1 / (1 + np.exp(-(a * _logit(self._votes(i, s)) + b)))), [(self.ids[x], float(y), int(self.labels[x])) for x, y in zip(i, s, strict=True)]) for i, s in found]
+        (a, b), index, out = self.curve, self.index(), []
+        for p, i, s, vote in index.votes(texts, self.share):
+            first = np.lexsort((np.arange(len(i)), -vote))[:EVIDENCE]
+            evidence = list(zip(index.ids[i[first]].tolist(), s[first].tolist(), index.labels[i[first]].tolist(), strict=True))
+            out.append((float(1 / (1 + np.exp(-(a * _logit(p) + b)))), evidence))
+        return out
 
     def score(self, text: str | None) -> tuple[float, list[tuple]]:
         return self.scores([text])[0]
@@ -233,9 +240,9 @@ def _logit(p):
     return np.log(p / (1 - p))
 
 
-def _logistic(votes: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> tuple[float, float]:
+def _logistic(odds: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> tuple[float, float]:
     """Slope and intercept of a weighted, slightly damped logistic fit on the votes' log odds."""
-    x, theta = np.stack((_logit(votes), np.ones(len(votes))), 1), np.array([1.0, 0.0])
+    x, theta = np.stack((odds, np.ones(len(odds))), 1), np.array([1.0, 0.0])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ theta, -30, 30)))
         step = np.linalg.solve((x * (weights * p * (1 - p))[:, None]).T @ x + 0.1 * np.eye(2), x.T @ (weights * (labels - p)) - 0.1 * (theta - [1.0, 0.0]))
@@ -250,67 +257,117 @@ def fold(id_col) -> F.Column:
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit(""))) % 5
 
 
+def _written(df: DataFrame, path: str) -> DataFrame:
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def _together(texts: list) -> Iterator[slice]:
+    """Slices of few texts and few characters."""
+    start = size = 0
+    for i, t in enumerate(texts):
+        size += len(t or "")
+        if i + 1 - start == TOGETHER or size > TOGETHER_CHARS:
+            yield slice(start, i + 1)
+            start, size = i + 1, 0
+    if start < len(texts):
+        yield slice(start, len(texts))
+
+
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """Fit on labelled rows outside fold 0; document frequencies cover all of ``docs``."""
     marked = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("id is not null and y is not null").groupBy("id").agg(F.max("y").alias("y"))
     marked = marked.where(fold(F.col("id")) != 0)
     n, share = marked.agg(F.count("*"), F.avg("y")).first()
     if not n:
-        return Model(Lookup({}), np.zeros(0), [], 0.0)
+        return Model(None, 0.0)
     order = [F.xxhash64("id"), F.col("id")]
     picked = marked.where("y = 1").orderBy(*order).limit(SAMPLE_PER_CLASS).unionByName(marked.where("y = 0").orderBy(*order).limit(SAMPLE_PER_CLASS))
-    # at most 2 * SAMPLE_PER_CLASS ids: small on every input
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(picked), "id").groupBy("text").agg(F.min("id").alias("id"), F.max("y").alias("y"))
-    # bounded by the sample: few partitions, so few repeated terms to sum
-    texts = texts.select("id", "y", "text").coalesce(SAMPLE_PARTITIONS).persist()
-    try:
-        sizes = dict(texts.groupBy("y").count().collect())
-
-        def use(batches):
-            for part in pieces(batches):
-                seen: dict[tuple, int] = {}
-                for y, text in zip(part.column("y").to_pylist(), part.column("text").to_pylist(), strict=True):
-                    for t in terms_of(text):
-                        seen[t, y] = seen.get((t, y), 0) + 1
-                yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in seen], pa.string()), pa.array([y for _, y in seen], pa.int32()), pa.array(list(seen.values()), pa.int64())], names=["term", "y", "n"])
-
-        a, b = float(sizes.get(1, 0)), float(sizes.get(0, 0))
-        terms: dict[str, int] = {}
-        factor = np.zeros(0)
-        if a and b:
-            used = texts.mapInArrow(use, "term string, y int, n long").groupBy("term").agg(F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)).alias("p"), F.sum(F.when(F.col("y") == 0, F.col("n")).otherwise(0)).alias("q"))
-            # all terms of the sample, which bounds them
-            used = used.toArrow().sort_by("term")
-            terms = {t: i for i, t in enumerate(used.column("term").to_pylist())}
-            p, q = (used.column(c).to_numpy().astype(np.float64) for c in ("p", "q"))
-            both = (p + q) / (a + b)
-            z = (p / a - q / b) / np.sqrt(np.maximum(both * (1 - both), 1e-300) * (1 / a + 1 / b))
-            factor = emphasis(np.where(both < 1, z, 0.0))
-        lookup = Lookup(terms)
-
-        def frequencies(batches):
-            seen = np.zeros(len(lookup.terms) + 1, np.int64)
-            for part in pieces(batches):
-                for text in part.column("text").to_pylist():
-                    seen[-1] += 1
-                    seen[lookup.counts(text)[0]] += 1
-            at = np.flatnonzero(seen)
-            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(seen[at])], names=["term", "n"])
-
-        df = np.zeros(len(terms) + 1)
-        found = docs.select(F.col(text_col).alias("text")).mapInArrow(frequencies, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
-        df[found.column("term").to_numpy()] = found.column("n").to_numpy()
-        idf = np.log((df[-1] + 1) / (df[:-1] + 1)) + 1
-
-        def vectors(batches):
-            for part in pieces(batches):
-                made = [lookup.counts(t) for t in part.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column("id").cast(pa.int64()), part.column("y"), *(pa.array([m[k].astype(np.int32).tobytes() for m in made], pa.binary()) for k in (0, 1))], names=["id", "y", "terms", "counts"])
-
-        examples = texts.mapInArrow(vectors, "id long, y int, terms binary, counts binary").toArrow().to_pylist()
-    finally:
-        texts.unpersist()
-    return Model(lookup, idf * factor, [(r["id"], r["y"], *(np.frombuffer(r[c], np.int32).astype(np.int64) for c in ("terms", "counts"))) for r in examples], float(share))
+    # at most 2 * SAMPLE_PER_CLASS ids: small on every input; of an id with several texts the one of the lowest hash
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(F.broadcast(picked), "id")
+    texts = texts.groupBy("id").agg(F.max("y").alias("y"), F.min_by("text", F.xxhash64("text")).alias("text")).groupBy("text").agg(F.min("id").alias("id"), F.max("y").alias("y"))
+    texts = settle(texts.select("id", "y", "text").coalesce(SAMPLE_PARTITIONS), "toxic-sample")
+    sizes = {r["y"]: float(r["count"]) for r in texts.groupBy("y").count().collect()}
+    if not sizes.get(1) or not sizes.get(0):
+        return Model(None, float(share))
+    root = scratch_path(docs.sparkSession, "toxic-index")
+
+    def used(batches):
+        for part in pieces(batches, TOGETHER):
+            for i, y, text in zip(*(part.column(c).to_pylist() for c in ("id", "y", "text")), strict=True):
+                seen = terms_of(text)
+                yield pa.RecordBatch.from_arrays([pa.array([i] * len(seen), pa.int64()), pa.array([y] * len(seen), pa.int32()), pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["id", "y", "term", "tf"])
+
+    uses = settle(texts.mapInArrow(used, "id long, y int, term string, tf long"), "toxic-uses")
+    p, q = F.sum("y").cast("double") / sizes[1], F.sum(1 - F.col("y")).cast("double") / sizes[0]
+    both = F.count("*") / (sizes[1] + sizes[0])
+    spread = F.sqrt(both * (1 - both) * (1 / sizes[1] + 1 / sizes[0]))
+    vocabulary = uses.groupBy("term").agg(F.when(both < 1, (p - q) / spread).otherwise(0.0).alias("z"))
+    # ranges of terms, sorted: numbers rise with the terms, however the ranges are cut
+    vocabulary = _written(vocabulary.repartitionByRange("term").sortWithinPartitions("term").withColumn("number", F.monotonically_increasing_id()), f"{root}/vocabulary")
+
+    def frequencies(batches):
+        def read():
+            terms = _read(f"{root}/vocabulary", ["number", "term"])
+            return _numbers(terms), terms.column("number").to_numpy()
+
+        known, numbers = _kept(f"{root}/vocabulary", read)
+        seen, rows = np.zeros(len(numbers), np.int64), 0
+        for part in pieces(batches):
+            batch_texts = part.column("text").to_pylist()
+            for few in _together(batch_texts):
+                at = counted(known, batch_texts[few])[1]
+                seen += np.bincount(at, minlength=len(seen))
+            rows += len(batch_texts)
+        at = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(numbers[at], -1), pa.int64()), pa.array(np.append(seen[at], rows))], names=["number", "n"])
+
+    found = docs.select(F.col(text_col).alias("text")).mapInArrow(frequencies, "number long, n long").groupBy("number").agg(F.sum("n").alias("n"))
+    found = settle(found, "toxic-frequencies")
+    total = found.where("number = -1").first()["n"]
+    z = F.col("z")
+    weights = vocabulary.join(found, "number", "left").select(
+        "number",
+        "term",
+        (F.log(F.lit(total + 1.0) / (F.coalesce("n", F.lit(0)) + 1)) + 1).alias("idf"),
+        ((z * z + LEAST * HALF_Z**2) / (z * z + HALF_Z**2)).alias("factor"),
+    )
+    weights = _written(weights.repartitionByRange("number").sortWithinPartitions("number"), f"{root}/terms")
+
+    rows = uses.join(weights.select("number", "term", "idf"), "term").select("id", "y", "tf", "number", ((1 + F.log("tf")) * F.col("idf")).alias("w"))
+    # an example's terms are summed in their order, so the same bits come out of every run
+    by_term = F.array_sort(F.collect_list(F.struct("number", "w")))
+    kinds = rows.groupBy("id").agg(
+        F.max("y").alias("y"),
+        F.sqrt(F.aggregate(by_term, F.lit(0.0), lambda s, x: s + x["w"] * x["w"])).alias("norm"),
+        F.max(F.struct("tf", "number"))["number"].alias("commonest"),
+        F.max(F.struct("w", "number"))["number"].alias("heaviest"),
+    )
+    known = texts.select("id", "y").join(kinds.drop("y"), "id", "left")
+    # one row an example: bounded by the sample
+    near = Window.orderBy("commonest", "heaviest", "id")
+    examples = _written(known.withColumn("place", F.row_number().over(near) - 1), f"{root}/examples")
+    entries = rows.join(examples.select("id", "place", "norm"), "id").select("number", "place", (F.col("w") / F.col("norm")).alias("x"))
+    held = F.array_sort(F.collect_list(F.struct("place", "x")))
+    blocks = entries.groupBy("number", F.floor(F.col("place") / BLOCK).cast("int").alias("block")).agg(F.max("x").alias("best"), held.alias("held"))
+    blocks = blocks.select("number", "block", "best", F.col("held.place").alias("places"), F.col("held.x").alias("weights"))
+    _written(blocks.repartitionByRange("number").sortWithinPartitions("number", "block"), f"{root}/blocks")
+
+    model = Model(root, float(share))
+
+    def left_out(batches):
+        index = model.index()
+        for part in pieces(batches, TOGETHER):
+            own, y = part.column("place").to_pylist(), part.column("y")
+            votes = [v[0] for v in index.votes(part.column("text").to_pylist(), model.share, own)]
+            yield pa.RecordBatch.from_arrays([y, pa.array(np.rint(_logit(np.array(votes)) / STEP).astype(np.int64))], names=["y", "at"])
+
+    asked = texts.join(examples.select("id", "place"), "id").select("place", "y", "text").repartition(SAMPLE_PARTITIONS, "place")
+    votes = asked.mapInArrow(left_out, "y int, at long").groupBy("y", "at").count().orderBy("y", "at").collect()
+    y, at, times = (np.array([r[k] for r in votes], np.float64) for k in range(3))
+    weigh = np.where(y > 0, share / sizes[1], (1 - share) / sizes[0]) * (sizes[1] + sizes[0])
+    model.curve = _logistic(at * STEP, y, weigh * times)
+    return model
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", out: str = "toxicity") -> DataFrame:
@@ -320,14 +377,15 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", out: str = "tox
     """
     kind = pa.struct([("score", pa.float64()), ("predicted", pa.int32()), ("evidence", pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("label", pa.int32())])))])
 
-    # the model goes along with the tasks: it is bounded by the sample
+    # only the folder's name and a few numbers go along with the tasks
     @F.arrow_udf("struct<score:double,predicted:int,evidence:array<struct<doc_id:bigint,cosine:double,label:int>>>")
     def scored(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for column in texts:
             parts = []
             for at in range(0, len(column), TOGETHER):
                 made = []
-                for p, evidence in model.scores(column.slice(at, TOGETHER).to_pylist()):
+                few = column.slice(at, TOGETHER).to_pylist()
+                for p, evidence in chain.from_iterable(model.scores(few[part]) for part in _together(few)):
                     made.append({"score": p, "predicted": int(p >= 0.5), "evidence": [{"doc_id": d, "cosine": s, "label": y} for d, s, y in evidence]})
                 parts.append(pa.array(made, kind))
             yield pa.concat_arrays(parts) if parts else pa.array([], kind)
@@ -338,7 +396,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", out: str = "tox
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = score(docs, fit(docs, table(spark, sf_dir, "labels")))
-    return scored.select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), "toxicity.score", "toxicity.predicted", F.transform("toxicity.evidence", lambda e: e["doc_id"]).alias("evidence_doc_ids"))
+    return scored.select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), "toxicity.score", "toxicity.predicted", F.transform("toxicity.evidence", lambda e: e["doc_id"]).alias("evidence_doc_ids"), "toxicity.evidence")
 
 
 QUERIES = {"op2_toxicity": op2_toxicity}
