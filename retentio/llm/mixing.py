@@ -9,13 +9,17 @@ of the target is filled.
 
 The end of that order is found without sorting documents: words are summed by
 source and hash bucket, the bucket holding the end is cut into finer buckets,
-and so on for ``LEVELS`` levels; the last boundary bucket (equal hash prefixes:
-in effect one document) is taken if that brings the sum nearer. Every bucket
-sum is at most 16**DIGITS rows a source, so a source with a third of all rows
-costs no more than others. The result depends on rows only, so reruns agree.
+and so on for ``LEVELS`` levels. The last boundary bucket (equal hash prefixes)
+is in effect one document, taken if that brings the sum nearer. Rows equal in
+doc_id and text fall into it together: then as many of its rows are taken as come
+nearest, by a running number inside that bucket (written once, numbered in its
+tasks, with the tasks' counts before). Every bucket sum is at most 16**DIGITS
+rows a source, so a source with a third of all rows costs no more than others.
+The result depends on rows only (of equal rows, any may be the taken ones), so
+reruns agree.
 
 Defined results: a null text has size 0; null is a source of its own; rows
-equal in doc_id and text share their fate; an empty table gives no rows. Other
+equal in doc_id and text differ by at most one copy; an empty table gives no rows. Other
 columns are kept as they are.
 """
 
@@ -61,7 +65,7 @@ def targets(sizes: DataFrame) -> DataFrame:
 
 
 def thresholds(rows: DataFrame, sources: DataFrame) -> DataFrame:
-    """Per source: the last hash prefix of the order (``prefix``) and whether its documents are ``taken``.
+    """Per source: the last hash prefix of the order (``prefix``), its rows (``n``) and how many of them are taken (``cut``).
 
     ``rows``: source, size, key.
     """
@@ -71,15 +75,28 @@ def thresholds(rows: DataFrame, sources: DataFrame) -> DataFrame:
     for level in range(LEVELS):
         part = F.substring("key", level * DIGITS + 1, DIGITS)
         inside = rows.join(bounds, "idx").where(F.substring("key", 1, level * DIGITS) == F.col("prefix")) if level else rows.join(bounds, "idx")
-        histogram = inside.groupBy("idx", "rest", "prefix", "base", part.alias("part")).agg(F.sum("size").alias("w"))
+        histogram = inside.groupBy("idx", "rest", "prefix", "base", part.alias("part")).agg(F.sum("size").alias("w"), F.count("*").alias("n"))
         running = Window.partitionBy("idx").orderBy("part").rowsBetween(Window.unboundedPreceding, 0)
         ends = histogram.withColumn("end", F.col("base") + F.sum("w").over(running))
         # the first bucket that reaches over the budget holds the end; without one, all documents are taken
-        bounds = ends.where("end > rest").groupBy("idx").agg(F.min(F.struct("part", "prefix", "end", "w", "rest")).alias("b"))
-        bounds = settle(bounds.select("idx", F.concat("b.prefix", "b.part").alias("prefix"), (F.col("b.end") - F.col("b.w")).alias("base"), F.col("b.w").alias("w"), F.col("b.rest").alias("budget")), "mix-bounds")
+        bounds = ends.where("end > rest").groupBy("idx").agg(F.min(F.struct("part", "prefix", "end", "w", "n", "rest")).alias("b"))
+        bounds = settle(bounds.select("idx", F.concat("b.prefix", "b.part").alias("prefix"), (F.col("b.end") - F.col("b.w")).alias("base"), F.col("b.w").alias("w"), F.col("b.n").alias("n"), F.col("b.rest").alias("budget")), "mix-bounds")
         if level + 1 < LEVELS:
-            bounds = bounds.drop("w", "budget")
-    return bounds.select("idx", "prefix", (2 * (F.col("budget") - F.col("base")) >= F.col("w")).alias("taken"))
+            bounds = bounds.drop("w", "n", "budget")
+    cut = F.floor(F.col("n") * (F.col("budget") - F.col("base")) / F.col("w") + 0.5)
+    return bounds.select("idx", "prefix", "n", cut.alias("cut"))
+
+
+def _numbered(inside: DataFrame) -> DataFrame:
+    """Boundary rows with ``_mix_more``: whether the row is among the first ``_mix_cut`` of its source's."""
+    rows = settle(inside.withColumn("_mix_row", F.monotonically_increasing_id()), "mix-boundary").withColumn("_mix_task", F.shiftright("_mix_row", 33))
+    # a row a source and task
+    counts = rows.groupBy("_mix_idx", "_mix_task").agg(F.count("*").alias("_mix_rows"))
+    so_far = Window.partitionBy("_mix_idx").orderBy("_mix_task").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.withColumn("_mix_before", F.coalesce(F.sum("_mix_rows").over(so_far), F.lit(0))).drop("_mix_rows")
+    place = F.row_number().over(Window.partitionBy("_mix_idx", "_mix_task").orderBy("_mix_row"))
+    placed = rows.withColumn("_mix_place", place).join(before, ["_mix_idx", "_mix_task"])
+    return placed.withColumn("_mix_more", F.col("_mix_before") + F.col("_mix_place") <= F.col("_mix_cut"))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", out: str = "mix") -> DataFrame:
@@ -89,14 +106,19 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     sources = settle(targets(rows.groupBy(F.col("s").alias("source")).agg(F.sum("size").alias("source_size"))), "mix-sources")
     ends = thresholds(rows, sources)
     # a row per source: the files' size tells the planner whether to broadcast it
-    plan = settle(sources.join(ends, "idx", "left"), "mix-plan").select(*[F.col(c).alias(f"_mix_{c}") for c in ("source", "source_size", "target", "whole", "prefix", "taken")])
+    plan = settle(sources.join(ends, "idx", "left"), "mix-plan").select(*[F.col(c).alias(f"_mix_{c}") for c in ("idx", "source", "source_size", "target", "whole", "prefix", "n", "cut")])
     key = F.col("_mix_key")
-    more = F.col("_mix_prefix").isNull() | (key < F.col("_mix_prefix")) | ((key == F.col("_mix_prefix")) & F.col("_mix_taken"))
-    copies = F.col("_mix_whole") + F.when(more & (F.col("_mix_whole") < MOST), 1).otherwise(0)
+    boundary = F.coalesce((key == F.col("_mix_prefix")) & (F.col("_mix_n") > 1), F.lit(False))
+    more = F.col("_mix_prefix").isNull() | (key < F.col("_mix_prefix")) | ((key == F.col("_mix_prefix")) & (F.col("_mix_cut") > 0))
+    copies = F.col("_mix_whole") + F.when(F.col("_mix_more") & (F.col("_mix_whole") < MOST), 1).otherwise(0)
     keyed = docs.withColumns({"_mix_size": size, "_mix_key": _key(id_col, text_col)})
     joined = keyed.join(plan, F.col(source_col).eqNullSafe(F.col("_mix_source")))
+    chosen = joined.withColumn("_mix_more", more)
+    # only where a boundary bucket holds several rows are those rows numbered
+    if plan.where("_mix_n > 1").limit(1).count():
+        chosen = chosen.where(~boundary).unionByName(_numbered(joined.where(boundary)).select(*chosen.columns))
     mixed = F.struct(F.col("_mix_size").alias("size"), F.col("_mix_source_size").alias("source_size"), F.col("_mix_target").alias("target"), copies.cast("int").alias("copies"))
-    return joined.select(*[F.col(f"`{c}`") for c in docs.columns if c != out], mixed.alias(out))
+    return chosen.select(*[F.col(f"`{c}`") for c in docs.columns if c != out], mixed.alias(out))
 
 
 def take(docs: DataFrame, **columns: str) -> DataFrame:
@@ -135,15 +157,15 @@ t AS (
 r AS (
   SELECT *, CASE WHEN source_size = 0 THEN 0 ELSE CAST(floor(target / source_size) AS BIGINT) END AS whole FROM t),
 g AS (
-  SELECT d.source, k, CAST(sum(size) AS BIGINT) AS gw FROM d GROUP BY d.source, k),
+  SELECT d.source, k, CAST(sum(size) AS BIGINT) AS gw, count(*) AS n FROM d GROUP BY d.source, k),
 c AS (
-  SELECT g.source, g.k, g.gw, r.target - r.whole * r.source_size AS rest,
+  SELECT g.source, g.k, g.gw, g.n, r.target - r.whole * r.source_size AS rest,
          sum(g.gw) OVER (PARTITION BY g.source ORDER BY g.k ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS e
   FROM g JOIN r ON g.source IS NOT DISTINCT FROM r.source),
 x AS (
-  SELECT source, k, e <= rest OR (e - gw <= rest AND 2 * (rest - (e - gw)) >= gw) AS more FROM c)
+  SELECT source, k, CASE WHEN e <= rest THEN n WHEN e - gw <= rest THEN floor(n * (rest - (e - gw)) / gw + 0.5) ELSE 0 END AS cut FROM c)
 SELECT d.doc_id, d.size, r.source_size, r.target,
-       d.size * (r.whole + CASE WHEN x.more AND r.whole < 3 THEN 1 ELSE 0 END) AS taken
+       d.size * (r.whole + CASE WHEN row_number() OVER (PARTITION BY d.source, d.k) <= x.cut AND r.whole < 3 THEN 1 ELSE 0 END) AS taken
 FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source
 JOIN x ON d.source IS NOT DISTINCT FROM x.source AND d.k = x.k
 """

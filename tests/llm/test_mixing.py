@@ -42,14 +42,12 @@ def brute(rows):
         groups = {}
         for r in own:
             groups.setdefault(key(r), []).append(r)
-        more = set()
         for k in sorted(groups):
-            w = sum(size(r[1]) for r in groups[k])
-            if end + w <= rest + 1e-9 or (end <= rest and 2 * (rest - end) >= w):
-                more.add(k)
-            end += w
-        for r in own:
-            out.append((r[0], size(r[1]), total, target[source], size(r[1]) * min(3, whole + (key(r) in more))))
+            # of equal rows as many as come nearest
+            for i, r in enumerate(groups[k]):
+                more = end + size(r[1]) <= rest + 1e-9 or (end <= rest and 2 * (rest - end) >= size(r[1]))
+                end += size(r[1])
+                out.append((r[0], size(r[1]), total, target[source], size(r[1]) * min(3, whole + more)))
     return sorted(out, key=repr)
 
 
@@ -63,6 +61,21 @@ def test_equals_brute_force(messy):
     compare(sorted(map(tuple, got.collect()), key=repr), brute([(r[0], r[1], r[3]) for r in messy_rows()]))
 
 
+@pytest.mark.parametrize("ids", [1, 3])
+def test_repeated_rows_reach_the_target(spark, ids):
+    """Rows equal in doc_id and text: as many are taken as come nearest to the target, over several tasks."""
+    rows = [(i % ids, f"w{i % ids} " * 10, "a", i) for i in range(400)] + [(1000 + i, "w " * 10, "b", i) for i in range(800)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, extra long").repartition(7)
+    got = M.mix(docs).collect()
+    assert sorted((r.doc_id, r.extra) for r in got) == sorted((r[0], r[3]) for r in rows)
+    taken, target = {}, {}
+    for r in got:
+        taken[r.source] = taken.get(r.source, 0) + r.mix.size * r.mix.copies
+        target[r.source] = r.mix.target
+        assert r.mix.copies <= 3
+    assert all(abs(taken[s] - target[s]) <= 5 for s in target)
+
+
 def test_water_level(spark):
     sizes = {"a": 10, "b": 1000, "c": 3, "d": 0, "e": 500, "f": 7, None: 20}
     docs = spark.createDataFrame([(i, "w " * n, s) for i, (s, n) in enumerate(sizes.items())], "doc_id long, text string, source string")
