@@ -29,7 +29,6 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,12 +39,8 @@ HEADER = 16
 #: How much text one output file covers.
 SHARD_TEXT_BYTES = 16 << 20
 END_ID = 2
-#: Bounds of a worker's caches: words and their parts, the longest word kept, and what a trim leaves.
-CACHE_WORDS, CACHE_PARTS, CACHE_CHARS, CACHE_KEPT = 250_000, 350_000, 40, 60_000
-#: Characters that the split pattern keeps together behind a word.
-MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
-#: Fixed value: the split pattern of byte-level BPE pre-tokenizers.
-SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+#: Bounds of a worker's cache: words, the longest word kept, and what a trim leaves.
+CACHE_WORDS, CACHE_CHARS, CACHE_KEPT = 500_000, 40, 200_000
 
 
 #: Fixed value: the offset of masked checksums in the length-delimited record format.
@@ -86,7 +81,8 @@ class Encoder:
 
     The byte-level pre-tokenizer never joins characters across a single space
     between two other characters, nor across a single line end, so the text
-    is cut there and each distinct part is encoded by the library once. A text
+    is cut there and each distinct word is encoded by the library once (as long as
+    the cache holds it), all new words of a text in one call. A text
     with any other white space, or with a special token's string, is encoded
     whole.
     """
@@ -105,35 +101,22 @@ class Encoder:
         self.line = line[0]
         self.cuts = bool(self.cuts) and len(line) == 1
         self.known: dict[str, bytes] = {}
-        self.parts = {"\n": np.array(line, self.dtype).tobytes()}
 
     def _encode(self, text: str) -> np.ndarray:
         return np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype)
 
-    def _encode_parts(self, parts: list[str]) -> list[bytes]:
-        """Parts without line ends, encoded in one call: a line end before each cannot join what stands beside it."""
-        if not parts:
+    def _encode_words(self, words: list[str]) -> list[bytes]:
+        """Words as they follow a space, or with the line end before them, encoded in one call: a line end cannot join what stands beside it."""
+        if not words:
             return []
-        ids = self._encode("".join("\n" + p for p in parts))
+        ids = self._encode("".join(["\n" + w[1:] if w[0] == "\n" else "\n " + w for w in words]))
         at = np.flatnonzero(ids == self.line)
-        if len(at) != len(parts):
+        if len(at) != len(words):
             raise ValueError("the vocabulary joins line ends to words")
         data, size = ids.tobytes(), ids.itemsize
-        ends = [*(at[1:] * size).tolist(), len(data)]
-        return [data[a + size : b] for a, b in zip((at * size).tolist(), ends, strict=True)]
-
-    def _encode_words(self, words: list[str]) -> list[bytes]:
-        """Words are cut where the pre-tokenizer cuts; each part not met before goes to the library."""
-        parts, made = self.parts, {}
-        for w in words:
-            head = w.rstrip(MARKS)
-            if head.isalpha():
-                made[w] = (" " + head, w[len(head) :]) if len(head) < len(w) else (" " + w,)
-            else:
-                made[w] = SPLIT.findall(w if w[0] == "\n" else " " + w)
-        new = list({p for cut in made.values() for p in cut if p not in parts})
-        parts.update(zip(new, self._encode_parts(new), strict=True))
-        return [b"".join([parts[p] for p in cut]) for cut in made.values()]
+        # a word behind a line end keeps it
+        starts = at * size + np.array([0 if w[0] == "\n" else size for w in words])
+        return [data[i:j] for i, j in zip(starts.tolist(), [*(at[1:] * size).tolist(), len(data)], strict=True)]
 
     def ids(self, text: str) -> bytes:
         if not self.cuts or not _even(text) or any(s in text for s in self.special):
@@ -148,14 +131,13 @@ class Encoder:
         for w in new:
             if len(w) > CACHE_CHARS:
                 del known[w]
-        if len(known) > CACHE_WORDS or len(self.parts) > CACHE_PARTS:
+        if len(known) > CACHE_WORDS:
             self.trim()
         return out
 
     def trim(self) -> None:
         """Keep what was met first, the common words; also between tasks, as the worker goes on to other work."""
         self.known = dict(islice(self.known.items(), CACHE_KEPT))
-        self.parts = dict(islice(self.parts.items(), CACHE_KEPT))
 
 
 def encoder(path: str) -> Encoder:

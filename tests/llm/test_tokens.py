@@ -31,7 +31,6 @@ def test_special_strings_equal_the_library():
 
 def test_cache_bounds(monkeypatch):
     monkeypatch.setattr(T, "CACHE_WORDS", 5)
-    monkeypatch.setattr(T, "CACHE_PARTS", 5)
     monkeypatch.setattr(T, "CACHE_KEPT", 2)
     r, own = random.Random(1), T.Encoder(T.vocabulary_path())
     for _ in range(30):
