@@ -140,7 +140,7 @@ class Index:
             self.maxima[c, block[r]] = best[r]
         #: The terms of each example.
         order = np.argsort(self.place, kind="stable")
-        self.of = np.repeat(np.arange(t), np.diff(self.start))[order]
+        self.of = np.repeat(np.arange(t, dtype=np.int32), np.diff(self.start))[order]
         self.x = self.weight[order]
         self.ends = np.searchsorted(self.place[order], np.arange(n + 1))
 
@@ -183,17 +183,22 @@ class Index:
         """For each vector (places, cosines, telling parts of the cosines) of the k examples of the highest cosine above 0; ``skips``: an example to leave out."""
         near, read = self.sums(vectors, k, skips)
         n, out = len(self.ids), []
-        own, told = np.zeros(len(self.terms)), np.zeros(len(self.terms))
+        near[~np.repeat(read, BLOCK, 1)[:, :n]] = 0
+        least = np.maximum(np.partition(near, n - k, 1)[:, n - k], 0) if n > k else np.zeros(len(vectors))
+        near_enough = (near > 0) & (near >= least[:, None] - LOST)
+        own = np.zeros(len(self.terms))
         for j, (at, w) in enumerate(vectors):
-            seen = np.where(np.repeat(read[j], BLOCK)[:n], near[j], 0)
-            least = max(0.0, float(np.partition(seen, n - k)[n - k])) if n > k else 0.0
-            i = np.flatnonzero((seen > 0) & (seen >= least - LOST))
-            own[at], told[at] = w, w * self.factor[at]
+            i = np.flatnonzero(near_enough[j])
+            if not len(i):
+                out.append((i, np.zeros(0), np.zeros(0)))
+                continue
+            own[at] = w
             lo, hi = self.ends[i], self.ends[i + 1]
-            q, which = spans(lo, hi), np.repeat(np.arange(len(i)), hi - lo)
-            term, x = self.of[q], self.x[q]
-            s, t = (np.bincount(which, v[term] * x, len(i)) for v in (own, told))
-            own[at] = told[at] = 0
+            q, first = spans(lo, hi), np.cumsum(hi - lo) - (hi - lo)
+            term = self.of[q]
+            x = own[term] * self.x[q]
+            s, t = np.add.reduceat(x, first), np.add.reduceat(x * self.factor[term], first)
+            own[at] = 0
             order = np.lexsort((self.ids[i], -s))[:k]
             out.append((i[order], s[order], t[order]))
         return out
@@ -220,19 +225,19 @@ class Model:
     def index(self) -> Index:
         return _kept(self.root, lambda: Index(self.root))
 
-    def scores(self, texts: list) -> list[tuple[float, list[tuple]]]:
-        """(calibrated score, evidence as (doc_id, cosine, label), strongest vote first) of each text."""
+    def scored(self, texts: list) -> Iterator[tuple[float, np.ndarray, np.ndarray, np.ndarray]]:
+        """(calibrated score, evidence: ids, cosines and labels, strongest vote first) of each text."""
         if self.root is None:
-            return [(self.share, []) for _ in texts]
-        (a, b), index, out = self.curve, self.index(), []
+            yield from ((self.share, *([np.zeros(0)] * 3)) for _ in texts)
+            return
+        (a, b), index = self.curve, self.index()
         for p, i, s, vote in index.votes(texts, self.share):
-            first = np.lexsort((np.arange(len(i)), -vote))[:EVIDENCE]
-            evidence = list(zip(index.ids[i[first]].tolist(), s[first].tolist(), index.labels[i[first]].tolist(), strict=True))
-            out.append((float(1 / (1 + np.exp(-(a * _logit(p) + b)))), evidence))
-        return out
+            first = np.argsort(-vote, kind="stable")[:EVIDENCE]
+            yield float(1 / (1 + np.exp(-(a * _logit(p) + b)))), index.ids[i[first]], s[first], index.labels[i[first]]
 
     def score(self, text: str | None) -> tuple[float, list[tuple]]:
-        return self.scores([text])[0]
+        p, *evidence = next(self.scored([text]))
+        return p, list(zip(*(e.tolist() for e in evidence), strict=True))
 
 
 def _logit(p):
@@ -382,12 +387,14 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", out: str = "tox
     def scored(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for column in texts:
             parts = []
-            for at in range(0, len(column), TOGETHER):
-                made = []
-                few = column.slice(at, TOGETHER).to_pylist()
-                for p, evidence in chain.from_iterable(model.scores(few[part]) for part in _together(few)):
-                    made.append({"score": p, "predicted": int(p >= 0.5), "evidence": [{"doc_id": d, "cosine": s, "label": y} for d, s, y in evidence]})
-                parts.append(pa.array(made, kind))
+            for at in range(0, len(column), 4 * TOGETHER):
+                few = column.slice(at, 4 * TOGETHER).to_pylist()
+                made = list(chain.from_iterable(model.scored(few[part]) for part in _together(few)))
+                score = np.array([m[0] for m in made])
+                ids, cosines, labels = (np.concatenate([m[k] for m in made]) for k in (1, 2, 3))
+                evidence = pa.StructArray.from_arrays([pa.array(ids.astype(np.int64)), pa.array(cosines, pa.float64()), pa.array(labels.astype(np.int32))], names=["doc_id", "cosine", "label"])
+                ends = np.cumsum([0, *(len(m[1]) for m in made)])
+                parts.append(pa.StructArray.from_arrays([pa.array(score), pa.array((score >= 0.5).astype(np.int32)), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), evidence)], names=["score", "predicted", "evidence"]))
             yield pa.concat_arrays(parts) if parts else pa.array([], kind)
 
     return docs.withColumn(out, scored(F.col(f"`{text_col}`")))
