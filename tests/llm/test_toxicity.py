@@ -197,3 +197,11 @@ def test_messy_rows(spark, messy, empty, labelled, model):
     assert {r.s for r in X.score(messy, X.fit(messy, odd)).select("toxicity.score").toDF("s").collect()}
     assert X.fit(empty, labelled[1]).score("vile")[0] >= 0
     assert X.fit(messy, odd.where("false")).score("vile") == (0.0, [])
+
+
+def test_labelled_texts_without_a_word(spark):
+    docs = spark.createDataFrame([(1, ""), (2, None), (3, " 12 "), (4, "--"), (6, "..")], "doc_id long, text string")
+    marks = spark.createDataFrame([(i, i % 2) for i in (1, 2, 3, 4, 6)], "doc_id long, toxic int")
+    model = X.fit(docs, marks)
+    scores = {model.score(t)[0] for t in ("", None, "vile words", " 12 ")}
+    assert len(scores) == 1 and 0 <= scores.pop() <= 1
