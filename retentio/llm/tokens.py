@@ -19,20 +19,22 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import struct
-import sys
-import types
 import uuid
 import zlib
 from collections.abc import Iterator
-from itertools import islice
+from itertools import filterfalse, islice
+from string import ascii_letters
+from string import punctuation as PUNCTUATION
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from retentio.llm.common import batch, commit_file, filesystem, id_cuts, output_root, pieces, shard_of, table
+from retentio.llm.common import batch, commit_file, filesystem, id_cuts, kept, output_root, pieces, shard_of, table
 
 MAGIC = b"RETTOK01"
 HEADER = 16
@@ -40,7 +42,13 @@ HEADER = 16
 SHARD_TEXT_BYTES = 16 << 20
 END_ID = 2
 #: Bounds of a worker's cache: words, the longest word kept, and what a trim leaves.
-CACHE_WORDS, CACHE_CHARS, CACHE_KEPT = 500_000, 40, 200_000
+CACHE_WORDS, CACHE_CHARS, CACHE_KEPT = 300_000, 40, 150_000
+#: Bytes of the texts whose words are numbered together.
+TOGETHER_BYTES = 2 << 20
+#: Words of these letters share ids whatever of this punctuation is behind them.
+LETTERS = "[A-Za-zÀ-ÖØ-öø-ÿ]"
+LATIN = [c for c in map(chr, range(0xC0, 0x100)) if c.isalpha()]
+SHARED = frozenset(ascii_letters).union(LATIN)
 
 
 #: Fixed value: the offset of masked checksums in the length-delimited record format.
@@ -70,82 +78,146 @@ def unframe(stream) -> Iterator[bytes]:
         yield payload
 
 
-def _even(text: str) -> bool:
-    """Whether all white space is single spaces and line ends between other characters."""
-    # no other white space is printable
-    return bool(text) and text[0] not in " \n" and text[-1] not in " \n" and not any(p in text for p in ("  ", " \n", "\n ", "\n\n")) and text.replace("\n", " ").isprintable()
+def _large(text: str) -> pa.Scalar:
+    return pa.scalar(text, pa.large_string())
+
+
+def _strings(column: pa.Array) -> list[str]:
+    return column.to_numpy(zero_copy_only=False).tolist()
 
 
 class Encoder:
     """Texts to little-endian ids, equal to the library's encoding of the whole text.
 
     The byte-level pre-tokenizer never joins characters across a single space
-    between two other characters, nor across a single line end, so the text
-    is cut there and each distinct word is encoded by the library once (as long as
-    the cache holds it), all new words of a text in one call. A text
-    with any other white space, or with a special token's string, is encoded
-    whole.
+    between two other characters, nor across a single line end, so texts
+    are cut there, Arrow numbers the distinct words of some texts, and each is
+    encoded by the library once (as long as the cache holds it), all new ones in
+    one call. It also parts letters from the punctuation behind them: such
+    words share the ids of their letters, which go to the library's model
+    without its pre-tokenizer. A text with any other white space, or with a
+    special token's string, is encoded whole; only new words are looked at for
+    that, as no known word has any.
     """
 
     def __init__(self, path: str):
         os.environ.update(TOKENIZERS_PARALLELISM="false", RAYON_NUM_THREADS="1")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.library = Tokenizer.from_file(path)
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        settings = json.loads(self.library.to_str())
-        split = settings.get("pre_tokenizer") or {}
-        self.cuts = split.get("type") == "ByteLevel" and split.get("use_regex") and not split.get("add_prefix_space") and not settings.get("normalizer")
+        split = json.loads(self.library.pre_tokenizer.__getstate__()) if self.library.pre_tokenizer else {}
         self.dtype = "<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4"
         line = self.library.encode("\n", add_special_tokens=False).ids
         self.line = line[0]
-        self.cuts = bool(self.cuts) and len(line) == 1
+        plain = split.get("type") == "ByteLevel" and split.get("use_regex") and not split.get("add_prefix_space") and not self.library.normalizer
+        # no special token may lie across words, or letters and punctuation
+        spread = re.compile(rf".*\s.*|{LETTERS}*[{re.escape(PUNCTUATION)}]*", re.DOTALL)
+        self.cuts = bool(plain) and len(line) == 1 and not any(map(spread.fullmatch, self.special))
+        # what the byte-level pre-tokenizer shows of a character to the model
+        shown = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.shown = str.maketrans({c: shown.pre_tokenize_str(c)[0][0] for c in [" ", "\n", *LATIN]})
+        self.letters = Tokenizer(self.library.model)
+        self.letters.pre_tokenizer = pre_tokenizers.CharDelimiterSplit("\t")
         self.known: dict[str, bytes] = {}
 
-    def _encode(self, text: str) -> np.ndarray:
-        return np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype)
+    def _encode(self, text: str, library=None) -> np.ndarray:
+        return np.array((library or self.library).encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype)
 
-    def _encode_words(self, words: list[str]) -> list[bytes]:
-        """Words as they follow a space, or with the line end before them, encoded in one call: a line end cannot join what stands beside it."""
-        if not words:
-            return []
-        ids = self._encode("".join(["\n" + w[1:] if w[0] == "\n" else "\n " + w for w in words]))
+    def _parted(self, ids: np.ndarray, words: list[str]) -> Iterator[tuple[str, bytes]]:
+        """Words with their ids, where each stands behind a line end; a word that begins with one keeps it."""
         at = np.flatnonzero(ids == self.line)
         if len(at) != len(words):
             raise ValueError("the vocabulary joins line ends to words")
         data, size = ids.tobytes(), ids.itemsize
-        # a word behind a line end keeps it
         starts = at * size + np.array([0 if w[0] == "\n" else size for w in words])
-        return [data[i:j] for i, j in zip(starts.tolist(), [*(at[1:] * size).tolist(), len(data)], strict=True)]
+        return zip(words, [data[i:j] for i, j in zip(starts.tolist(), [*(at[1:] * size).tolist(), len(data)], strict=True)], strict=True)
 
-    def ids(self, text: str) -> bytes:
-        if not self.cuts or not _even(text) or any(s in text for s in self.special):
-            return self._encode(text).tobytes()
-        # a line end between two words stands in front of the second one, in place of the space
-        first, *words = text.replace("\n", " \n").split(" ")
-        known = self.known
-        new = list(set(words).difference(known))
-        if new:
-            known.update(zip(new, self._encode_words(new), strict=True))
-        out = b"".join((self._encode(first).tobytes(), *map(known.__getitem__, words)))  # no space before the first
+    def _encode_words(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
+        """Words as they follow a space, or with the line end before them, encoded in one call: a line end cannot join what stands beside it."""
+        if not words:
+            return iter(())
+        return self._parted(self._encode("".join(["\n" + w[1:] if w[0] == "\n" else "\n " + w for w in words])), words)
+
+    def _encode_letters(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
+        """The same for words of letters alone, which the pre-tokenizer leaves whole: the model gets them one by one."""
+        if not words:
+            return iter(())
+        line, space = (self.shown[ord(c)] for c in "\n ")
+        between = f"\t{line}\t{space}"
+        text = between.join([w if w.isascii() else w.translate(self.shown) for w in words])
+        return self._parted(self._encode(f"{between[1:]}{text}", self.letters), words)
+
+    def _learn(self, new: list[str], letters: list[str]) -> None:
+        """New words, and words of letters alone, into the cache."""
+        self.known.update(self._encode_words(new))
+        self.known.update(self._encode_letters(letters))
+
+    def _odd(self, words: list[str]) -> set[str]:
+        """Words that hold white space but a line end before other characters (no other is printable), or a special token."""
+        text = "".join(words)
+        if all(words) and "\n" not in words and text.replace("\n", "").isprintable() and not any(s in text for s in self.special):
+            return set()
+        return {w for w in words if w in ("", "\n") or not w[w[0] == "\n" :].isprintable() or any(s in w for s in self.special)}
+
+    def _ids(self, texts: pa.Array) -> Iterator[bytes]:
+        # a line end between two words stands in front of the second one, in place of the space; so does one put before the text
+        lines = pc.binary_join_element_wise(_large("\n"), pc.replace_substring(texts, "\n", " \n"), _large(""))
+        cut = pc.split_pattern(lines, " ")
+        coded = cut.flatten().dictionary_encode()
+        words = coded.dictionary
+        # letters and the punctuation behind them; what is not kept stays in one
+        stems = pc.ascii_rtrim(words, PUNCTUATION)
+        alone = pc.and_(pc.match_substring_regex(stems, f"^{LETTERS}+$"), pc.less_equal(pc.binary_length(words), CACHE_CHARS))
+        units = pc.if_else(alone, stems, words).dictionary_encode()
+        tails = pc.if_else(alone, pc.replace_substring_regex(words, f"^{LETTERS}+", ""), _large("")).dictionary_encode()
+        known, names = self.known, _strings(units.dictionary)
+        new = list(filterfalse(known.__contains__, names))
+        odd = self._odd(new) if new else set()
+        letters = {s for s in new if s.isalpha() and len(s) <= CACHE_CHARS and (s.isascii() or set(s) <= SHARED)}
+        self._learn([w for w in new if w not in letters and w not in odd], list(letters))
+        of_unit = pa.array([known.get(u, b"") for u in names] if odd else list(map(known.__getitem__, names)), pa.large_binary())
+        of_tail = pa.array([self._encode(t).tobytes() if t else b"" for t in _strings(tails.dictionary)], pa.large_binary())
+        ids = pc.binary_join_element_wise(of_unit.take(units.indices), of_tail.take(tails.indices), pa.scalar(b"", pa.large_binary())).take(coded.indices)
+        borders, whole = cut.offsets.to_numpy(), np.zeros(len(texts), bool)
+        if odd:
+            of_word = np.array([u in odd for u in names])[units.indices.to_numpy()][coded.indices.to_numpy()]
+            whole = np.add.reduceat(of_word, borders[:-1], dtype=np.int64) > 0
+        ends = np.frombuffer(ids.buffers()[1], np.int64, len(ids) + 1, ids.offset * 8)[borders].tolist()
+        data, size = memoryview(ids.buffers()[2] or b""), np.dtype(self.dtype).itemsize
+        for i, odd_text in enumerate(whole.tolist()):
+            yield self._encode(texts[i].as_py()).tobytes() if odd_text else bytes(data[ends[i] + size : ends[i + 1]])
         for w in new:
             if len(w) > CACHE_CHARS:
-                del known[w]
+                known.pop(w, None)
         if len(known) > CACHE_WORDS:
             self.trim()
-        return out
+
+    def encode(self, texts: pa.Array) -> Iterator[bytes]:
+        """The ids of each of some texts (none of them null)."""
+        texts = texts.cast(pa.large_string())
+        if not self.cuts:
+            yield from (self._encode(t).tobytes() for t in texts.to_pylist())
+            return
+        sizes, start, size = pc.binary_length(texts).to_pylist(), 0, 0
+        for i, n in enumerate(sizes, 1):
+            size += n
+            if size > TOGETHER_BYTES or i == len(sizes):
+                yield from self._ids(texts.slice(start, i - start))
+                start, size = i, 0
+
+    def ids(self, text: str) -> bytes:
+        return next(self.encode(pa.array([text], pa.large_string())))
 
     def trim(self) -> None:
         """Keep what was met first, the common words; also between tasks, as the worker goes on to other work."""
-        self.known = dict(islice(self.known.items(), CACHE_KEPT))
+        if len(self.known) > CACHE_KEPT:
+            self.known = dict(islice(self.known.items(), CACHE_KEPT))
 
 
 def encoder(path: str) -> Encoder:
     """One encoder per worker process; it outlives a task, and so does its cache."""
-    held = sys.modules.setdefault("_retentio_llm_encoders", types.ModuleType("_retentio_llm_encoders"))
-    if path not in held.__dict__:
-        held.__dict__[path] = Encoder(path)
-    return held.__dict__[path]
+    return kept(path, lambda: Encoder(path))
 
 
 def _write_file(fs, folder: str, name: str, width: int, records) -> tuple:
@@ -182,10 +254,11 @@ def write_tokens(docs: DataFrame, root: str, vocabulary: str, id_col: str = "doc
     def encode(batches):
         enc = encoder(vocabulary)
         end = np.array([end_id], enc.dtype).tobytes()
-        for part in pieces(batches):
-            ids = [enc.ids(t) + end for t in part.column("text").to_pylist()]
+        for part in pieces(batches, 1024):
+            ids = [i + end for i in enc.encode(part.column("text"))]
             yield batch(made, [shard_of(part.column("doc_id"), cuts), part.column("doc_id"), ids])
         enc.trim()
+        pa.default_memory_pool().release_unused()
 
     listed = pa.schema([("name", pa.string()), ("records", pa.int64()), ("tokens", pa.int64()), ("bytes", pa.int64()), ("crc32", pa.int64()), ("width", pa.int32())])
 

@@ -40,8 +40,6 @@ labels (0 without labels). Other columns are kept as they are.
 from __future__ import annotations
 
 import re
-import sys
-import types
 from collections import Counter
 from collections.abc import Iterator
 from itertools import chain
@@ -52,7 +50,7 @@ import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from retentio.llm.common import files_of, pieces, settle, table
+from retentio.llm.common import files_of, kept, pieces, settle, table
 from retentio.plans.lineage import scratch_path
 
 SAMPLE_PER_CLASS = 3000
@@ -97,15 +95,6 @@ def _read(path: str, columns: list[str]) -> pa.Table:
     return pa.concat_tables([pq.read_table(f, columns=columns, filesystem=fs) for f in files])
 
 
-def _kept(path: str, make):
-    """What a worker process has read from ``path``; it outlives a task. Only the last such thing is kept."""
-    held = sys.modules.setdefault("_retentio_llm_indexes", types.ModuleType("_retentio_llm_indexes")).__dict__
-    if held.get("path") != path:
-        held.update(path=path, made=None)
-        held["made"] = make()
-    return held["made"]
-
-
 def _numbers(terms: pa.Table) -> dict[str, int]:
     return {t: i for i, t in enumerate(terms.column("term").to_pylist())}
 
@@ -223,7 +212,7 @@ class Model:
         self.root, self.share, self.curve = root, share, curve
 
     def index(self) -> Index:
-        return _kept(self.root, lambda: Index(self.root))
+        return kept(self.root, lambda: Index(self.root))
 
     def scored(self, texts: list) -> Iterator[tuple[float, np.ndarray, np.ndarray, np.ndarray]]:
         """(calibrated score, evidence: ids, cosines and labels, strongest vote first) of each text."""
@@ -316,7 +305,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             terms = _read(f"{root}/vocabulary", ["number", "term"])
             return _numbers(terms), terms.column("number").to_numpy()
 
-        known, numbers = _kept(f"{root}/vocabulary", read)
+        known, numbers = kept(f"{root}/vocabulary", read)
         seen, rows = np.zeros(len(numbers), np.int64), 0
         for part in pieces(batches):
             batch_texts = part.column("text").to_pylist()

@@ -2,12 +2,13 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from retentio.llm import tokens as T
-from retentio.llm.common import filesystem, output_root
+from retentio.llm.common import filesystem, kept, output_root
 from tests.llm.conftest import messy_rows
 
 ENCODER = T.Encoder(T.vocabulary_path())
@@ -38,6 +39,33 @@ def test_cache_bounds(monkeypatch):
         assert own.ids(text) == np.array(library(text), own.dtype).tobytes()
 
 
+def test_many_texts_equal_the_library(monkeypatch):
+    r = random.Random(5)
+    words = ["it's", "a", "Hello,", "wörld!!", "<|endoftext|>", "é" * 45 + ",", "don't", "\n", "ok.\nNow", "end...'", "'s", "s'", "ab1.", "×a", "ªb.", "中", "y" * 60, "", "\t"]
+    texts = ["", "\n", " a", "a\n", *(" ".join(r.choices(words, k=r.randint(1, 6))) for _ in range(600))]
+    for size in (200, 1 << 20):
+        monkeypatch.setattr(T, "TOGETHER_BYTES", size)
+        own = T.Encoder(T.vocabulary_path())
+        assert list(own.encode(pa.array(texts))) == [np.array(library(t), own.dtype).tobytes() for t in texts]
+
+
+def test_words_of_the_same_letters_are_encoded_once(monkeypatch):
+    own, asked = T.Encoder(T.vocabulary_path()), []
+    given = own._encode_letters
+    monkeypatch.setattr(own, "_encode_letters", lambda words: given(asked.extend(words) or words))
+    texts = ["qaze wsxe, qaze.", "wsxe qaze! (qaze", "wsxe... qaze,\nqaze"]
+    for _ in range(2):
+        assert list(own.encode(pa.array(texts))) == [np.array(library(t), own.dtype).tobytes() for t in texts]
+    assert sorted(asked) == ["qaze", "wsxe"]
+
+
+def test_a_worker_keeps_one_thing_of_all_operators():
+    first = T.encoder(T.vocabulary_path())
+    assert T.encoder(T.vocabulary_path()) is first
+    assert kept("of-another-operator", list) == []
+    assert T.encoder(T.vocabulary_path()) is not first
+
+
 def expected(rows):
     start, out = 0, []
     for doc_id, text in sorted(((r[0], r[1]) for r in rows), key=lambda r: (r[0] is not None, r[0] or 0, np.array([*library(r[1]), 2], "<u2").tobytes())):
