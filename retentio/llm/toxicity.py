@@ -46,6 +46,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -56,13 +57,17 @@ from retentio.plans.lineage import scratch_path
 SAMPLE_PER_CLASS = 3000
 #: |z| at which a term counts about half in a vote, and what a term without any difference counts.
 HALF_Z, LEAST = 5.0, 0.01
-#: Examples of a block; share of the examples from which a term is common; texts and characters taken together.
+#: Examples of a block; share of the examples from which a term is common; texts and characters searched together.
 BLOCK, COMMON, TOGETHER, TOGETHER_CHARS = 64, 1 / 20, 64, 400_000
+#: Texts and characters whose words are looked at together.
+COUNTED, COUNTED_CHARS = 1024, 2_000_000
 #: Neighbours that vote, votes that are shown, weight of the prior, steps of the votes' log odds.
 NEIGHBOURS, EVIDENCE, PRIOR_VOTES, STEP = 100, 15, 0.05, 0.01
 #: What single precision can lose of a cosine, with room; tasks of the sample.
 LOST, SAMPLE_PARTITIONS = 1e-4, 12
 LETTERS = 4
+#: ASCII but letters.
+NO_LETTERS = "".join(c for c in map(chr, range(128)) if not c.isalpha())
 TERM = re.compile(rf"([^\W\d_]{{1,{LETTERS}}})[^\W\d_]*")
 
 
@@ -78,15 +83,32 @@ def spans(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
 
 
 def counted(terms: dict[str, int], texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(ends, terms, counts): the known terms of text i, ascending, are those from ``ends[i]`` to ``ends[i + 1]``."""
-    n = len(terms)
-    found = [TERM.findall((t or "").lower()) for t in texts]
-    sizes = np.array([len(f) for f in found], np.int64)
-    codes = np.fromiter((terms.get(t, n) for t in chain.from_iterable(found)), np.int64, sizes.sum())
-    cells, k = np.unique(codes + np.repeat(np.arange(len(texts)) * (n + 1), sizes), return_counts=True)
-    doc, at = np.divmod(cells, n + 1)
-    known = at < n
-    return np.searchsorted(doc[known], np.arange(len(texts) + 1)), at[known], k[known]
+    """(ends, terms, counts): the known terms of text i, ascending, are those from ``ends[i]`` to ``ends[i + 1]``.
+
+    Terms are sought once in each distinct word (no term and no rule of lower
+    case goes across a space or a line end), by Arrow in plain words of Latin letters.
+    """
+    n, none = len(terms), pa.scalar("", pa.large_string())
+    cut = pc.split_pattern(pc.replace_substring(pc.fill_null(pa.array(texts, pa.large_string()), ""), "\n", " "), " ")
+    coded = cut.flatten().dictionary_encode()
+    words = pc.ascii_trim(coded.dictionary, NO_LETTERS)
+    plain = pc.match_substring_regex(words, "^[A-Za-zÀ-ÖØ-öø-ÿ]*$")
+    begin = pc.utf8_slice_codeunits(pc.utf8_lower(pc.if_else(plain, words, none)), 0, LETTERS).dictionary_encode()
+    code = np.array([terms.get(t, -1) for t in begin.dictionary.to_pylist()], np.int64)[begin.indices.to_numpy()]
+    rest = np.flatnonzero(~plain.to_numpy(zero_copy_only=False))
+    found = [[terms[t] for t in TERM.findall(w.lower()) if t in terms] for w in words.take(pa.array(rest)).to_pylist()]
+    one, sizes = code >= 0, (code >= 0).astype(np.int64)
+    sizes[rest] = [len(f) for f in found]
+    ends = np.concatenate(([0], np.cumsum(sizes)))
+    codes = np.zeros(ends[-1], np.int64)
+    codes[ends[:-1][one]] = code[one]
+    codes[spans(ends[rest], ends[rest + 1])] = list(chain.from_iterable(found))
+    word = coded.indices.to_numpy()
+    lo, hi = ends[word], ends[word + 1]
+    doc = np.repeat(np.repeat(np.arange(len(texts)), np.diff(cut.offsets.to_numpy())), hi - lo)
+    cells, k = np.unique(codes[spans(lo, hi)] + doc * n, return_counts=True)
+    doc, at = np.divmod(cells, max(n, 1))
+    return np.searchsorted(doc, np.arange(len(texts) + 1)), at, k
 
 
 def _read(path: str, columns: list[str]) -> pa.Table:
@@ -95,6 +117,18 @@ def _read(path: str, columns: list[str]) -> pa.Table:
     return pa.concat_tables([pq.read_table(f, columns=columns, filesystem=fs) for f in files])
 
 
+def _together(texts: list, count: int, chars: int) -> Iterator[slice]:
+    """Slices of few texts and few characters."""
+    start = size = 0
+    for i, t in enumerate(texts):
+        size += len(t or "")
+        if i + 1 - start == count or size > chars:
+            yield slice(start, i + 1)
+            start, size = i + 1, 0
+    if start < len(texts):
+        yield slice(start, len(texts))
+
+
 def _numbers(terms: pa.Table) -> dict[str, int]:
     return {t: i for i, t in enumerate(terms.column("term").to_pylist())}
 
@@ -199,10 +233,11 @@ class Index:
         # what a vote of a label counts, so that the sample's labels weigh as in the whole
         weigh = np.where(self.labels > 0, share / ones, (1 - share) / max(1.0, n - ones)) * n
         ends, at, k = counted(self.terms, texts)
-        own = [slice(a, b) for a, b in zip(ends[:-1], ends[1:], strict=True)]
-        for i, s, told in self.nearest([(at[o], self.vector(at[o], k[o])) for o in own], skips=skips):
-            vote = s / (1.05 - np.minimum(s, 1.0)) * (told / s) ** 2 * weigh[i]
-            yield (float((vote * self.labels[i]).sum()) + PRIOR_VOTES * share) / (float(vote.sum()) + PRIOR_VOTES), i, s, vote
+        for few in _together(texts, TOGETHER, TOGETHER_CHARS):
+            own = [slice(a, b) for a, b in zip(ends[few], ends[few.start + 1 : few.stop + 1], strict=True)]
+            for i, s, told in self.nearest([(at[o], self.vector(at[o], k[o])) for o in own], skips=skips and skips[few]):
+                vote = s / (1.05 - np.minimum(s, 1.0)) * (told / s) ** 2 * weigh[i]
+                yield (float((vote * self.labels[i]).sum()) + PRIOR_VOTES * share) / (float(vote.sum()) + PRIOR_VOTES), i, s, vote
 
 
 class Model:
@@ -256,18 +291,6 @@ def _written(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def _together(texts: list) -> Iterator[slice]:
-    """Slices of few texts and few characters."""
-    start = size = 0
-    for i, t in enumerate(texts):
-        size += len(t or "")
-        if i + 1 - start == TOGETHER or size > TOGETHER_CHARS:
-            yield slice(start, i + 1)
-            start, size = i + 1, 0
-    if start < len(texts):
-        yield slice(start, len(texts))
-
-
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """Fit on labelled rows outside fold 0; document frequencies cover all of ``docs``."""
     marked = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("id is not null and y is not null").groupBy("id").agg(F.max("y").alias("y"))
@@ -307,9 +330,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
         known, numbers = kept(f"{root}/vocabulary", read)
         seen, rows = np.zeros(len(numbers), np.int64), 0
-        for part in pieces(batches):
+        for part in pieces(batches, COUNTED):
             batch_texts = part.column("text").to_pylist()
-            for few in _together(batch_texts):
+            for few in _together(batch_texts, COUNTED, COUNTED_CHARS):
                 at = counted(known, batch_texts[few])[1]
                 seen += np.bincount(at, minlength=len(seen))
             rows += len(batch_texts)
@@ -376,9 +399,9 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", out: str = "tox
     def scored(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for column in texts:
             parts = []
-            for at in range(0, len(column), 4 * TOGETHER):
-                few = column.slice(at, 4 * TOGETHER).to_pylist()
-                made = list(chain.from_iterable(model.scored(few[part]) for part in _together(few)))
+            for at in range(0, len(column), COUNTED):
+                few = column.slice(at, COUNTED).to_pylist()
+                made = list(chain.from_iterable(model.scored(few[part]) for part in _together(few, COUNTED, COUNTED_CHARS)))
                 score = np.array([m[0] for m in made])
                 ids, cosines, labels = (np.concatenate([m[k] for m in made]) for k in (1, 2, 3))
                 evidence = pa.StructArray.from_arrays([pa.array(ids.astype(np.int64)), pa.array(cosines, pa.float64()), pa.array(labels.astype(np.int32))], names=["doc_id", "cosine", "label"])

@@ -205,3 +205,24 @@ def test_labelled_texts_without_a_word(spark):
     model = X.fit(docs, marks)
     scores = {model.score(t)[0] for t in ("", None, "vile words", " 12 ")}
     assert len(scores) == 1 and 0 <= scores.pop() <= 1
+
+
+def test_terms_are_sought_once_in_each_distinct_word(monkeypatch):
+    r, asked = random.Random(4), []
+    texts = [None, "", "  \n", *("".join(r.choices("abABßÉσΣςİıǅ'_1 \n\t.", k=r.randint(0, 40))) for _ in range(500))]
+    want = [X.terms_of(t) for t in texts]
+    terms = {t: i for i, t in enumerate(sorted({t for w in want[:400] for t in w}))}
+    names = list(terms)
+    pattern = X.TERM
+
+    class Seen:
+        def findall(self, text):
+            asked.append(text)
+            return pattern.findall(text)
+
+    monkeypatch.setattr(X, "TERM", Seen())
+    ends, at, k = X.counted(terms, texts)
+    assert [{names[a]: int(n) for a, n in zip(at[i:j], k[i:j], strict=True)} for i, j in zip(ends[:-1], ends[1:], strict=True)] == [{t: n for t, n in w.items() if t in terms} for w in want]
+    asked.clear()
+    X.counted(terms, ["Abab σa abab! abab\nσa"] * 50)
+    assert asked == ["σa"]
