@@ -9,7 +9,11 @@ to the children named by its two shingles there. (With two shingles a name,
 sets that only share a common passage, s = 0.4 say, part at 0.16 a child where
 one shingle would keep 0.4; three branches make up for it at s = 0.8.) Nodes with one set end, those of at most
 ``SMALL`` sets are compared by brute force, larger ones are split again, up to
-``DEPTH`` times. Two sets of similarity s part in a run with a probability
+``DEPTH`` times. A larger node is split only while it can still tell something
+new: its parts are first compared within themselves and with a few sets of the
+whole node, which links a group of near copies. Where all but ``SMALL`` sets of
+a node are linked by then, the node ends: the few others meet every part, and
+pairs of linked sets need no further search. Two sets of similarity s part in a run with a probability
 below the fixed point of q = (1 - s**2 q')**BRANCHES, q' = 1 - q; the number of
 runs follows from it and the target recall.
 
@@ -47,6 +51,8 @@ TOKENS, BRANCHES, SMALL, DEPTH, TARGET_RECALL = 128, 3, 256, 5, 0.9999
 #: Shares of equal places: of candidates (0.8 less four standard errors), of a leader and its members, of linked leaders.
 #: Jaccard distance is a metric: members 0.2 apart have leaders within 2 * 0.2 + 0.2, and errors.
 CANDIDATE, LED, LEADERS = 0.66, 0.8, 0.25
+#: Sets of a large node, about, that meet all of its parts.
+PIVOTS = 64
 #: Sets of one part of a large component.
 PART = 512
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -174,34 +180,68 @@ def _groups(batches, key: list[str]):
         yield held, sets, np.frombuffer(b"".join(values), np.uint32).reshape(-1, TOKENS)
 
 
+def _compared(dealt: DataFrame) -> DataFrame:
+    """Links (path, a, b) of alike sets inside parts of nodes and, where ``led``, leaders (path, a, sketch) of the parts.
+    ``dealt``: path, part, led, set, sketch."""
+    dealt = dealt.repartition("path", "part").sortWithinPartitions("path", "part", "set")
+
+    def compare(batches):
+        for (path, _, led), sets, values in _groups(batches, ["path", "part", "led"]):
+            out = [(path, a, b, None) for a, b in _stars(_alike(values, CANDIDATE), sets)]
+            if led:
+                out += [(path, sets[i], None, values[i].tobytes()) for i in _leaders(values)]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["path", "a", "b", "sketch"])
+
+    return dealt.mapInArrow(compare, "path long, a long, b long, sketch binary")
+
+
+def _in_parts(large: DataFrame, everywhere) -> DataFrame:
+    """(path, part, led, set) of large nodes in parts of about ``SMALL`` sets; those ``everywhere`` are in all parts."""
+    parts = F.ceil(F.col("n") / SMALL)
+    part = F.when(everywhere, F.sequence(F.lit(0).cast("long"), parts - 1)).otherwise(F.array(F.pmod(F.xxhash64("set"), parts)))
+    return large.select("path", F.explode(part).alias("part"), F.lit(False).alias("led"), "set")
+
+
+def _ended(large: DataFrame, reps: DataFrame, known: list[DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """Large nodes of almost only linked sets, dealt in parts, and the rows of the other nodes. ``known``: links so far, added to."""
+    pivot = F.pmod(F.xxhash64("path", "set"), F.col("n")) < PIVOTS
+    known.append(settle(_compared(_in_parts(large, pivot).join(reps, "set")).select("a", "b").distinct(), "known-links"))
+    links = known[0]
+    for more in known[1:]:
+        links = links.unionByName(more)
+    near = components(links).withColumnRenamed("node", "set")
+    placed = settle(large.join(near, "set", "left").withColumn("root", F.coalesce("root", "set")), "placed")
+    counts = placed.groupBy("path", "root").agg(F.count("*").alias("c")).groupBy("path").agg(F.max(F.struct("c", "root")).alias("most"))
+    placed = placed.join(settle(counts, "largest-groups"), "path").withColumn("others", F.col("n") - F.col("most.c"))
+    # linked sets meet once more, with the others: all pairs of the node but those of linked sets are compared
+    ended = _in_parts(placed.where((F.col("others") > 0) & (F.col("others") <= SMALL)), F.col("root") != F.col("most.root"))
+    return ended, settle(placed.where(F.col("others") > SMALL).select("path", "n", "set"), "open-nodes")
+
+
 def candidates(reps: DataFrame, runs: int) -> DataFrame:
     """Links (a, b) that connect all sets which meet in a node and look alike. ``reps``: set, sketch."""
     roots = F.explode(F.array(*[F.lit(int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(f"run {r}")).view(np.int64)))) for r in range(runs)]))
-    rows, leaves = split(reps.withColumn("path", roots)), None
+    rows, leaves, known = split(reps.withColumn("path", roots)), None, []
     for level in range(1, DEPTH + 1):
         rows = settle(rows, "paths")
         many = rows.groupBy("path").agg(F.count("*").alias("n")).where("n > 1")
         rows = settle(rows.join(settle(many, "nodes"), "path"), "full-nodes")
-        small = rows if level == DEPTH else rows.where(F.col("n") <= SMALL)
+        small = rows.where(F.col("n") <= SMALL).select("path", F.lit(0).cast("long").alias("part"), F.lit(False).alias("led"), "set")
         leaves = small if leaves is None else leaves.unionByName(small)
         large = rows.where(F.col("n") > SMALL)
-        if level == DEPTH or large.isEmpty():
+        if large.isEmpty():
             break
-        rows = split(large.join(reps, "set"))
-    # large nodes that cannot be split further are dealt in parts
-    part = F.pmod(F.xxhash64("set"), F.ceil(F.col("n") / SMALL))
-    leaves = leaves.withColumn("part", part).join(reps, "set").select("path", "part", "n", "set", "sketch")
-    dealt = leaves.repartition("path", "part").sortWithinPartitions("path", "part", "set")
-
-    def compare(batches):
-        for (path, _, n), sets, values in _groups(batches, ["path", "part", "n"]):
-            out = [(path, a, b, None) for a, b in _stars(_alike(values, CANDIDATE), sets)]
-            if n > SMALL:
-                out += [(path, sets[i], None, values[i].tobytes()) for i in _leaders(values)]
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["path", "a", "b", "sketch"])
-
-    found = settle(dealt.mapInArrow(compare, "path long, a long, b long, sketch binary"), "candidates")
+        ended, large = _ended(large, reps, known)
+        leaves = leaves.unionByName(ended)
+        if level == DEPTH:
+            # large nodes that are not split further are dealt in parts, whose leaders meet
+            leaves = leaves.unionByName(_in_parts(large, F.lit(False)).withColumn("led", F.lit(True)))
+        elif large.isEmpty():
+            break
+        else:
+            rows = split(large.join(reps, "set"))
+    found = settle(_compared(leaves.join(reps, "set")), "candidates")
 
     def connect(batches):
         for _, sets, values in _groups(batches, ["path"]):
@@ -211,7 +251,10 @@ def candidates(reps: DataFrame, runs: int) -> DataFrame:
 
     leaders = found.where("b is null").select("path", F.col("a").alias("set"), "sketch").repartition("path").sortWithinPartitions("path", "set")
     # a leader's members: links inside a part are at CANDIDATE, below LED, so they connect them
-    return found.where("b is not null").select("a", "b").union(leaders.mapInArrow(connect, "a long, b long"))
+    links = found.where("b is not null").select("a", "b").union(leaders.mapInArrow(connect, "a long, b long"))
+    for more in known:
+        links = links.unionByName(more)
+    return links
 
 
 def _exact(sets: list[np.ndarray], sizes: np.ndarray, first: int, weights: np.ndarray):

@@ -56,6 +56,27 @@ def test_equals_brute_force_on_large_groups(spark, monkeypatch):
     assert found(docs) == brute(rows)
 
 
+def test_a_group_of_near_copies_is_not_carried_from_level_to_level(spark, monkeypatch):
+    """Linked sets end where they are found; a few that only resemble some of them are still linked."""
+    monkeypatch.setattr(J, "SMALL", 16)
+    made, settle = {}, J.settle
+
+    def counted(df, name):
+        out = settle(df, name)
+        made.setdefault(name, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(J, "settle", counted)
+    texts = list(near_copies(200, seed=11))
+    # 0.8 from an edge of the group: of the words of a copy, some at the end are others
+    texts += [" ".join([*texts[i].split()[: 120 - 13], *prose(700 + i, 13).split()]) for i in range(6)]
+    texts += [prose(800 + i, 60) for i in range(40)]
+    rows = list(enumerate(texts))
+    assert found(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)) == brute(rows)
+    start = J.runs_needed() * J.BRANCHES * len(texts)
+    assert sum(made["full-nodes"]) <= 1.5 * start and sum(made["paths"]) <= 2 * start
+
+
 def test_runs_reach_the_target_recall():
     """Simulated: pairs of just 0.8 meet in at least the target share."""
     assert J.runs_needed() == 4
