@@ -16,9 +16,12 @@ equal only inside a text or across texts as they stand in the input.
    then the window is a later copy. The mirrored search, for larger positions,
    finds windows with a later copy.
 3. An anchor with more than ``HOT`` different runs (a passage in very many
-   texts: its edges differ) is dealt in parts; the first window of each rank
-   of a part goes on by its 16-byte digest, so equal windows of different
-   parts meet in a sum.
+   texts: its edges differ) has its runs cut into slices by how far a window
+   starts before the anchor. The windows of a slice share a core of bytes, and
+   equal windows have equal cores, so slices with other cores need not meet:
+   those inside the passage are equal as a whole, those over the edge have
+   cores of their own. What still has more than ``HOT`` different slices of one
+   core is cut again, at last into single windows.
 
 Spans go back to their texts by digest. With ``keep="none"`` every copy of a
 repeated window is removed, with ``keep="first"`` the one that comes first by
@@ -43,8 +46,10 @@ from pyspark.sql import functions as F
 from retentio.llm.common import pieces, settle, table
 
 LENGTH, GRAM = 200, 48
-#: Windows of a text handled at once, different runs from which an anchor is dealt in parts, bytes of one suffix array.
+#: Windows of a text handled at once, different runs from which an anchor is cut into slices, bytes of one suffix array.
 BLOCK, HOT, ARRAY_BYTES = 1 << 20, 1024, 1 << 20
+#: Distances to the anchor in one slice, by round.
+STEPS = (16, 1)
 PLACE = np.uint64(28)
 BYTES = np.array([xxhash.xxh3_64_intdigest(bytes([b])) for b in range(256)], np.uint64)
 FACTORS = np.array([xxhash.xxh3_64_intdigest(f"factor {i}") | 1 for i in range(8)], np.uint64)
@@ -176,16 +181,13 @@ def _ranges(places: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(places[np.concatenate(([0], cut + 1))].tolist(), (places[np.concatenate((cut, [len(places) - 1]))] + 1).tolist(), strict=True))
 
 
-def _compare(cut: DataFrame, length: int) -> DataFrame:
-    """Ranges of repeated windows of distinct runs: anchor, digest, from, to, earlier (has an earlier copy)."""
-    kinds = cut.groupBy("anchor").agg(F.count("*").alias("kinds"))
-    parts = cut.join(settle(kinds.where(F.col("kinds") > HOT), "hot-anchors"), "anchor", "left")
-    parts = parts.withColumn("part", F.when(F.col("kinds").isNull(), F.lit(0)).otherwise(F.pmod("digest", F.ceil(F.col("kinds") / HOT))))
-    dealt = parts.withColumn("hot", F.col("kinds").isNotNull()).select("anchor", "part", "hot", "digest", "doc_id", "key", "start", "windows", "bytes")
-    dealt = dealt.repartition("anchor", "part").sortWithinPartitions("anchor", "part", F.asc_nulls_last("doc_id"), "key", "start")
+def _arrays(cut: DataFrame, length: int) -> DataFrame:
+    """Ranges of repeated windows of distinct runs, from suffix arrays: anchor, digest, from, to, earlier."""
+    dealt = cut.select("anchor", "digest", "doc_id", "key", "start", "windows", "bytes")
+    dealt = dealt.repartition("anchor").sortWithinPartitions("anchor", F.asc_nulls_last("doc_id"), "key", "start")
 
     def array(rows):
-        # parts of an anchor may share an array; its rows stand in text order
+        # anchors may share an array; its rows stand in text order
         rows.sort(key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["key"], r["start"]))
         owner, place, earlier, later = copies([(r["bytes"], r["windows"]) for r in rows], length)
         out = []
@@ -193,40 +195,96 @@ def _compare(cut: DataFrame, length: int) -> DataFrame:
         for i, r in enumerate(rows):
             own = slice(ends[i] - r["windows"], ends[i])
             for mask, flag in ((earlier[own], True), (later[own] & ~earlier[own], False)):
-                out += [(r["anchor"], r["digest"], a, b, flag, None, None, None, None) for a, b in _ranges(np.flatnonzero(mask))]
-            if r["hot"]:
-                for p in np.flatnonzero(~earlier[own]).tolist():
-                    window = hashlib.blake2b(r["bytes"][p : p + length], digest_size=16).digest()
-                    out.append((r["anchor"], r["digest"], p, p + 1, False, window, r["doc_id"], r["key"], r["start"]))
+                out += [(r["anchor"], r["digest"], a, b, flag) for a, b in _ranges(np.flatnonzero(mask))]
         if out:
-            types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.int64(), pa.binary(), pa.int64())
-            names = ["anchor", "digest", "from", "to", "earlier", "window", "doc_id", "key", "start"]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
+            types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=["anchor", "digest", "from", "to", "earlier"])
 
     def run(batches):
         held, size, last = [], 0, None
         for part in pieces(batches):
             for r in part.to_pylist():
-                group = (r["anchor"], r["part"])
-                # arrays hold whole groups; a group has at most about HOT runs
-                if group != last and size > ARRAY_BYTES:
+                # arrays hold whole anchors; one has at most HOT runs
+                if r["anchor"] != last and size > ARRAY_BYTES:
                     yield from array(held)
                     held, size = [], 0
-                if held and group == last and (r["key"], r["start"], r["digest"]) == (held[-1]["key"], held[-1]["start"], held[-1]["digest"]):
+                if held and r["anchor"] == last and (r["key"], r["start"], r["digest"]) == (held[-1]["key"], held[-1]["start"], held[-1]["digest"]):
                     continue  # a row repeated in the input
-                last = group
+                last = r["anchor"]
                 held.append(r)
                 size += len(r["bytes"])
         if held:
             yield from array(held)
 
-    found = settle(dealt.mapInArrow(run, "anchor long, digest long, from long, to long, earlier boolean, window binary, doc_id long, key binary, start long"), "repeats")
-    # windows of parted anchors meet by digest; the first of all has no earlier copy
-    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key", (F.col("start") + F.col("from")).alias("at"))
-    single = found.where("window is not null").withColumn("place", place)
-    shared = settle(single.groupBy("window").agg(F.count("*").alias("n"), F.min("place").alias("first")).where("n > 1"), "shared-windows")
-    across = single.join(shared, "window").select("anchor", "digest", "from", "to", (F.col("place") != F.col("first")).alias("earlier"))
-    return found.where("window is null").select("anchor", "digest", "from", "to", "earlier").unionByName(across)
+    return dealt.mapInArrow(run, "anchor long, digest long, from long, to long, earlier boolean")
+
+
+def run_slices(raw: bytes, windows: int, offset: int, step: int, length: int = LENGTH) -> list[tuple[int, int, bytes, int]]:
+    """(first window, end, core, distance of the first window to the anchor) of the slices of a run.
+
+    The core is what all windows at the slice's distances hold: it does not depend on where a run begins or ends.
+    """
+    out, at = [], 0
+    while at < windows:
+        band = (offset - at) // step
+        end = min(windows, offset - band * step + 1)
+        first = offset - (band + 1) * step + 1  # where the farthest window of the band would start
+        out.append((at, end, raw[offset - band * step : first + length], offset - at))
+        at = end
+    return out
+
+
+def _slices(hot: DataFrame, step: int, length: int) -> DataFrame:
+    """Slices of runs: anchor and digest of the run, from, to, name (of the slice's core and distance), own (digest), place.
+    ``hot``: anchor, digest, doc_id, key, start, windows, bytes."""
+
+    def run(batches):
+        for part in pieces(batches, 1024):
+            out = []
+            for r in part.to_pylist():
+                raw = r["bytes"]
+                offset = window_runs(np.frombuffer(raw, np.uint8), length)[0][2]  # all its windows have the run's anchor
+                for a, b, core, far in run_slices(raw, r["windows"], offset, step, length):
+                    name = xxhash.xxh3_64_intdigest(r["anchor"].to_bytes(8, "little", signed=True) + core, far // step)
+                    own = xxhash.xxh3_64_intdigest(raw[a : b + length - 1], length + far)
+                    out.append((r["anchor"], r["digest"], a, b, name, own, r["doc_id"], r["key"], r["start"] + a))
+            if out:
+                anchor, digest, a, b, name, own, doc_id, key, start = zip(*out, strict=True)
+                signed = [pa.array(np.array(c, np.uint64).view(np.int64)) for c in (name, own)]
+                plain = [pa.array(c, pa.int64()) for c in (anchor, digest, a, b)]
+                yield pa.RecordBatch.from_arrays([*plain, *signed, pa.array(doc_id, pa.int64()), pa.array(key, pa.binary()), pa.array(start, pa.int64())], names=["anchor", "digest", "from", "to", "name", "own", "doc_id", "key", "start"])
+
+    return hot.mapInArrow(run, "anchor long, digest long, from long, to long, name long, own long, doc_id long, key binary, start long")
+
+
+def _compare(cut: DataFrame, length: int, steps: tuple[int, ...] | None = None) -> DataFrame:
+    """Ranges of repeated windows of distinct runs: anchor, digest, from, to, earlier (has an earlier copy)."""
+    steps = STEPS if steps is None else steps
+    kinds = cut.groupBy("anchor").agg(F.countDistinct("digest").alias("kinds"))
+    hot = settle(kinds.where(F.col("kinds") > HOT).select("anchor"), "hot-anchors")
+    if not steps or hot.isEmpty():
+        return _arrays(cut, length)
+    cold = settle(_arrays(cut.join(hot, "anchor", "left_anti"), length), "repeats")
+    # a row repeated in the input is one run
+    runs = cut.join(hot, "anchor").dropDuplicates(["anchor", "digest"])
+    slices = settle(_slices(runs, steps[0], length), "slices")
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key", "start")
+    first = F.min(F.struct(place.alias("place"), "anchor", "digest", "from", "to")).alias("f")
+    forms = settle(slices.groupBy("name", "own").agg(F.count("*").alias("n"), first), "slice-kinds")
+    # slices equal as a whole: the first of all has no earlier copy but what is found below
+    again = slices.join(forms.where("n > 1").select("name", "own", F.col("f.place").alias("first")), ["name", "own"])
+    whole = again.select("anchor", "digest", "from", "to", (place != F.col("first")).alias("earlier"))
+    # of different slices with one core, one of each kind is compared
+    differ = settle(forms.groupBy("name").agg(F.count("*").alias("kinds")).where("kinds > 1").select("name"), "differing-slices")
+    one = forms.join(differ, "name").select("name", "own", "f.*")
+    if one.isEmpty():
+        return cold.unionByName(whole)
+    source = runs.select("anchor", "digest", "bytes")
+    piece = F.expr(f"substring(bytes, cast(from + 1 as int), cast(to - from + {length - 1} as int))")
+    inner = one.join(source, ["anchor", "digest"]).select(F.col("name").alias("anchor"), F.col("own").alias("digest"), "place.doc_id", "place.key", "place.start", (F.col("to") - F.col("from")).alias("windows"), piece.alias("bytes"))
+    deeper = settle(_compare(settle(inner, "slice-bytes"), length, steps[1:]).select(F.col("anchor").alias("name"), F.col("digest").alias("own"), F.col("from").alias("a"), F.col("to").alias("b"), "earlier"), "slice-repeats")
+    inside = one.join(deeper, ["name", "own"]).select("anchor", "digest", (F.col("from") + F.col("a")).alias("from"), (F.col("from") + F.col("b")).alias("to"), "earlier")
+    return cold.unionByName(whole).unionByName(inside)
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:

@@ -80,6 +80,52 @@ def test_equals_brute_force(spark, messy, sf_dir, monkeypatch, keep, hot):
     assert found(messy, keep=keep) == brute([(r[0], r[1]) for r in messy_rows()], keep=keep)
 
 
+@pytest.mark.parametrize("step", [16, 7, 1])
+def test_equal_windows_have_equal_cores(step):
+    passage = bytes(np.random.default_rng(5).integers(97, 123, 400).astype(np.uint8))
+    named: list[dict] = []
+    for raw in (b"left one " * 20 + passage + b" right", passage[30:] + b" other end" * 20):
+        own = {}
+        for start, n, offset, _ in S.window_runs(np.frombuffer(raw, np.uint8)):
+            cut = raw[start : start + n + 199]
+            slices = S.run_slices(cut, n, offset, step)
+            assert [a for a, *_ in slices] + [n] == [0] + [b for _, b, *_ in slices]
+            for a, b, core, far in slices:
+                for w in range(a, b):
+                    assert len(core) == 201 - step and core in cut[w : w + 200]
+                    own.setdefault(cut[w : w + 200], set()).add((core, far // step))
+        named.append(own)
+    shared = named[0].keys() & named[1].keys()
+    assert len(shared) >= 171
+    assert all(named[0][w] & named[1][w] for w in shared)
+
+
+@pytest.mark.parametrize("keep", ["none", "first"])
+def test_hot_anchors_send_few_rows(spark, monkeypatch, keep):
+    """A passage in many texts, its edges all different, some edges shared by few: rows by run, not by window."""
+    monkeypatch.setattr(S, "HOT", 8)
+    made, settle = {}, S.settle
+
+    def counted(df, name):
+        out = settle(df, name)
+        made[name] = made.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(S, "settle", counted)
+    r = np.random.default_rng(9)
+    own = lambda n: bytes(r.integers(97, 123, n).astype(np.uint8)).decode()
+    passage, edges = own(700), [own(150) for _ in range(3)]
+    texts = [own(150) + passage + own(150) for _ in range(60)] + [own(60) + edges[i % 3] + passage[: 300 + 40 * i] + own(120) for i in range(9)]
+    texts += [passage[100:420] + passage[100:420], passage, None, "", texts[0], passage[200:401]]
+    rows = [(i % 70 if i else None, t) for i, t in enumerate(texts)]
+    rows += rows[:3]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert found(docs, keep=keep) == brute(rows, keep=keep)
+    assert made["hot-anchors"] >= 2
+    # before, every distinct window of a part went on: 7,712 rows
+    assert sum(made.get(n, 0) for n in ("repeats", "slices", "slice-repeats")) <= 5000
+
+
 def test_registered_query_equals_brute_force(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").collect()
     got = S.op1_suffix_dedup(spark, sf_dir)
